@@ -15,7 +15,7 @@ def start_rows(df: DataFrame, text: str, prior_reason: Column | None = None) ->
     none = F.lit(None).cast("string")
     env = Rows(df, text=F.coalesce(F.col(text), F.lit("")), screen=none,
                reason=none if prior_reason is None else prior_reason)
-    env.bind(lower=lambda get: F.lower(get("text")))
+    env.bind(lower=lambda ref: f"lower({ref('text')})")
     return env
 
 
@@ -34,18 +34,19 @@ def run_chain(df: DataFrame, screens: Sequence[Screen], text: str = "text",
     for one in in_order(screens):
         one.apply(env)
         extra |= one.outputs()
-    env.bind(blocked=lambda get: get("reason").isNotNull())
+    env.bind(blocked=lambda ref: f"{ref('reason')} IS NOT NULL")
     return env.result(**{text: "text", "blocked": "blocked", "screen": "screen", "reason": "reason"}, **extra)
 
 
-def run_parts(parts: Column, screens: Sequence[Screen]) -> Column:
-    """The same chain over an array of structs with a ``text`` field; adds ``reason``, ``screen``, keeps the order."""
-    none = F.lit(None).cast("string")
-    env = Parts(F.transform(parts, lambda p: p.withField("reason", none).withField("screen", none)
-                            .withField("lower", F.lower(p["text"]))))
+def run_parts(df: DataFrame, items: str, fields: Sequence[str], screens: Sequence[Screen]) -> DataFrame:
+    """The same chain over an array column of structs (``fields``, among them ``text``): every struct gets ``reason``
+    and ``screen`` and the rewritten ``text``; their order stays."""
+    env = Parts(df, items, list(fields))
+    env.bind(reason=lambda ref: "CAST(NULL AS STRING)", screen=lambda ref: "CAST(NULL AS STRING)",
+             lower=lambda ref: f"lower({ref('text')})")
     for one in in_order(screens):
         one.apply(env)
-    return env.items
+    return env.df
 
 
 def fold_parts(verdicts: DataFrame, keys: Sequence[str], position: str) -> DataFrame:

@@ -10,10 +10,11 @@ import re
 from dataclasses import dataclass, field
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from parapet.functions import fixed
-from parapet.functions.text import utf16_length
+from parapet.functions.text import quoted, utf16_length
+from parapet.operators.binding import long_table
 from parapet.operators.screens import Screen
 
 
@@ -75,14 +76,12 @@ def chosen_detectors(options: Mapping[str, bool] | None = None, custom: Sequence
 ALL_OPTIONS = {option: True for option in OPTIONS}
 
 
-def _gates(get) -> dict[str, Column]:
-    text = get("text")
-    return {"has_at": F.contains(text, F.lit("@")),
-            "has_digit": text.rlike(r"(?U)\d"),
-            "has_patient": F.contains(text, F.lit("atient")) | F.contains(text, F.lit("aciente"))}
-
-
-_GATE_OF = {"@": "has_at", "digit": "has_digit", "patient": "has_patient"}
+# cheap condition -> what it looks at
+_GATES = {
+    "@": ("has_at", lambda text: f"contains({text}, '@')"),
+    "digit": ("has_digit", lambda text: f"{text} RLIKE {quoted('(?U)' + chr(92) + 'd')}"),
+    "patient": ("has_patient", lambda text: f"(contains({text}, 'atient') OR contains({text}, 'aciente'))"),
+}
 
 
 def redact_steps(env, detectors: Sequence[Detector], target: str = "text", count: bool = False) -> None:
@@ -91,33 +90,33 @@ def redact_steps(env, detectors: Sequence[Detector], target: str = "text", count
     The regexes only run on texts that can match (most texts hold no digit and no ``@``). Tags hold neither, so the
     conditions, taken on the first text, stay valid for all built-in steps.
     """
-    wanted = {_GATE_OF[d.needs] for d in detectors if d.needs}
-    env.bind(**{g: (lambda get, g=g: F.when(get("reason").isNull(), _gates(get)[g]).otherwise(F.lit(False)))
-                for g in sorted(wanted)})
+    gates = [_GATES[need] for need in sorted({d.needs for d in detectors if d.needs})]
+    env.bind(**{name: (lambda ref, test=test: f"({ref('reason')} IS NULL AND {test(ref('text'))})")
+                for name, test in gates})
     for i, d in enumerate(detectors):
-        def open_to(get, d=d) -> Column:
-            return get(_GATE_OF[d.needs]) if d.needs else get("reason").isNull()
+        def open_to(ref, d=d) -> str:
+            return ref(_GATES[d.needs][0]) if d.needs else f"{ref('reason')} IS NULL"
 
-        def rewritten(get, d=d, open_to=open_to) -> Column:
-            return F.when(open_to(get), F.regexp_replace(get(target), F.lit(d.pattern), F.lit(d.replacement))
-                          ).otherwise(get(target))
+        def rewritten(ref, d=d, open_to=open_to) -> str:
+            return (f"IF({open_to(ref)}, regexp_replace({ref(target)}, {quoted(d.pattern)}, {quoted(d.replacement)}), "
+                    f"{ref(target)})")
 
         if not count:
             env.bind(**{target: rewritten})
             continue
         env.bind(after=rewritten)
 
-        def matches(get, d=d, open_to=open_to) -> Column:
+        def matches(ref, d=d, open_to=open_to) -> str:
             # A tag never equals what it replaces, so an unchanged text had no match; custom tags may.
-            worth = open_to(get) if d.custom else (get("after") != get(target))
-            return F.when(worth, F.regexp_count(get(target), F.lit(d.pattern))).otherwise(F.lit(0))
+            worth = open_to(ref) if d.custom else f"{ref('after')} <> {ref(target)}"
+            return f"IF({worth}, regexp_count({ref(target)}, {quoted(d.pattern)}), 0)"
 
-        env.bind(**{f"n_{i}": matches, target: lambda get: get("after")})
+        env.bind(**{f"n_{i}": matches, target: lambda ref: ref("after")})
 
 
-def _found_kinds(get, detectors: Sequence[Detector]) -> Column:
-    return F.array_distinct(F.array_compact(F.array(
-        *[F.when(get(f"n_{i}") > 0, F.lit(d.kind)) for i, d in enumerate(detectors)])))
+def _found_kinds(ref, detectors: Sequence[Detector]) -> str:
+    kinds = ", ".join(f"IF({ref(f'n_{i}')} > 0, {quoted(d.kind)}, NULL)" for i, d in enumerate(detectors))
+    return f"array_distinct(array_compact(array({kinds})))"
 
 
 @dataclass(frozen=True)
@@ -138,12 +137,12 @@ class Pii(Screen):
             return
         if not steps:
             return
-        env.bind(probe=lambda get: get("text"))
+        env.bind(probe=lambda ref: ref("text"))
         redact_steps(env, steps, target="probe", count=True)
-        env.bind(kinds=lambda get: _found_kinds(get, steps))
-        env.bind(found=lambda get: F.when(
-            get("reason").isNull() & (F.size(get("kinds")) > 0),
-            F.concat(F.lit(fixed.REASON_PII), F.array_join(get("kinds"), ", "), F.lit(fixed.REASON_PII_TAIL))))
+        env.bind(kinds=lambda ref: _found_kinds(ref, steps))
+        env.bind(found=lambda ref: f"CASE WHEN {ref('reason')} IS NULL AND size({ref('kinds')}) > 0 THEN "
+                                   f"concat({quoted(fixed.REASON_PII)}, array_join({ref('kinds')}, ', '), "
+                                   f"{quoted(fixed.REASON_PII_TAIL)}) END")
         self.settle(env)
 
 
@@ -163,12 +162,12 @@ def findings(df: DataFrame, text: str, keys: Sequence[str], options: Mapping[str
     from parapet.operators.chain import start_rows
 
     steps = chosen_detectors(options, custom)
-    env = start_rows(df, text)
+    env = start_rows(df.select(*keys, text), text)
     redact_steps(env, steps, count=True)
-    env.bind(findings=lambda get: F.filter(F.array(*[
-        F.struct(F.lit(d.kind).alias("type"), get(f"n_{i}").alias("n")) for i, d in enumerate(steps)]),
-        lambda e: e["n"] > 0))
-    return env.result(findings="findings").select(*keys, F.inline("findings"))
+    env.bind(findings=lambda ref: "filter(array(" + ", ".join(
+        f"named_struct('type', {quoted(d.kind)}, 'n', {ref(f'n_{i}')})" for i, d in enumerate(steps))
+        + "), e -> e.n > 0)")
+    return long_table(env.df, keys, env.ref("findings"), "type")
 
 
 def findings_report(found: DataFrame) -> DataFrame:
@@ -184,8 +183,7 @@ class ResponsePii(Screen):
     order: int = fixed.ORDER["output-pii-redaction"]
 
     def apply(self, env) -> None:
-        env.bind(probe=lambda get: get("text"))
+        env.bind(probe=lambda ref: ref("text"))
         redact_steps(env, [DETECTORS[kind] for kind in fixed.RESPONSE_PII_TYPES], target="probe")
-        env.bind(text=lambda get: F.when(
-            (get("probe") != get("text")) & (utf16_length(get("probe")) != utf16_length(get("text"))),
-            get("probe")).otherwise(get("text")))
+        env.bind(text=lambda ref: f"IF({ref('probe')} <> {ref('text')} AND {utf16_length(ref('probe'))} <> "
+                                  f"{utf16_length(ref('text'))}, {ref('probe')}, {ref('text')})")

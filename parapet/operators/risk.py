@@ -3,34 +3,30 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from parapet.functions import fixed
-from parapet.functions.text import two_decimals
+from parapet.functions.text import count_contained, quoted, two_decimals
+from parapet.operators.binding import long_table
 from parapet.operators.screens import Screen
 
+CATEGORIES = tuple(enumerate(fixed.RISK_LEXICON))
 
-def _plus(terms: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, terms)
 
+def weight_sum(lower: str, category: str) -> str:
+    """Sum of the weights of the keywords found, each counted once, added in list order."""
+    return "(" + " + ".join(f"IF(contains({lower}, {quoted(word)}), {weight}D, 0.0D)"
+                            for word, weight in fixed.RISK_LEXICON[category]) + ")"
 
-def category_sums(lower: Column, category: str) -> Column:
-    """Struct of the weight sum and the number of keywords found, each keyword counted once, in list order."""
-    words = fixed.RISK_LEXICON[category]
-    found = [F.contains(lower, F.lit(word)) for word, _ in words]
-    total = _plus([F.when(hit, F.lit(weight)).otherwise(F.lit(0.0)) for hit, (_, weight) in zip(found, words)])
-    return F.struct(total.alias("total"), _plus([hit.cast("int") for hit in found]).alias("hits"))
 
-
-def clustered(sums: Column) -> Column:
+def _clustered(total: str, hits: str) -> str:
     """Raise the sum when several keywords occur together, and cap it."""
-    score = sums["total"]
+    raised = total
     for least, factor in fixed.RISK_CLUSTERS:
-        score = F.when(sums["hits"] >= least, score * F.lit(factor)).otherwise(score)
-    return F.least(score, F.lit(fixed.RISK_CAP))
+        raised += f" * IF({hits} >= {least}, {factor}D, 1.0D)"
+    return f"least({raised}, {fixed.RISK_CAP}D)"
 
 
 @dataclass(frozen=True)
@@ -41,51 +37,54 @@ class Risk(Screen):
     name: str = "semantic"
     order: int = fixed.ORDER["semantic"]
 
-    def _threshold(self, category: str) -> float:
-        return float(self.thresholds.get(category, self.default_threshold))
-
     def score(self, env) -> None:
-        """Bind ``sums_i`` and ``score_i`` for every category, only for rows not blocked yet."""
-        names = list(fixed.RISK_LEXICON)
-        env.bind(**{f"sums_{i}": (lambda get, c=c: F.when(get("reason").isNull(), category_sums(get("lower"), c)))
-                    for i, c in enumerate(names)})
-        env.bind(**{f"score_{i}": (lambda get, i=i: clustered(get(f"sums_{i}"))) for i in range(len(names))})
-
-    def _hit(self, get, i: int, category: str) -> Column:
-        return get(f"score_{i}") >= F.lit(self._threshold(category))
+        """Bind ``score_i`` for every category, only for rows not blocked yet.
+
+        Keywords are counted only where the sum says there are any, which most texts have not.
+        """
+        env.bind(**{f"sum_{i}": (lambda ref, c=c: f"CASE WHEN {ref('reason')} IS NULL THEN "
+                                                  f"{weight_sum(ref('lower'), c)} END") for i, c in CATEGORIES})
+        env.bind(**{f"hits_{i}": (lambda ref, i=i, words=[w for w, _ in fixed.RISK_LEXICON[c]]:
+                                  f"IF({ref(f'sum_{i}')} > 0, {count_contained(ref('lower'), words)}, 0)")
+                    for i, c in CATEGORIES})
+        env.bind(**{f"score_{i}": (lambda ref, i=i: _clustered(ref(f"sum_{i}"), ref(f"hits_{i}")))
+                    for i, _ in CATEGORIES})
+
+    def _flagged(self, ref, shown) -> str:
+        """Array of the categories at or above their threshold, in category order."""
+        hits = [f"IF({ref(f'score_{i}')} >= {float(self.thresholds.get(c, self.default_threshold))!r}D, {shown(i, c)}, NULL)"
+                for i, c in CATEGORIES]
+        return f"array_compact(array({', '.join(hits)}))"
 
     def apply(self, env) -> None:
         self.score(env)
-        names = list(fixed.RISK_LEXICON)
         if self.mode == "block":
-            env.bind(hits=lambda get: F.array_compact(
-                F.array(*[F.when(self._hit(get, i, c), F.lit(c)) for i, c in enumerate(names)])))
-            env.bind(found=lambda get: F.when(get("reason").isNull() & (F.size(get("hits")) > 0),
-                                              F.concat(F.lit(fixed.REASON_RISK), F.array_join(get("hits"), ", "))))
+            env.bind(over=lambda ref: self._flagged(ref, lambda i, c: quoted(c)))
+            env.bind(found=lambda ref: f"CASE WHEN {ref('reason')} IS NULL AND size({ref('over')}) > 0 THEN "
+                                       f"concat({quoted(fixed.REASON_RISK)}, array_join({ref('over')}, ', ')) END")
             self.settle(env)
             return
-        env.bind(semantic_flags=lambda get: F.array_compact(F.array(
-            *[F.when(self._hit(get, i, c), F.concat(F.lit(f"{c}:"), two_decimals(get(f"score_{i}"))))
-              for i, c in enumerate(names)])))
-        env.bind(
-            semantic_scores=lambda get: F.when(F.size(get("semantic_flags")) > 0, F.map_from_entries(F.filter(
-                F.array(*[F.struct(F.lit(c).alias("k"), get(f"score_{i}").alias("v")) for i, c in enumerate(names)]),
-                lambda e: e["v"] > 0))),
-            semantic_flags=lambda get: F.when(F.size(get("semantic_flags")) > 0, get("semantic_flags")))
+        env.bind(over=lambda ref: self._flagged(
+            ref, lambda i, c: f"concat({quoted(c + ':')}, {two_decimals(ref(f'score_{i}'))})"))
+        env.bind(semantic_flags=lambda ref: f"CASE WHEN size({ref('over')}) > 0 THEN {ref('over')} END",
+                 semantic_scores=lambda ref: f"CASE WHEN size({ref('over')}) > 0 THEN "
+                                             f"map_from_entries({_above_zero(ref)}) END")
 
     def outputs(self) -> dict[str, str]:
         return {} if self.mode == "block" else {"semantic_flags": "semantic_flags",
                                                 "semantic_scores": "semantic_scores"}
 
 
+def _above_zero(ref) -> str:
+    entries = ", ".join(f"named_struct('category', {quoted(c)}, 'score', {ref(f'score_{i}')})" for i, c in CATEGORIES)
+    return f"filter(array({entries}), e -> e.score > 0)"
+
+
 def risk_scores(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Long table ``keys, category, score`` of all scores above zero."""
     from parapet.operators.chain import start_rows
 
-    env = start_rows(df, text)
+    env = start_rows(df.select(*keys, text), text)
     Risk().score(env)
-    names = list(fixed.RISK_LEXICON)
-    env.bind(scores=lambda get: F.filter(F.array(*[
-        F.struct(F.lit(c).alias("category"), get(f"score_{i}").alias("score")) for i, c in enumerate(names)]),
-        lambda e: e["score"] > 0))
-    return env.result(scores="scores").select(*keys, F.inline("scores"))
+    env.bind(scores=_above_zero)
+    return long_table(env.df, keys, env.ref("scores"), "category")

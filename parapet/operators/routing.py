@@ -22,7 +22,7 @@ def field_value(df: DataFrame, field: str) -> Column | None:
     """The request value a condition names, None for a name that does not exist."""
     name = field.lower()
     if name == "prompt.length":
-        return utf16_length(F.coalesce(F.col("prompt"), F.lit("")))
+        return F.expr(utf16_length("coalesce(prompt, '')"))
     if name in _COLUMNS:
         return F.col(_COLUMNS[name])
     if name.startswith(_METADATA):
@@ -67,7 +67,7 @@ def route(df: DataFrame, policy: Policy) -> DataFrame:
     A request that names a configured provider and a model keeps them; else the first rule that matches decides. The
     policy becomes one CASE expression, so routing is a projection.
     """
-    explicit = (~is_blank(F.col("requested_provider")) & ~is_blank(F.col("requested_model"))
+    explicit = (F.expr(f"NOT {is_blank('requested_provider')} AND NOT {is_blank('requested_model')}")
                 & F.col("requested_provider").isin(*policy.providers))
     pick = F.when(explicit, F.lit(-1))
     for i, rule in enumerate(policy.rules):

@@ -1,6 +1,6 @@
 """Screens that only look at a text: length, injection, blocklists, secrets, and the interface for custom ones.
 
-``reason(text, lower)`` gives a column with the block reason, null where the text passes.
+``reason(text, lower)`` gives the SQL of the block reason, null where the text passes.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parapet.functions import fixed
-from parapet.functions.text import contains_any, count_contained, utf16_length
-from parapet.operators.binding import Rows
+from parapet.functions.text import contains_any, count_contained, quoted, utf16_length
+from parapet.operators.binding import long_table
 
 
 class Screen:
@@ -21,17 +21,18 @@ class Screen:
     name: str
     order: int
 
-    def reason(self, text: Column, lower: Column) -> Column:
+    def reason(self, text: str, lower: str) -> str:
         raise NotImplementedError
 
     def apply(self, env) -> None:
-        """Block the texts still passing; ``coalesce`` skips the work for those already blocked."""
-        env.bind(found=lambda get: F.when(get("reason").isNull(), self.reason(get("text"), get("lower"))))
+        """Block texts that still pass; the work is skipped for those already blocked."""
+        env.bind(found=lambda ref: f"CASE WHEN {ref('reason')} IS NULL THEN "
+                                   f"{self.reason(ref('text'), ref('lower'))} END")
         self.settle(env)
 
     def settle(self, env) -> None:
-        env.bind(screen=lambda get: F.when(get("found").isNotNull(), F.lit(self.name)).otherwise(get("screen")),
-                 reason=lambda get: F.coalesce(get("found"), get("reason")))
+        env.bind(screen=lambda ref: f"IF({ref('found')} IS NOT NULL, {quoted(self.name)}, {ref('screen')})",
+                 reason=lambda ref: f"coalesce({ref('found')}, {ref('reason')})")
 
     def outputs(self) -> dict[str, str]:
         """Extra columns the screen leaves on a row chain."""
@@ -44,11 +45,11 @@ class MaxLength(Screen):
     name: str = "max-length"
     order: int = fixed.ORDER["max-length"]
 
-    def reason(self, text: Column, lower: Column) -> Column:
+    def reason(self, text: str, lower: str) -> str:
         # A text of n bytes has at most n UTF-16 units: most rows need no transcoding.
         size = utf16_length(text)
-        return F.when((F.octet_length(text) > self.limit) & (size > self.limit),
-                      F.format_string(fixed.REASON_LENGTH, F.lit(self.limit), size))
+        return (f"CASE WHEN octet_length({text}) > {self.limit} AND {size} > {self.limit} "
+                f"THEN format_string({quoted(fixed.REASON_LENGTH)}, {self.limit}, {size}) END")
 
 
 @dataclass(frozen=True)
@@ -56,11 +57,11 @@ class Injection(Screen):
     name: str = "prompt-injection"
     order: int = fixed.ORDER["prompt-injection"]
 
-    def reason(self, text: Column, lower: Column) -> Column:
-        return (F.when(contains_any(lower, fixed.INJECTION_PHRASES), F.lit(fixed.REASON_INJECTION))
-                .when(contains_any(lower, fixed.STRUCTURAL_MARKERS), F.lit(fixed.REASON_STRUCTURAL))
-                .when(count_contained(lower, fixed.ROLE_KEYWORDS) >= fixed.ROLE_KEYWORD_LIMIT,
-                      F.lit(fixed.REASON_ROLES)))
+    def reason(self, text: str, lower: str) -> str:
+        return (f"CASE WHEN {contains_any(lower, fixed.INJECTION_PHRASES)} THEN {quoted(fixed.REASON_INJECTION)} "
+                f"WHEN {contains_any(lower, fixed.STRUCTURAL_MARKERS)} THEN {quoted(fixed.REASON_STRUCTURAL)} "
+                f"WHEN {count_contained(lower, fixed.ROLE_KEYWORDS)} >= {fixed.ROLE_KEYWORD_LIMIT} "
+                f"THEN {quoted(fixed.REASON_ROLES)} END")
 
 
 @dataclass(frozen=True)
@@ -70,8 +71,8 @@ class Blocklist(Screen):
     name: str = "blocked-patterns"
     order: int = fixed.ORDER["blocked-patterns"]
 
-    def reason(self, text: Column, lower: Column) -> Column:
-        return F.when(contains_any(lower, self.patterns), F.lit(self.message))
+    def reason(self, text: str, lower: str) -> str:
+        return f"CASE WHEN {contains_any(lower, self.patterns)} THEN {quoted(self.message)} END"
 
 
 def response_blocklist(patterns: Sequence[str]) -> Blocklist:
@@ -79,30 +80,31 @@ def response_blocklist(patterns: Sequence[str]) -> Blocklist:
                      fixed.ORDER["output-blocked-patterns"])
 
 
-def secret_kind(text: Column) -> Column:
-    """First secret kind found in the text, null if none."""
-    return F.coalesce(*[F.when(text.rlike(pattern), F.lit(kind)) for kind, pattern in fixed.SECRET_KINDS])
-
-
 @dataclass(frozen=True)
 class Secrets(Screen):
+    """Blocks on the first secret kind found."""
+
     name: str = "secret-detection"
     order: int = fixed.ORDER["secret-detection"]
 
-    def reason(self, text: Column, lower: Column) -> Column:
-        return F.concat(F.lit(fixed.REASON_SECRET), secret_kind(text))
+    def reason(self, text: str, lower: str) -> str:
+        kinds = " ".join(f"WHEN {text} RLIKE {quoted(pattern)} THEN {quoted(fixed.REASON_SECRET + kind)}"
+                         for kind, pattern in fixed.SECRET_KINDS)
+        return f"CASE {kinds} END"
 
 
 def secret_findings(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Long table ``keys, kind, n``: matches of every secret kind, only where there are any."""
-    counts = [F.struct(F.lit(kind).alias("kind"), F.regexp_count(F.col(text), F.lit(p)).alias("n"))
-              for kind, p in fixed.SECRET_KINDS]
-    return (df.select(*keys, F.inline(F.filter(F.array(*counts), lambda c: c["n"] > 0))))
+    counts = ", ".join(f"named_struct('kind', {quoted(kind)}, 'n', regexp_count(`{text}`, {quoted(pattern)}))"
+                       for kind, pattern in fixed.SECRET_KINDS)
+    return long_table(df.select(*keys, F.expr(f"filter(array({counts}), c -> c.n > 0)").alias("found")), keys, "found",
+                      "kind")
 
 
 @dataclass(frozen=True)
 class CustomScreen(Screen):
-    """A user's own check: any function from the text column to a reason column, a Pandas UDF included."""
+    """A user's own check: a function from the text column to a reason column (a Pandas UDF included), and optionally
+    one that rewrites the text."""
 
     name: str
     order: int
@@ -110,11 +112,11 @@ class CustomScreen(Screen):
     rewrite: Callable[[Column], Column] | None = None
 
     def apply(self, env) -> None:
-        env.bind(found=lambda get: F.when(get("reason").isNull(), self.check(get("text"))))
+        env.bind_column("found", self.check, "text")
         self.settle(env)
         if self.rewrite is not None:
-            env.bind(text=lambda get: F.when(get("reason").isNull(), self.rewrite(get("text"))).otherwise(get("text")))
-            env.bind(lower=lambda get: F.lower(get("text")))
+            env.bind_column("text", self.rewrite, "text", otherwise="text")
+            env.bind(lower=lambda ref: f"lower({ref('text')})")
 
 
 def blocked_if(condition: Column, reason: str = fixed.REASON_INPUT) -> Column:
@@ -123,7 +125,7 @@ def blocked_if(condition: Column, reason: str = fixed.REASON_INPUT) -> Column:
 
 
 def screen(df: DataFrame, one: Screen, text: str = "text") -> DataFrame:
-    """Run a single screen over a text column: adds ``blocked``, ``reason`` and the (possibly rewritten) text."""
+    """Run a single screen over a text column: adds ``blocked``, ``screen``, ``reason``; the text may be rewritten."""
     from parapet.operators.chain import run_chain
 
     return run_chain(df, [one], text=text)

@@ -42,7 +42,8 @@ def parts_of(parsed: Column) -> Column:
 def explode_chat(df: DataFrame, body: str, keys: Sequence[str]) -> DataFrame:
     """One row per part: ``keys, part_idx, role, text`` with ``part_idx`` counting the kept parts from 0."""
     return (df.select(*keys, _parsed(F.col(body)).alias("__parsed"))
-            .select(*keys, F.posexplode(parts_of(F.col("__parsed"))).alias("part_idx", "__part"))
+            .select(*keys, F.posexplode_outer(parts_of(F.col("__parsed"))).alias("part_idx", "__part"))
+            .filter(F.col("part_idx").isNotNull())  # outer and filter: see long_table
             .select(*keys, "part_idx", F.col("__part.role").alias("role"), F.col("__part.text").alias("text")))
 
 
@@ -55,7 +56,8 @@ def screen_bodies(df: DataFrame, body: str, screens: Sequence[Screen]) -> DataFr
     """
     staged = (df.withColumn("__parsed", _parsed(F.col(body)))
               .withColumn("__before", parts_of(F.col("__parsed")))
-              .withColumn("__after", run_parts(F.col("__before"), screens))
+              .withColumn("__after", F.col("__before")))
+    staged = (run_parts(staged, "__after", ["idx", "role", "text"], screens)
               .withColumn("__stop", F.get(F.filter("__after", lambda p: p["reason"].isNotNull()), F.lit(0)))
               .withColumn("__changed", F.transform("__after", lambda p: p["text"])
                           != F.transform("__before", lambda p: p["text"])))

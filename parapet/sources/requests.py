@@ -60,7 +60,7 @@ def to_payloads(df: DataFrame, model: str = "model", flavor: str = "openai") ->
     message = F.struct(F.lit("user").alias("role"), F.coalesce(F.col("prompt"), F.lit("")).alias("content"))
     system = F.struct(F.lit("system").alias("role"), F.col("system_prompt").alias("content"))
     fields = [] if flavor == "azure-openai" else [F.col(model).alias("model")]
-    fields += [F.when(is_blank(F.col("system_prompt")), F.array(message)).otherwise(F.array(system, message))
+    fields += [F.when(F.expr(is_blank("system_prompt")), F.array(message)).otherwise(F.array(system, message))
                .alias("messages"),
                F.coalesce(F.col("max_tokens"), F.lit(fixed.DEFAULT_MAX_TOKENS)).alias("max_tokens"),
                F.coalesce(F.col("temperature"), F.lit(fixed.DEFAULT_TEMPERATURE)).alias("temperature")]
