@@ -21,9 +21,20 @@ def contains_any(lower: str, phrases: Sequence[str]) -> str:
     """True where the lower-cased text holds one of the phrases (any case).
 
     An ``OR`` of ``contains`` stays in generated code and stops at the first hit; measured about five times faster
-    than one alternation regex or an ``exists`` over an array literal.
+    than one alternation regex or an ``exists`` over an array literal. Three or more phrases with the same first word
+    are only looked for in texts that hold that word.
     """
-    return "(" + (" OR ".join(f"contains({lower}, {quoted(p.lower())})" for p in phrases) or "false") + ")"
+    groups: dict[str, list[str]] = {}
+    for phrase in phrases:
+        first, blank, _ = phrase.lower().partition(" ")
+        groups.setdefault(first + blank, []).append(phrase.lower())
+    tests = []
+    for first, members in groups.items():
+        found = [f"contains({lower}, {quoted(p)})" for p in members]
+        if len(members) >= 3 and len(first) > 3:
+            found = [f"(contains({lower}, {quoted(first)}) AND ({' OR '.join(found)}))"]
+        tests += found
+    return f"({' OR '.join(tests) or 'false'})"
 
 
 def count_contained(lower: str, phrases: Sequence[str]) -> str:

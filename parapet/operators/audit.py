@@ -19,8 +19,8 @@ def correlation_id(request_id: Column | None = None) -> Column:
 
 
 def latency_ms(started: Column, finished: Column) -> Column:
-    """Milliseconds with fraction between two timestamps."""
-    return (F.unix_micros(finished.cast("timestamp")) - F.unix_micros(started.cast("timestamp"))) / 1000.0
+    """Milliseconds with fraction between two timestamps, with or without zone."""
+    return ((finished - started).cast("interval second").cast("decimal(18,6)") * 1000).cast("double")
 
 
 def outcome(df: DataFrame) -> DataFrame:

@@ -119,6 +119,11 @@ def _found_kinds(ref, detectors: Sequence[Detector]) -> str:
     return f"array_distinct(array_compact(array({kinds})))"
 
 
+def _relower(env) -> None:
+    """Bring ``lower`` up to date where ``text`` is no longer what it was ``before``."""
+    env.bind(lower=lambda ref: f"IF({ref('before')} = {ref('text')}, {ref('lower')}, lower({ref('text')}))")
+
+
 @dataclass(frozen=True)
 class Pii(Screen):
     mode: str = "sanitize"
@@ -133,7 +138,9 @@ class Pii(Screen):
     def apply(self, env) -> None:
         steps = self.detectors()
         if self.mode != "block":
+            env.bind(before=lambda ref: ref("text"))
             redact_steps(env, steps)
+            _relower(env)
             return
         if not steps:
             return
@@ -183,7 +190,8 @@ class ResponsePii(Screen):
     order: int = fixed.ORDER["output-pii-redaction"]
 
     def apply(self, env) -> None:
-        env.bind(probe=lambda ref: ref("text"))
+        env.bind(before=lambda ref: ref("text"), probe=lambda ref: ref("text"))
         redact_steps(env, [DETECTORS[kind] for kind in fixed.RESPONSE_PII_TYPES], target="probe")
         env.bind(text=lambda ref: f"IF({ref('probe')} <> {ref('text')} AND {utf16_length(ref('probe'))} <> "
                                   f"{utf16_length(ref('text'))}, {ref('probe')}, {ref('text')})")
+        _relower(env)

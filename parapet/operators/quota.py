@@ -209,7 +209,7 @@ def replay(df: DataFrame, key: Column, ts: str, request_id: str, limit: int | No
     """Adds ``quota_key``, ``window_start``, ``n`` (the request's number in its window) and, with a limit, ``denied``.
 
     Denied requests still count. Requests at the same time are ordered by ``request_id``; those without a time count as
-    the earliest.
+    the earliest. All columns of ``df`` are shuffled with the keys, so leave long texts out (as ``replay_rules`` does).
     """
     width = window_seconds * MICROS
     rows = df.withColumns({"quota_key": key, "__us": F.coalesce(epoch_micros(df, ts), F.lit(0).cast("bigint"))})
@@ -241,24 +241,26 @@ def replay_rules(df: DataFrame, rules: Sequence[QuotaRule], ts: str, request_id:
     """Apply quota rules in order. Adds ``denied``, ``denied_by`` (scope) and ``deny_reason``.
 
     The first violated rule denies; later rules do not count that request. Rules without a request limit are skipped.
-    Two limits that share one counter are refused: each would count the other's requests too.
+    Two limits that share one counter are refused: each would count the other's requests too. Request ids are unique.
     """
     limited = [r for r in rules if r.requests_per_minute is not None]
-    counters = [fixed.QUOTA_KEYS.get(r.scope.lower(), (fixed.QUOTA_GLOBAL_KEY,))[0] for r in limited]
-    if len(set(counters)) != len(counters):
+    counters = [fixed.QUOTA_KEYS.get(r.scope.lower(), (fixed.QUOTA_GLOBAL_KEY, None)) for r in limited]
+    if len({c[0] for c in counters}) != len(counters):
         raise ValueError("two request limits share one counter")
-    none = F.lit(None).cast("string")
-    open_rows, done = df, []
+    # Only ids, times and scope columns go through the counting; the rest of the request (its texts) stays where it is.
+    needed = dict.fromkeys([request_id, ts, *(c[1] for c in counters if c[1])])
+    open_rows, denied = df.select(*needed), None
     for rule in limited:
-        seen = replay(open_rows, scope_key(rule.scope), ts, request_id, rule.requests_per_minute, window_seconds)
-        seen = cut(seen.select(*df.columns, "denied"))
+        seen = cut(replay(open_rows, scope_key(rule.scope), ts, request_id, rule.requests_per_minute, window_seconds))
         reason = F.lit(fixed.REASON_ERROR + fixed.REASON_QUOTA % (rule.scope, rule.requests_per_minute))
-        done.append(seen.filter("denied").withColumns({"denied_by": F.lit(rule.scope), "deny_reason": reason}))
-        open_rows = seen.filter("not denied").select(*df.columns)
-    out = open_rows.withColumns({"denied": F.lit(False), "denied_by": none, "deny_reason": none})
-    for part in done:
-        out = out.unionByName(part)
-    return out
+        part = seen.filter("denied").select(request_id, F.lit(rule.scope).alias("denied_by"), reason.alias("deny_reason"))
+        denied = part if denied is None else denied.unionByName(part)
+        open_rows = seen.filter("not denied").select(*needed)
+    if denied is None:
+        none = F.lit(None).cast("string")
+        return df.withColumns({"denied": F.lit(False), "denied_by": none, "deny_reason": none})
+    # The denied requests are mostly few: adaptive execution then broadcasts them, by their measured size.
+    return df.join(denied, request_id, "left").withColumn("denied", F.col("denied_by").isNotNull())
 
 
 def usage_budget(df: DataFrame, key: Column, ts: str, request_id: str, cost: Column, tokens: Column,

@@ -80,6 +80,12 @@ def response_blocklist(patterns: Sequence[str]) -> Blocklist:
                      fixed.ORDER["output-blocked-patterns"])
 
 
+def _worth(text: str, lower: str, needs: Sequence[str], any_case: bool) -> str:
+    """Cheap condition every text with such a secret fulfils; the regex runs only where it holds."""
+    place = lower if any_case else text
+    return "(" + " OR ".join(f"contains({place}, {quoted(n)})" for n in needs) + ")"
+
+
 @dataclass(frozen=True)
 class Secrets(Screen):
     """Blocks on the first secret kind found."""
@@ -88,17 +94,25 @@ class Secrets(Screen):
     order: int = fixed.ORDER["secret-detection"]
 
     def reason(self, text: str, lower: str) -> str:
-        kinds = " ".join(f"WHEN {text} RLIKE {quoted(pattern)} THEN {quoted(fixed.REASON_SECRET + kind)}"
-                         for kind, pattern in fixed.SECRET_KINDS)
+        kinds = " ".join(f"WHEN {_worth(text, lower, needs, any_case)} AND {text} RLIKE {quoted(pattern)} "
+                         f"THEN {quoted(fixed.REASON_SECRET + kind)}"
+                         for kind, pattern, needs, any_case in fixed.SECRET_KINDS)
         return f"CASE {kinds} END"
 
 
 def secret_findings(df: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
     """Long table ``keys, kind, n``: matches of every secret kind, only where there are any."""
-    counts = ", ".join(f"named_struct('kind', {quoted(kind)}, 'n', regexp_count(`{text}`, {quoted(pattern)}))"
-                       for kind, pattern in fixed.SECRET_KINDS)
-    return long_table(df.select(*keys, F.expr(f"filter(array({counts}), c -> c.n > 0)").alias("found")), keys, "found",
-                      "kind")
+    from parapet.operators.chain import start_rows
+
+    def found(ref) -> str:
+        counts = ", ".join(
+            f"named_struct('kind', {quoted(kind)}, 'n', IF({_worth(ref('text'), ref('lower'), needs, any_case)}, "
+            f"regexp_count({ref('text')}, {quoted(pattern)}), 0))" for kind, pattern, needs, any_case in fixed.SECRET_KINDS)
+        return f"filter(array({counts}), c -> c.n > 0)"
+
+    env = start_rows(df.select(*keys, text), text)
+    env.bind(found=found)
+    return long_table(env.df, keys, env.ref("found"), "kind")
 
 
 @dataclass(frozen=True)

@@ -167,7 +167,7 @@ def _risk_reason(default: float, thresholds: dict) -> str:
 
 def _secret(text: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({text}, {q(p)}) THEN {q(k)}"
-                              for k, p in fixed.SECRET_KINDS) + " END"
+                              for k, p, _, _ in fixed.SECRET_KINDS) + " END"
 
 
 def _chain(source: str, text: str) -> str:
@@ -366,8 +366,8 @@ def statements() -> dict[str, str]:
             NULL THEN 'pii-detection' END AS screen, reason, md5(prompt) AS text_md5 FROM r""",
         "pii_custom": f"WITH {PROMPTS} SELECT doc_id, md5({custom}) AS text_md5 FROM prompts",
         "secret_scan": f"WITH {PROMPTS}, k AS (SELECT doc_id, " + ", ".join(
-            f"len(regexp_extract_all(prompt, {q(p)})) AS k{i}" for i, (_, p) in enumerate(fixed.SECRET_KINDS))
-            + " FROM prompts) " + _stacked("k", [(k, f"k{i}") for i, (k, _) in enumerate(fixed.SECRET_KINDS)], "doc_id",
+            f"len(regexp_extract_all(prompt, {q(p)})) AS k{i}" for i, (_, p, _, _) in enumerate(fixed.SECRET_KINDS))
+            + " FROM prompts) " + _stacked("k", [(k, f"k{i}") for i, (k, *_) in enumerate(fixed.SECRET_KINDS)], "doc_id",
                                           "kind", "n"),
         "custom_screen": f"""WITH {PROMPTS}, r AS (SELECT doc_id, prompt, lower(prompt) AS low FROM prompts), s AS (SELECT
             doc_id, prompt, {_injection('low')} AS r1, {own} AS r2 FROM r) SELECT doc_id, coalesce(r1, r2) IS NOT NULL

@@ -7,6 +7,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from parapet.functions.clock import epoch_micros
 from parapet.operators import audit as audits, chain, pii, quota, reports, risk, routing, screens
 from parapet.plans import flows, inputs
 from parapet.plans.samples import (CUSTOM_NAME, CUSTOM_PATTERN, CUSTOM_TAG, MARKUP_PATTERNS, POLICY, QUOTA_LIMIT,
@@ -354,8 +355,9 @@ def audit_build(spark, sf):
     a = _audit(spark, sf)
     return a.select("request_id", "correlation_id", "user_id", "tenant_id", "application_id", "provider", "model",
                     "prompt_tokens", "completion_tokens", F.col("estimated_cost").cast("double").alias("cost"),
-                    "blocked", "block_reason", F.array_join("flags", ",").alias("flags"), "error", _us("started_at"),
-                    _us("finished_at"), "latency_ms")
+                    "blocked", "block_reason", F.array_join("flags", ",").alias("flags"), "error",
+                    epoch_micros(a, "started_at").alias("started_at_us"),
+                    epoch_micros(a, "finished_at").alias("finished_at_us"), "latency_ms")
 
 
 @query
