@@ -52,15 +52,17 @@ def _slots(times: DataFrame, width: int) -> DataFrame:
     """Per key and slot: first and last time, requests, the run it is in, and the chunk within the run."""
     by_key = Window.partitionBy("key").orderBy("slot")
     by_run = Window.partitionBy("key", "run")
-    until = by_run.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     pause = F.col("first") - F.lag("last").over(by_key)
+    upto = by_key.rowsBetween(Window.unboundedPreceding, 0)
     return (times.groupBy("key", "slot")
             .agg(F.min("us").alias("first"), F.max("us").alias("last"), F.count("*").alias("n"))
-            .withColumn("opens_run", pause.isNull() | (pause >= width))
-            .withColumn("run", F.max(F.when(F.col("opens_run"), F.col("slot"))).over(by_key))
-            .withColumn("run_n", F.sum("n").over(by_run))
-            .withColumn("run_slots", F.count("*").over(by_run))
-            .withColumn("chunk", F.floor(F.coalesce(F.sum("n").over(until), F.lit(0)) / CHUNK_ROWS).cast("bigint")))
+            .withColumns({"opens_run": pause.isNull() | (pause >= width),
+                          "before": F.sum("n").over(upto) - F.col("n")})
+            .withColumns({"run": F.max(F.when(F.col("opens_run"), F.col("slot"))).over(upto),
+                          "run_before": F.max(F.when(F.col("opens_run"), F.col("before"))).over(upto)})
+            .withColumn("chunk", F.floor((F.col("before") - F.col("run_before")) / CHUNK_ROWS).cast("bigint"))
+            .withColumns({"run_n": F.sum("n").over(by_run), "run_slots": F.count("*").over(by_run)})
+            .select("key", "slot", "first", "n", "run", "run_n", "run_slots", "chunk"))
 
 
 def _folded(times: DataFrame, short: DataFrame, width: int) -> DataFrame:
