@@ -27,21 +27,24 @@ def decide(requests: DataFrame, policy: Policy, ts: str = "ts", request_id: str
 
 
 def answer(decided: DataFrame, replies: DataFrame, policy: Policy, request_id: str = "request_id") -> DataFrame:
-    """Join the providers' replies, take fallbacks, run the output chain, and give one outcome per request.
+    """Join the providers' replies, take fallbacks, apply the output chain, and give one outcome per request.
 
     ``replies``: request id, ``content``, ``prompt_tokens``, ``completion_tokens``, ``error`` (null if the first call
-    went well), ``finished_at``. The ids are unique on both sides, so the join has no hot key.
+    went well), ``finished_at``. The ids are unique on both sides, so the join has no hot key. Replies are screened
+    before the join: where only verdicts and counts are asked for, no text is shuffled.
     """
-    joined = decided.join(replies, request_id, "left")
+    screened = run_chain(replies, policy.output_screens(), text="content").withColumnsRenamed(
+        {"screen": "__reply_screen", "reason": "__reply_reason"}).drop("blocked")
+    joined = decided.join(screened, request_id, "left")
     failed = joined.withColumn("failed", (~F.col("blocked")) & F.col("error").isNotNull())
     routed = routing.apply_fallback(failed, policy)
     broken = F.when(F.col("unresolved"), F.concat(F.lit(fixed.REASON_ERROR), F.col("error")))
-    carried = (routed.withColumn("__input_screen", F.col("screen"))
-               .withColumn("__prior", F.coalesce(F.col("reason"), broken)).drop("blocked", "screen", "reason"))
-    out = run_chain(carried, policy.output_screens(), text="content", prior_reason=F.col("__prior"))
-    out = out.withColumn("screen", F.coalesce("screen", "__input_screen"))
-    out = out.withColumn("estimated_cost", F.lit(0))
-    return outcome(out.drop("__prior", "__input_screen", "failed", "unresolved"))
+    out = routed.withColumn("__prior", F.coalesce(F.col("reason"), broken))
+    out = out.withColumns({
+        "screen": F.when(F.col("__prior").isNull(), F.col("__reply_screen")).otherwise(F.col("screen")),
+        "reason": F.coalesce("__prior", "__reply_reason"), "estimated_cost": F.lit(0)})
+    out = out.withColumn("blocked", F.col("reason").isNotNull())
+    return outcome(out.drop("__prior", "__reply_screen", "__reply_reason", "failed", "unresolved"))
 
 
 def audit(requests: DataFrame, replies: DataFrame, policy: Policy, request_id: str = "request_id") -> DataFrame:
