@@ -9,9 +9,9 @@ What makes it parallel:
   span has slots.
 * A pause of a window length always ends the window, whatever came before. So slots fall into independent *runs*. A run
   of one slot opens at its first request; short runs are folded inside one row each by a Spark aggregate function.
-* A long run (a hot key that never pauses) is cut into chunks of whole slots. A chunk turns the earliest time a window
-  may open into the last opening inside it; this step function is computed for all chunks at once, composed in groups,
-  level by level, and read back down, so no task ever holds a whole run.
+* A long run (a hot key that never pauses) is cut into chunks by time, busy slots into several. A chunk turns the
+  earliest time a window may open into the last opening inside it; this step function is computed for all chunks at
+  once, composed in groups, level by level, and read back down, so no task ever holds a whole run.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from parapet.sources.session import cut
 
 MICROS = 1_000_000
 FOLD_ROWS = 2_048      # runs up to this many requests are folded in one array
-CHUNK_ROWS = 200_000   # longer runs are cut after about this many requests, at slot borders
+CHUNK_ROWS = 200_000   # longer runs are cut after about this many requests
 WINDOW_ROWS = 1_000_000  # a key with more requests than this in one slot is counted slice by slice
 CHUNKS_PER_GROUP = 64  # step functions composed in one task
 _BEGINNING = -(2 ** 62)
@@ -49,7 +49,7 @@ def scope_key(scope: str) -> Column:
 # --- openings ------------------------------------------------------------------------------------------------------
 
 def _slots(times: DataFrame, width: int) -> DataFrame:
-    """Per key and slot: first and last time, requests, the run it is in, and the chunk within the run."""
+    """Per key and slot: first time, requests, the run it is in, and the requests of the run before it."""
     by_key = Window.partitionBy("key").orderBy("slot")
     by_run = Window.partitionBy("key", "run")
     pause = F.col("first") - F.lag("last").over(by_key)
@@ -60,9 +60,9 @@ def _slots(times: DataFrame, width: int) -> DataFrame:
                           "before": F.sum("n").over(upto) - F.col("n")})
             .withColumns({"run": F.max(F.when(F.col("opens_run"), F.col("slot"))).over(upto),
                           "run_before": F.max(F.when(F.col("opens_run"), F.col("before"))).over(upto)})
-            .withColumn("chunk", F.floor((F.col("before") - F.col("run_before")) / CHUNK_ROWS).cast("bigint"))
+            .withColumn("offset", F.col("before") - F.col("run_before"))
             .withColumns({"run_n": F.sum("n").over(by_run), "run_slots": F.count("*").over(by_run)})
-            .select("key", "slot", "first", "n", "run", "run_n", "run_slots", "chunk"))
+            .select("key", "slot", "first", "n", "run", "run_n", "run_slots", "offset"))
 
 
 def _folded(times: DataFrame, short: DataFrame, width: int) -> DataFrame:
@@ -86,8 +86,14 @@ def _step(xs: np.ndarray, ys: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(i < len(xs), ys[np.minimum(i, len(xs) - 1)], -1)
 
 
-def _squeezed(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Drop thresholds that lead to the same opening as the next one."""
+def _squeezed(xs: np.ndarray, ys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Only the thresholds that matter.
+
+    The window open on entry began no later than the first request here, so the next one may open a window length after
+    that at the latest; and of thresholds that lead to the same opening the last one is enough.
+    """
+    n = int(np.searchsorted(xs, xs[0] + width, side="left")) + 1
+    xs, ys = xs[:n], ys[:n]
     keep = np.append(ys[1:] != ys[:-1], True)
     return xs[keep], ys[keep]
 
@@ -124,10 +130,7 @@ def _chunk_steps(width: int):
             if np.array_equal(further, last):
                 break
             last = further
-        # The window open on entry began before this chunk: it ends within the first slot.
-        first_slot_end = (ticks[0] // width + 1) * width
-        n = min(len(ticks), int(np.searchsorted(ticks, first_slot_end, side="left")) + 1)
-        return _one(table, table.column("part")[0].as_py(), *_squeezed(ticks[:n], ticks[last[:n]]))
+        return _one(table, table.column("part")[0].as_py(), *_squeezed(ticks, ticks[last], width))
 
     return steps
 
@@ -137,9 +140,10 @@ def _composed(width: int, fan: int):
         (part, xs, ys), *others = _parts(table)
         for _, nx, ny in others:
             moved = _step(nx, ny, ys + width)
-            # An entry later than all of this part meets the next part at its first request.
-            xs, ys = np.append(xs, nx[0]), np.append(np.where(moved >= 0, moved, ys), ny[0])
-        return _one(table, part // fan, *_squeezed(xs, ys))
+            # An entry later than all requests so far meets the next part as it is.
+            xs, ys = np.append(xs, nx), np.append(np.where(moved >= 0, moved, ys), ny)
+            xs, ys = _squeezed(xs, ys, width)
+        return _one(table, part // fan, xs, ys)
 
     return compose
 
@@ -170,10 +174,14 @@ def _entries(steps: DataFrame, levels: int, width: int, fan: int) -> DataFrame:
     return parts.groupBy(*groups).cogroup(given.groupBy(*groups)).applyInArrow(down, _ENTRY)
 
 
-def _chunked(times: DataFrame, long: DataFrame, chunks: int, width: int, fan: int) -> DataFrame:
+def _chunked(times: DataFrame, long: DataFrame, chunks: int, busiest: int, width: int, fan: int) -> DataFrame:
     """Openings of long runs."""
-    ticks = times.join(long.select("key", "slot", "run", F.col("chunk").alias("part")), ["key", "slot"])
-    ticks = ticks.select("key", "run", "part", "us")
+    # A request's rank in its run, estimated by its time within the slot: grows with time, so chunks are time ranges.
+    rank = F.col("offset") + F.col("n") * (F.col("us") - F.col("slot") * width) / width
+    ticks = (times.join(long.select("key", "slot", "run", "offset", "n"), ["key", "slot"])
+             .select("key", "run", F.floor(rank / CHUNK_ROWS).cast("bigint").alias("part"), "us"))
+    if busiest > CHUNK_ROWS:  # many requests may share one time; a chunk needs every time once
+        ticks = ticks.distinct()
     groups = ["key", "run", "part"]
     steps = cut(ticks.groupBy(*groups).applyInArrow(_chunk_steps(width), _STEPS))
     levels = max(0, ceil(log(max(chunks, 1), fan)) - 1)
@@ -195,12 +203,13 @@ def openings(times: DataFrame, width: int) -> tuple[DataFrame, int]:
     """All window openings ``key, opening`` of ``times`` (``key, us, slot``), and the most requests in one slot."""
     slots = cut(_slots(times, width))
     is_long = (F.col("run_slots") > 1) & (F.col("run_n") > FOLD_ROWS)
-    sizes = slots.agg(F.max(F.when(is_long, F.col("chunk"))).alias("chunk"), F.max("n").alias("n")).first()
+    sizes = slots.agg(F.max(F.when(is_long, F.col("run_n"))).alias("long"), F.max("n").alias("n")).first()
     single = slots.filter("run_slots = 1").select("key", F.col("first").alias("opening"))
     several = slots.filter("run_slots > 1")
     found = single.unionByName(_folded(times, several.filter(F.col("run_n") <= FOLD_ROWS), width))
-    if sizes["chunk"] is not None:
-        found = found.unionByName(_chunked(times, slots.filter(is_long), sizes["chunk"] + 1, width, CHUNKS_PER_GROUP))
+    if sizes["long"] is not None:
+        chunks = sizes["long"] // CHUNK_ROWS + 1
+        found = found.unionByName(_chunked(times, slots.filter(is_long), chunks, sizes["n"], width, CHUNKS_PER_GROUP))
     return found, sizes["n"] or 0
 
 

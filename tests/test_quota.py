@@ -64,6 +64,17 @@ def test_long_runs_are_composed_over_several_levels(spark, monkeypatch):
     assert replayed(spark, given) == brute(given, 60)
 
 
+def test_busy_slots_are_cut_too(spark, monkeypatch):
+    """Hundreds of requests per slot, many at the same time, chunks far shorter than a window."""
+    for name, value in (("FOLD_ROWS", 10), ("CHUNK_ROWS", 15), ("CHUNKS_PER_GROUP", 3), ("WINDOW_ROWS", 50)):
+        monkeypatch.setattr(quota, name, value)
+    rng = random.Random(11)
+    given = [("hot", T0 + rng.randint(0, 400) * SECOND + rng.choice((0, 0, 0, 1, 7)) * 1000, i) for i in range(2000)]
+    given += [("burst", T0 + 59 * SECOND + rng.randint(0, 900) * 1000, 5000 + i) for i in range(300)]
+    given += [("burst", T0 + 118 * SECOND + rng.randint(0, 2000) * 1000, 6000 + i) for i in range(300)]
+    assert replayed(spark, given) == brute(given, 60)
+
+
 def test_window_is_anchored_not_sliding(spark):
     got = replayed(spark, [("k", T0, 1), ("k", T0 + 59 * SECOND, 2), ("k", T0 + 60 * SECOND, 3)])
     assert [got[i][1] for i in (1, 2, 3)] == [1, 2, 1]
