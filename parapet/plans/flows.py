@@ -5,35 +5,40 @@ A flow is one lazy DataFrame. Screening and routing are projections; only quotas
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from parapet.functions import fixed
 from parapet.operators import quota, routing
 from parapet.operators.audit import audit_rows, outcome
 from parapet.operators.chain import run_chain
+from parapet.operators.screens import Screen
 from parapet.policy import Policy
 from parapet.sources.chat import completion_content, screen_bodies
 
 
-def decide(requests: DataFrame, policy: Policy, ts: str = "ts", request_id: str = "request_id") -> DataFrame:
-    """Quota, input chain and route. Adds ``blocked``, ``screen``, ``reason``, ``provider``, ``model``, ``route_rule``;
+def decide(requests: DataFrame, policy: Policy, ts: str = "ts", request_id: str = "request_id",
+           own: Sequence[Screen] = ()) -> DataFrame:
+    """Quota, input chain (with a user's ``own`` screens) and route. Adds ``blocked``, ``screen``, ``reason``, ``provider``, ``model``, ``route_rule``;
     ``prompt`` is the screened prompt. A request denied by a quota is not screened."""
     prior = None
     if policy.quotas_enabled and policy.quota_rules:
         requests = quota.replay_rules(requests, policy.quota_rules, ts, request_id)
         prior = F.col("deny_reason")
-    screened = run_chain(requests, policy.input_screens(), text="prompt", prior_reason=prior)
+    screened = run_chain(requests, [*policy.input_screens(), *own], text="prompt", prior_reason=prior)
     return routing.route(screened, policy)
 
 
-def answer(decided: DataFrame, replies: DataFrame, policy: Policy, request_id: str = "request_id") -> DataFrame:
+def answer(decided: DataFrame, replies: DataFrame, policy: Policy, request_id: str = "request_id",
+           own: Sequence[Screen] = ()) -> DataFrame:
     """Join the providers' replies, take fallbacks, apply the output chain, and give one outcome per request.
 
     ``replies``: request id, ``content``, ``prompt_tokens``, ``completion_tokens``, ``error`` (null if the first call
     went well), ``finished_at``. The ids are unique on both sides, so the join has no hot key. Replies are screened
     before the join: where only verdicts and counts are asked for, no text is shuffled.
     """
-    screened = run_chain(replies, policy.output_screens(), text="content").withColumnsRenamed(
+    screened = run_chain(replies, [*policy.output_screens(), *own], text="content").withColumnsRenamed(
         {"screen": "__reply_screen", "reason": "__reply_reason"}).drop("blocked")
     joined = decided.join(screened, request_id, "left")
     failed = joined.withColumn("failed", (~F.col("blocked")) & F.col("error").isNotNull())
@@ -54,11 +59,12 @@ def audit(requests: DataFrame, replies: DataFrame, policy: Policy, request_id: s
     return audit_rows(done.withColumn("started_at", F.col("ts")), request_id, prompt)
 
 
-def pass_on(bodies: DataFrame, policy: Policy, body: str = "body") -> DataFrame:
+def pass_on(bodies: DataFrame, policy: Policy, body: str = "body", own: Sequence[Screen] = ()) -> DataFrame:
     """Screen chat bodies on their way to a provider: ``blocked``, ``reason``, ``screened_body``."""
-    return screen_bodies(bodies, body, policy.input_screens())
+    return screen_bodies(bodies, body, [*policy.input_screens(), *own])
 
 
-def pass_back(replies: DataFrame, policy: Policy, body: str = "reply") -> DataFrame:
+def pass_back(replies: DataFrame, policy: Policy, body: str = "reply", own: Sequence[Screen] = ()) -> DataFrame:
     """Screen completion bodies on their way back: ``content`` (rewritten where needed), ``blocked``, ``reason``."""
-    return run_chain(replies.withColumn("content", completion_content(F.col(body))), policy.output_screens(), "content")
+    opened = replies.withColumn("content", completion_content(F.col(body)))
+    return run_chain(opened, [*policy.output_screens(), *own], "content")

@@ -104,11 +104,10 @@ def request_normalize(spark, sf):
 
 @query
 def payload_build(spark, sf):
-    routed = routing.route(inputs.requests(spark, sf), policy())
-    kinds = [bodies_io.to_payloads(routed, "model", flavor).select(
-        "request_id", F.lit(flavor).alias("flavor"), F.md5("payload").alias("payload_md5"))
-        for flavor in ("openai", "azure-openai", "ollama")]
-    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2])
+    df = routing.route(inputs.requests(spark, sf), policy())
+    made = [F.struct(F.lit(flavor).alias("flavor"), F.md5(bodies_io.payload(flavor)).alias("payload_md5"))
+            for flavor in ("openai", "azure-openai", "ollama")]
+    return df.select("request_id", F.inline(F.array(*made)))
 
 
 # --- screens -------------------------------------------------------------------------------------------------------

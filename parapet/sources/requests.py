@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from parapet.functions import fixed
 from parapet.functions.text import is_blank
+from parapet.policy import Policy
 
 # camelCase name in the body -> (column, type, default)
 FIELDS = {
@@ -52,8 +53,8 @@ def read_requests(df: DataFrame, body: str) -> DataFrame:
     return out.withColumns(columns).drop("__raw", "__fields")
 
 
-def to_payloads(df: DataFrame, model: str = "model", flavor: str = "openai") -> DataFrame:
-    """Adds ``payload``: the chat request a provider of this flavor expects, as JSON.
+def payload(flavor: str, model: str = "model") -> Column:
+    """The chat request a provider of this flavor expects, as JSON text.
 
     Flavors: ``openai`` and ``mistral`` name the model, ``azure-openai`` does not, ``ollama`` also turns streaming off.
     """
@@ -66,4 +67,12 @@ def to_payloads(df: DataFrame, model: str = "model", flavor: str = "openai") ->
                F.coalesce(F.col("temperature"), F.lit(fixed.DEFAULT_TEMPERATURE)).alias("temperature")]
     if flavor == "ollama":
         fields.append(F.lit(False).alias("stream"))
-    return df.withColumn("payload", F.to_json(F.struct(*fields)))
+    return F.to_json(F.struct(*fields))
+
+
+def to_payloads(df: DataFrame, policy: Policy) -> DataFrame:
+    """Adds ``payload`` to routed requests, each in the flavor of its provider's type, for writing out as JSON lines."""
+    made = F.lit(None).cast("string")
+    for name, provider in policy.providers.items():
+        made = F.when(F.col("provider") == name, payload(provider.type.lower())).otherwise(made)
+    return df.withColumn("payload", made)

@@ -70,6 +70,29 @@ def test_quota_comes_first(tables):
     assert rows[5]["prompt"] == "mail a@b.org"  # not screened
 
 
+def test_own_screens_join_the_chains(tables):
+    from parapet.operators.screens import CustomScreen, blocked_if
+    requests, replies = tables
+    policy = Policy.from_json(POLICY)
+    hello = CustomScreen("hello", 10, lambda t: blocked_if(t == "hello", "no hello"))
+    ok = CustomScreen("ok", 10, lambda t: blocked_if(t == "ok", "no ok"))
+    out = flows.answer(flows.decide(requests, policy, own=[hello]), replies, policy, own=[ok]).collect()
+    assert {r["request_id"]: r["reason"] for r in out if r["request_id"] in (1, 2, 5)} == {
+        1: "no hello", 2: "Prompt injection attempt detected.", 5: "no ok"}
+
+
+def test_audit_shuffles_no_texts(spark, tables):
+    requests, replies = tables
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = flows.audit(requests, replies, Policy.from_json(POLICY))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    lines = plan.split("\n")
+    moved = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert len(moved) == 2 and not any("prompt#" in m or "content#" in m for m in moved)
+
+
 def test_line(tables):
     requests, replies = tables
     events = flows.audit(requests.withColumn("tenant_id", F.lit(None).cast("string")), replies, Policy.from_json(POLICY))

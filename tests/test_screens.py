@@ -197,3 +197,15 @@ def test_fold_takes_the_first_blocked_part(spark):
         "id long, part int, blocked boolean, reason string")
     rows = fold_parts(parts, ["id"], "part").orderBy("id").collect()
     assert [tuple(r) for r in rows] == [(1, 3, True, 1, "a"), (2, 1, False, None, None)]
+
+
+def test_chains_run_on_streams(spark, texts, tmp_path):
+    from parapet.operators.pii import Pii
+    given = texts("drop table", "mail a@b.org", "fine")
+    given.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(given.schema).parquet(str(tmp_path / "in"))
+    run = (run_chain(stream, [*CHAIN, Pii()]).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+           .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start())
+    run.awaitTermination()
+    key = lambda rows: sorted(map(tuple, rows), key=repr)
+    assert key(spark.read.parquet(str(tmp_path / "out")).collect()) == key(run_chain(given, [*CHAIN, Pii()]).collect())

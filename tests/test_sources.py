@@ -117,7 +117,17 @@ def test_read_requests(spark):
 def test_payloads(spark, flavor, system, wanted):
     df = spark.createDataFrame([("m", "p", system, None, None)],
                                "model string, prompt string, system_prompt string, max_tokens int, temperature double")
-    assert json.loads(requests.to_payloads(df, "model", flavor).first()["payload"]) == wanted
+    assert json.loads(df.select(requests.payload(flavor)).first()[0]) == wanted
+
+
+def test_payload_follows_the_routed_provider(spark):
+    df = spark.createDataFrame(
+        [("azure", "m", "p"), ("local", "m", "p"), ("openai", "m", "p"), ("other", "m", "p")],
+        "provider string, model string, prompt string").selectExpr(
+        "*", "CAST(NULL AS STRING) AS system_prompt", "7 AS max_tokens", "CAST(NULL AS DOUBLE) AS temperature")
+    made = [r["payload"] and json.loads(r["payload"])
+            for r in requests.to_payloads(df, Policy.from_json(POLICY)).collect()]
+    assert "model" not in made[0] and made[1]["stream"] is False and made[2]["max_tokens"] == 7 and made[3] is None
 
 
 def test_audit_table(spark, tmp_path):
