@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from parapet.functions.clock import epoch_micros, from_micros
+
 
 def block_rate_by_minute(audit: DataFrame, ts: str = "started_at", late: str = "10 minutes") -> DataFrame:
-    """Requests and blocks per tumbling minute, emitted once the watermark has passed the minute."""
-    return (audit.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)
+    """Requests and blocks per tumbling minute, emitted once the watermark has passed the minute. Times without zone are
+    taken as UTC."""
+    return (audit.withColumn("at", from_micros(epoch_micros(audit, ts))).withWatermark("at", late)
             .groupBy(F.window("at", "1 minute"))
             .agg(F.count("*").alias("requests"), F.sum(F.col("blocked").cast("bigint")).alias("blocked"))
             .select(F.col("window.start").alias("minute"), "requests", "blocked",
