@@ -76,7 +76,8 @@ class Rows:
         """
         kept = [c for c in self.kept if c not in names]
         values = F.struct(*[F.col(self.ref(v)).alias(k) for k, v in names.items()])
-        return self.df.select(*kept, F.inline(F.array(values)))
+        order = [*self.kept, *(n for n in names if n not in self.kept)]
+        return self.df.select(*kept, F.inline(F.array(values))).select(*order)
 
 
 class Parts:

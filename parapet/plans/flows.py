@@ -20,8 +20,11 @@ from parapet.sources.chat import completion_content, screen_bodies
 
 def decide(requests: DataFrame, policy: Policy, ts: str = "ts", request_id: str = "request_id",
            own: Sequence[Screen] = ()) -> DataFrame:
-    """Quota, input chain (with a user's ``own`` screens) and route. Adds ``blocked``, ``screen``, ``reason``, ``provider``, ``model``, ``route_rule``;
-    ``prompt`` is the screened prompt. A request denied by a quota is not screened."""
+    """Quota, input chain (with a user's ``own`` screens) and route.
+
+    Adds ``blocked``, ``screen``, ``reason``, ``provider``, ``model``, ``route_rule``; ``prompt`` is the screened prompt. A
+    request denied by a quota is not screened.
+    """
     prior = None
     if policy.quotas_enabled and policy.quota_rules:
         requests = quota.replay_rules(requests, policy.quota_rules, ts, request_id)

@@ -109,6 +109,12 @@ def test_findings_count_at_each_step(texts):
     assert sorted(map(tuple, report)) == [("EMAIL", 2, 1), ("PHONE", 1, 1)]
 
 
+def test_columns_keep_their_place(spark):
+    df = spark.sql("SELECT 'a@b.org' AS text, 1 AS id, true AS blocked")
+    assert pii.redact(df, "text").columns == ["text", "id", "blocked"]
+    assert run_chain(df, [pii.Pii("block")]).columns == ["text", "id", "blocked", "screen", "reason"]
+
+
 def test_unknown_option_is_refused(texts):
     with pytest.raises(ValueError):
         pii.redact(texts("x"), "text", {"detectNothing": True})
