@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,18 @@ def cut(df: DataFrame) -> DataFrame:
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's executors, once; they need no installed copy and no PYTHONPATH."""
+    context = spark.sparkContext
+    if getattr(context, "_parapet_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    if package.parent.is_dir():  # not from a zip, which is on the executors already
+        target = Path(tempfile.mkdtemp(prefix="parapet-code-")) / "parapet.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for file in sorted(package.rglob("*.py")):
+                archive.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(target))
+    context._parapet_shipped = True
