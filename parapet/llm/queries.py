@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parapet.llm import mixing, packed, pieces
+from parapet.llm import cosine, htmltext, knn, mixing, packed, pieces, quality, simhash, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -35,6 +35,13 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids", "exact")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of every document; its source is the site, its language the path below it."""
+    docs = _table(spark, sf_dir, "documents")
+    evidence = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.posterior(docs, evidence, F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixed corpus, texts included."""
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "mix_copy", "mix_order")
@@ -45,6 +52,35 @@ def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.write_and_read(_table(spark, sf_dir, "documents"), _word_bpe, end_id=2, words=True)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth id."""
+    return knn.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors within their labels."""
+    return cosine.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the labelled categories for every document, and whether it counts as toxic."""
+    docs = _table(spark, sf_dir, "documents")
+    chain = toxicity.fit(docs, _table(spark, sf_dir, "labels"), toxicity.categories())
+    return toxicity.score(docs.select("doc_id", "text"), chain).select(
+        "doc_id", "toxicity.p_low_quality", "toxicity.p_toxic", F.col("toxicity.is_toxic").alias("toxic"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    return htmltext.main_text(pages, htmltext.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
