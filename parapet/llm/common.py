@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -68,3 +69,9 @@ def nested(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     np.cumsum([len(v) for v in values], out=offsets[1:])
     flat = np.concatenate(values) if values else np.zeros(0)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, kind))
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished steps now, not when the driver next happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()

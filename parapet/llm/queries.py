@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parapet.llm import cosine, htmltext, knn, mixing, packed, pieces, quality, simhash, toxicity
+from parapet.llm import cosine, htmltext, knn, mixing, packed, pieces, quality, simhash, suffixes, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -62,6 +62,11 @@ def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every document without the bytes that earlier documents hold."""
+    return suffixes.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors within their labels."""
     return cosine.near_duplicates(_table(spark, sf_dir, "embeddings"))

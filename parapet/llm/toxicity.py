@@ -157,3 +157,15 @@ def score(docs: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
 def categories() -> dict[str, Column]:
     """The categories of the ``labels`` table, in chain order."""
     return {"low_quality": F.lit(1) - F.col("quality"), "toxic": F.col("toxic")}
+
+
+def rejected(docs: DataFrame, chain: Chain, category: str = "toxic", text: str = "text") -> DataFrame:
+    """The documents that do not fall into the category, with their own columns."""
+    @F.pandas_udf("boolean")
+    def falls(texts: pd.Series) -> pd.Series:
+        texts = [t or "" for t in texts]
+        k = chain.categories.index(category)
+        p = chain.predict(chain.features(texts))[:, k]
+        return pd.Series([bool(t) and bool(x >= chain.thresholds[k]) for t, x in zip(texts, p)], dtype=bool)
+
+    return docs.filter(~falls(F.col(text).cast("string")))
