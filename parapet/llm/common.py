@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -26,7 +27,17 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = folder(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Remove tables made by ``written`` that no later step reads."""
+    for table in tables:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +83,11 @@ def nested(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of finished steps now, not when the driver next happens to collect garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark remove the shuffle files of finished steps now, not when the driver next happens to collect garbage.
+
+    Python lets go of its handles first; Spark's cleaner then works on what the JVM found unused, in its own thread.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1.0)

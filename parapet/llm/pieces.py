@@ -25,7 +25,9 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Text handed to the library at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+#: Words a task remembers; decoded texts and ids need room beside them.
+REMEMBERED = 300_000
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
                        T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType()),
                        T.StructField("exact", T.BooleanType())])
@@ -166,7 +168,7 @@ class Codec:
         self.plain = rebuild(self.model, prefix=False)
         #: Words of unnormalised text stand for themselves only if normalising means no more than the marker.
         self.wordwise = cuttable(self.model) and not self.model.charsmap and not self.model.collapse
-        self.words = Words(self._each)
+        self.words = Words(self._each, REMEMBERED)
 
     def _each(self, words: list[str]) -> list[bytes]:
         found = self.plain.encode_batch_fast(words, add_special_tokens=False)

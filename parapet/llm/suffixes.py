@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from parapet.llm.common import buffers, nested, released, slices, written
+from parapet.llm.common import buffers, discarded, nested, released, slices, written
 
 LENGTH = 50
 #: Bytes of the grams that are hashed; every window has ``LENGTH - GRAM + 1`` of them.
@@ -31,9 +31,12 @@ GRAM = 20
 LONGEST = 128
 #: A hash with more different strings is dealt out by single windows instead.
 CROWD = 20_000
-COLLECTION = 1 << 20
+COLLECTION = 256 << 10
 CHUNK = 4 << 20
-RANK = np.int64((1 << 40) - 1)
+#: Text searched for runs at once: its arrays of hashes stay in the processor's cache.
+SCAN = 256 << 10
+#: Rows of strings held by a task while it looks for those of one hash.
+HELD = 20_000
 
 
 def grams(data: np.ndarray, size: int = GRAM) -> np.ndarray:
@@ -129,39 +132,45 @@ def column_sort(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray, cap: int
     shares with its predecessor, up to ``cap``.
     """
     m = len(sizes)
-    key = np.arange(m, dtype=np.int64)  # first symbol and rank of the rest; the empty suffixes rank by string
-    start = ends.astype(np.int64).copy()
+    total = m + int(sizes.sum())
+    # a key is the first symbol and the rank of the rest: in 32 bits where 22 hold every rank
+    kind, bits = (np.int32, 22) if total < 1 << 22 else (np.int64, 40)
+    low = kind((1 << bits) - 1)
+    key = np.arange(m, dtype=kind)  # the empty suffixes rank by string
+    start = ends.astype(kind)
     before = np.zeros(m, np.int16)
     shared = np.zeros(m, np.uint8)
-    rank = np.arange(m, dtype=np.int64)  # of each string's longest suffix so far
+    rank = np.arange(m, dtype=kind)  # of each string's longest suffix so far
     active = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1 if m else 1), "right")
     for j, a in enumerate(active.tolist(), 1):
-        symbol = data[ends[:a] - j].astype(np.int64) + 1
+        symbol = data[ends[:a] - j].astype(kind) + kind(1)
         before[rank[:a]] = symbol
-        new = symbol << 40 | rank[:a]
+        new = symbol << kind(bits) | rank[:a]
         order = np.argsort(new)
         new = new[order]
         at = np.searchsorted(key, new) + np.arange(a)
-        fresh = np.zeros(len(key) + a, bool)
-        fresh[at] = True
-        moved = np.flatnonzero(~fresh)
+        old = np.ones(len(key) + a, bool)
+        old[at] = False
+        moved = np.flatnonzero(old).astype(kind)
 
-        def merged(old, added):
-            out = np.empty(len(fresh), old.dtype)
-            out[moved] = old
+        def merged(values, added):
+            out = np.empty(len(old), values.dtype)
+            out[old] = values
             out[at] = added
             return out
 
         key2 = merged(key, new)
         shared2 = merged(shared, 0)
-        touched = np.unique(np.concatenate([at, at + 1]))
-        touched = touched[touched < len(fresh)]
+        near = np.zeros(len(old) + 1, bool)
+        near[at] = near[at + 1] = True
+        touched = np.flatnonzero(near[:-1])
         x, y = key2[touched - 1], key2[touched]
-        same = (x >> 40 == y >> 40) & (y >> 40 > 0)
+        same = (x >> bits == y >> bits) & (y >> bits > 0)
         shared2[touched] = 0
         own = touched[same]
-        shared2[own] = np.minimum(range_min(shared, (x[same] & RANK) + 1, y[same] & RANK), cap - 1) + 1
-        key = key2 & ~RANK | moved[key2 & RANK]
+        shared2[own] = np.minimum(range_min(shared, (x[same] & low).astype(np.int64) + 1, (y[same] & low).astype(np.int64)),
+                                  cap - 1) + 1
+        key = key2 & ~low | moved[key2 & low]
         start = merged(start, ends[:a][order] - j)
         before = merged(before, 0)
         shared = shared2
@@ -202,7 +211,7 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def _keys(texts: DataFrame) -> DataFrame:
     """``key, doc_id`` of every run, once per document and key and task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "bytes", CHUNK):
+        for batch in slices(batches, "bytes", SCAN):
             row, _, _, key = runs(*buffers(batch.column("bytes")))
             docs = batch.column("doc_id").to_numpy()[row]
             order = np.lexsort((docs, key))
@@ -215,15 +224,15 @@ def _keys(texts: DataFrame) -> DataFrame:
 
 def _strings(texts: DataFrame) -> DataFrame:
     """The strings of runs whose hash is among ``keys``: ``key, string, doc_id, row, start``."""
+    spread = np.int64(0x9E3779B97F4A7C1)  # tells the documents of a slice apart; a clash keeps a run too many
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "bytes", CHUNK):
+        for batch in slices(batches, "bytes", SCAN):
             offsets, data = buffers(batch.column("bytes"))
             row, place, n, key = runs(offsets, data)
             wanted = batch.column("keys")
             owner = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False))
-            pairs = np.rec.fromarrays([owner, wanted.flatten().to_numpy(zero_copy_only=False)])
-            keep = np.isin(np.rec.fromarrays([row, key]).astype(pairs.dtype).view("V16").ravel(),
-                           pairs.view("V16").ravel()) if len(pairs) and len(row) else np.zeros(len(row), bool)
+            keep = np.isin(key + row * spread, wanted.flatten().to_numpy(zero_copy_only=False) + owner * spread)
             row, place, n, key = (c[keep] for c in (row, place, n, key))
             cuts = -(-n // LONGEST)  # long runs go out in parts
             part = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
@@ -256,33 +265,86 @@ def _by_window(strings: DataFrame) -> DataFrame:
     return each.select(key.alias("key"), "string", "doc_id", "row", "start")
 
 
+def _met(strings: pa.Array, key: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Whether a string can share a window with another of its group.
+
+    A shared window holds the gram of the group's hash and half of its other bytes before or after it. Strings that have
+    the gram once and no such context in common with any other are alone. A group with any string that has it several
+    times (or, by single windows, not at all) is left as it is.
+    """
+    if not len(group):
+        return np.zeros(0, bool)
+    offsets, data = buffers(strings)
+    side = (LENGTH - GRAM) // 2
+    owner = np.repeat(np.arange(len(group)), np.diff(offsets))
+    hashes, contexts = grams(data).view(np.int64), grams(data, GRAM + side)
+    at = np.flatnonzero(hashes == key[owner[:len(hashes)]])
+    at = at[at + GRAM <= offsets[owner[at] + 1]]
+    times = np.bincount(owner[at], minlength=len(group))
+    odd = np.zeros(int(group[-1]) + 1, bool)
+    odd[group[times != 1]] = True
+    meets = odd[group]
+    at = at[~meets[owner[at]]]
+    own = owner[at]
+    for from_ in (at - side, at):
+        whole = (from_ >= offsets[own]) & (from_ + GRAM + side <= offsets[own + 1])
+        rows = own[whole]
+        mark = contexts[from_[whole]] + group[rows].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        _, place, many = np.unique(mark, return_inverse=True, return_counts=True)
+        meets[rows[many[place] > 1]] = True
+    return meets
+
+
 def _minima(strings: DataFrame, partitions: int) -> DataFrame:
-    """For each different string its two hashes and, per window, the least document that holds the window."""
+    """For each different string its two hashes and, per window, the least document that holds the window.
+
+    One holder stands for all windows where they agree. A hash with a single string needs no sorting.
+    """
     once = strings.groupBy("key", "string").agg(F.min("doc_id").alias("doc_id"))
     dealt = once.repartition(partitions, "key").sortWithinPartitions("key").select("key", "string", "doc_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[int] = []
-        strings: list[bytes] = []
-        docs: list[int] = []
-        held = 0
-
-        def done():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(strings, pa.binary()), nested(least_holders(strings, np.array(docs, np.int64)), pa.int64())],
-                ["string", "holders"])
+    def sort(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, docs = table.column("key").to_numpy(), table.column("doc_id").to_numpy()
+        strings = table.column("string").combine_chunks()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        count = np.diff(np.append(first, len(key)))
+        rows = np.flatnonzero(np.repeat(count > 1, count))
+        group = np.repeat(np.arange(len(count)), count)[rows]
+        meets = _met(strings.take(pa.array(rows)), key[rows], group)
+        alone = np.concatenate([first[count == 1], rows[~meets]])
+        rows, group = rows[meets], group[meets]
+        yield pa.RecordBatch.from_arrays(
+            [strings.take(pa.array(alone)), pa.ListArray.from_arrays(
+                pa.array(np.arange(len(alone) + 1), pa.int32()), pa.array(docs[alone]))], ["string", "holders"])
+        if not len(rows):
+            return
+        sizes = np.diff(buffers(strings.take(pa.array(rows)))[0])
+        opens = np.append(True, group[1:] != group[:-1])
+        at = np.cumsum(sizes) - sizes
+        block = np.maximum.accumulate(np.where(opens, at, 0)) // COLLECTION
+        for own in np.split(rows, np.flatnonzero(block[1:] != block[:-1]) + 1):
+            texts = strings.take(pa.array(own)).to_pylist()
+            holders = [h[:1] if (h == h[0]).all() else h for h in least_holders(texts, docs[own])]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), nested(holders, pa.int64())],
+                                             ["string", "holders"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for batch in batches:
-            for key, string, doc in zip(*(batch.column(c).to_pylist() for c in ("key", "string", "doc_id"))):
-                if held >= COLLECTION and key != keys[-1]:
-                    yield done()
-                    keys, strings, docs, held = [], [], [], 0
-                keys.append(key)
-                strings.append(string)
-                docs.append(doc)
-                held += len(string)
-        if strings:
-            yield done()
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= HELD:
+                table = pa.Table.from_batches(held)
+                key = table.column("key").to_numpy()
+                last = int(np.searchsorted(key, key[-1]))  # the last hash may go on
+                if last:
+                    yield from sort(table.slice(0, last))
+                    held = table.slice(last).combine_chunks().to_batches()
+                    rows -= last
+        if rows:
+            yield from sort(pa.Table.from_batches(held))
 
     found = dealt.mapInArrow(run, "string binary, holders array<long>")
     return found.select(*_names(), "holders")
@@ -297,21 +359,24 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _texts(docs, doc_id, text).filter(F.col("doc_id").isNotNull() & (F.octet_length("bytes") >= LENGTH))
-    keys = _keys(texts)
+    keys = _keys(texts)  # scanned twice: written out they would take as much room as the texts
     common = written(keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter(
         "low < high").select("key"), "common-keys")
     released(spark)
-    own = written(keys.join(common, "key", "left_semi").groupBy("doc_id").agg(F.collect_set("key").alias("keys")),
-                  "document-keys")
+    own = written(keys.join(common.hint("shuffle_hash"), "key", "left_semi").groupBy("doc_id").agg(
+        F.collect_list("key").alias("keys")), "document-keys")
     released(spark)
-    strings = written(_strings(texts.join(own, "doc_id")), "strings")
+    cut = written(_strings(texts.join(own.hint("shuffle_hash"), "doc_id")), "strings")
+    discarded(common, own)
     released(spark)
-    strings = written(_by_window(strings), "strings")
+    strings = _by_window(cut)
     minima = written(_minima(strings, partitions), "holders")
     released(spark)
-    met = strings.select("doc_id", "row", "start", *_names()).join(minima, ["s1", "s2"])
+    held = strings.select("doc_id", "row", "start", (F.octet_length("string") - (LENGTH - 1)).alias("n"), *_names())
     # windows of a string that an earlier document holds, as ranges of bytes
-    hit = met.select("doc_id", "row", "start", F.transform("holders", lambda d: d < F.col("doc_id")).alias("hit"))
+    hit = held.join(minima.hint("shuffle_hash"), ["s1", "s2"]).select(
+        "doc_id", "row", "start", "n", F.transform("holders", lambda d: d < F.col("doc_id")).alias("hit")).filter(
+        F.exists("hit", lambda h: h))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,13 +390,18 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             last = np.flatnonzero(flat & (np.append(edge[1:], True)[:len(flat)] | ~np.append(flat[1:], False)[:len(flat)]))
             own = string[first]
             start = batch.column("start").to_numpy()[own]
+            all_of_it = np.where(sizes == 1, batch.column("n").to_numpy(), 1)[own]  # one flag may stand for every window
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(own)), batch.column("row").take(pa.array(own)),
-                 pa.array(start + place[first]), pa.array(start + place[last] + LENGTH)], ["doc_id", "row", "low", "high"])
+                 pa.array(start + place[first]), pa.array(start + place[last] + all_of_it + LENGTH - 1)],
+                ["doc_id", "row", "low", "high"])
 
-    spans = hit.filter(F.exists("hit", lambda h: h)).mapInArrow(run, "doc_id long, row long, low long, high long")
-    found = spans.groupBy("doc_id", "row").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    return written(found, "spans")
+    spans = hit.mapInArrow(run, "doc_id long, row long, low long, high long")
+    found = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    found = written(found, "spans")
+    discarded(cut, minima)
+    released(spark)
+    return found
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -357,7 +427,7 @@ def _joined(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataFra
     raw = F.col(text).cast("string")
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(doc_id).cast("long").alias("_id"),
                        F.coalesce(raw, F.lit("")).cast("binary").alias("_bytes"), F.xxhash64(raw).alias("_hash"))
-    return rows.join(spans, (F.col("_id") == F.col("_doc")) & (F.col("_hash") == F.col("_row")), "left").drop(
+    return rows.join(spans.hint("shuffle_hash"), (F.col("_id") == F.col("_doc")) & (F.col("_hash") == F.col("_row")), "left").drop(
         "_doc", "_row", "_hash")
 
 

@@ -17,13 +17,13 @@ LONGEST = 64
 class Words:
     """Ids of words as little-endian 32-bit bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]]):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = REMEMBERED):
+        self.encode, self.most = encode, most
         self.known: dict[str, bytes] = {"": b""}
 
     def ids(self, texts: list[list[str]]) -> list[bytes]:
         """For each list of words, the ids of all words joined."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.most:
             self.known = {"": b""}
         known = self.known
         new = {w for words in texts for w in words if w not in known}
