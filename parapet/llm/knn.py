@@ -227,6 +227,8 @@ def brute_force(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str =
     """The true answer to ``search``, for measuring recall: the queries (all on the driver) against every row."""
     rows = vectors.select(F.col(vec_id).alias("id"), F.col(vector).alias("raw"), is_query.alias("query"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("raw"))).select("id", "query", doubles(F.col("raw")).alias("v"))
+    sample = picked(rows, SAMPLE)
+    rows = rows.filter(F.size("v") == (sample.shape[1] if len(sample) else -1))
     asked = [(r["id"], np.array(r["v"])) for r in rows.filter("query").collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -116,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], rows_
     words = vocabulary(rows, names)
     place = {w: i for i, w in enumerate(words)}
     chosen = F.array_intersect("words", F.array(*map(F.lit, words)).cast("array<string>"))
-    got = rows.select("doc_id", *names, chosen.alias("words"), "shape").orderBy("doc_id", "shape").collect()
+    got = rows.select("doc_id", *names, chosen.alias("words"), "shape").orderBy(
+        *names, F.xxhash64("doc_id"), "doc_id", "shape").collect()  # every fold gets its share of each side
     x = np.zeros((len(got), len(words) + SHAPES), np.float32)
     for i, row in enumerate(got):
         x[i, [place[w] for w in row["words"]]] = 1
