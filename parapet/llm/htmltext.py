@@ -4,8 +4,8 @@ A page is a sequence of tags and words. Words score positive or negative by the
 negative; the contiguous stretch with the largest sum is the article, found in one linear scan. The weights come from
 labelled pages: pages whose markup names the article itself (``article`` or ``main``), with its words as positives and
 all others as negatives. Contexts that no labelled page has shown get a prior. Elements that are never part of an
-article (menus, forms, adverts, notices, comments and so on, by name or by class, id or role) score low everywhere and
-are left out even if they lie inside the stretch.
+article (menus, forms, adverts, notices, comments and so on, by name or by class, id or role) score below zero as a
+whole and are left out even if they lie inside the stretch.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from parapet.llm.common import slices
 PAGES = 400
 CHUNK = 8 << 20
 PRIOR_WORD, PRIOR_WEIGHT, LIMIT = 1.0, 5.0, 4.0
+#: Score of a stretch of furniture, whatever its length: it is left out anyway and must not cut an article in two.
+FURNITURE = -1.0
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -129,9 +131,7 @@ class Weights:
     def __init__(self, words: dict[str, float], tags: dict[str, float]):
         self.words, self.tags = words, tags
 
-    def word(self, context: str, furniture: bool) -> float:
-        if furniture:
-            return -LIMIT
+    def word(self, context: str) -> float:
         return self.words.get(context, PRIOR_WORD if context not in ("a", "page") else -PRIOR_WORD)
 
     def tag(self, name: str) -> float:
@@ -202,7 +202,7 @@ def extract(page: str | None, w: Weights) -> str:
             total, start = 0.0, i
         n = len(text.split())
         if n:
-            total += n * w.word(context, furniture)
+            total += FURNITURE if furniture else n * w.word(context)
             if total > best:
                 best, first, last = total, start, i
             elif total < 0:
