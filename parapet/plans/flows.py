@@ -42,17 +42,20 @@ def answer(decided: DataFrame, replies: DataFrame, policy: Policy, request_id: s
     before the join: where only verdicts and counts are asked for, no text is shuffled.
     """
     screened = run_chain(replies, [*policy.output_screens(), *own], text="content").withColumnsRenamed(
-        {"screen": "__reply_screen", "reason": "__reply_reason"}).drop("blocked")
+        {"screen": "__reply_screen", "reason": "__reply_reason"}).drop("blocked").withColumn("__replied", F.lit(True))
     joined = decided.join(screened, request_id, "left")
     failed = joined.withColumn("failed", (~F.col("blocked")) & F.col("error").isNotNull())
     routed = routing.apply_fallback(failed, policy)
-    broken = F.when(F.col("unresolved"), F.concat(F.lit(fixed.REASON_ERROR), F.col("error")))
+    # a request that went out and got no reply is an error of the gateway, not an empty answer
+    missing = F.col("__replied").isNull() & F.col("reason").isNull()
+    broken = F.when(F.col("unresolved"), F.concat(F.lit(fixed.REASON_ERROR), F.col("error"))).when(
+        missing, F.lit(fixed.REASON_ERROR + "no reply"))
     out = routed.withColumn("__prior", F.coalesce(F.col("reason"), broken))
     out = out.withColumns({
         "screen": F.when(F.col("__prior").isNull(), F.col("__reply_screen")).otherwise(F.col("screen")),
         "reason": F.coalesce("__prior", "__reply_reason"), "estimated_cost": F.lit(0)})
     out = out.withColumn("blocked", F.col("reason").isNotNull())
-    return outcome(out.drop("__prior", "__reply_screen", "__reply_reason", "failed", "unresolved"))
+    return outcome(out.drop("__prior", "__reply_screen", "__reply_reason", "__replied", "failed", "unresolved"))
 
 
 def audit(requests: DataFrame, replies: DataFrame, policy: Policy, request_id: str = "request_id") -> DataFrame:

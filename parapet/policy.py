@@ -30,6 +30,8 @@ class Provider:
 
 NUMERIC = ("gt", "gte", "lt", "lte")
 TEXTUAL = ("contains", "startswith")
+#: Numbers are compared as decimal(38,18).
+LARGEST = Decimal(10) ** 20
 
 
 @dataclass(frozen=True)
@@ -42,6 +44,8 @@ class Condition:
         op = self.operator.lower()
         if op in NUMERIC and self.number is None:
             raise PolicyError(f"condition on {self.field!r}: {op} needs a number")
+        if op in NUMERIC and not abs(self.number) < LARGEST:
+            raise PolicyError(f"condition on {self.field!r}: {self.value} is out of range")
         if op in TEXTUAL and (not isinstance(self.value, str) or isinstance(self.value, NumberText)):
             raise PolicyError(f"condition on {self.field!r}: {op} needs a string")
 
@@ -217,6 +221,8 @@ class Policy:
 def _custom(given):
     from parapet.operators.pii import CustomPattern
 
+    if not (given if isinstance(given, str) else _get(given, "pattern", "")):
+        raise PolicyError("a custom pattern is empty")
     if isinstance(given, str):
         return CustomPattern("CUSTOM", given)
     return CustomPattern(_get(given, "name", ""), _get(given, "pattern", ""),

@@ -44,7 +44,7 @@ def test_flow(tables):
     assert (rows[4]["status"], rows[4]["reason"]) == (422, "Gateway error: timeout")
     assert rows[5]["prompt"] == "mail [REDACTED_EMAIL]"
     assert rows[6]["reason"] == "Response blocked: contains forbidden content."
-    assert rows[7]["blocked"] is False and rows[7]["content"] == ""
+    assert (rows[7]["status"], rows[7]["reason"], rows[7]["content"]) == (422, "Gateway error: no reply", "")
 
 
 def test_audit_rows(tables):

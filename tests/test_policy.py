@@ -2,7 +2,7 @@ import pytest
 
 from parapet.operators import pii, risk, screens
 from parapet.plans.samples import POLICY
-from parapet.policy import Policy, PolicyError
+from parapet.policy import Condition, NumberText, Policy, PolicyError
 
 
 def test_comments_commas_case_and_environment(tmp_path):
@@ -66,3 +66,17 @@ def test_quota_rules():
     policy = Policy.from_json(text)
     assert policy.quotas_enabled and policy.quota_rules[0].requests_per_minute == 60
     assert str(policy.quota_rules[0].monthly_budget_usd) == "10.5" and policy.quota_rules[1].requests_per_minute is None
+
+
+@pytest.mark.parametrize("value", ["100000000000000000000", "-1e30"])
+def test_numbers_out_of_range_are_refused(value):
+    with pytest.raises(PolicyError):
+        Condition("maxTokens", "lt", NumberText(value))
+
+
+def test_empty_custom_patterns_are_refused():
+    from parapet.policy import _custom
+
+    for given in ("", {"name": "x"}):
+        with pytest.raises(PolicyError):
+            _custom(given)

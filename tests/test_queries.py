@@ -27,10 +27,15 @@ def ordered(names, rows):
 
 
 def test_every_query_has_a_twin():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(contract.plans.registered()) == set(contract.oracle.statements())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_package_reaches_the_executors(spark):
+    contract.ship(spark)
+    assert any(str(f).endswith("parapet.zip") for f in spark.sparkContext.listFiles)
+
+
+@pytest.mark.parametrize("name", sorted(contract.plans.registered()))
 def test_query(spark, con, name):
     df = contract.queries()[name](spark, str(SF))
     found = con.execute(contract.oracle_sql()[name])
