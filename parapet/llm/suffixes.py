@@ -320,8 +320,14 @@ def _minima(strings: DataFrame, partitions: int) -> DataFrame:
             return
         sizes = np.diff(buffers(strings.take(pa.array(rows)))[0])
         opens = np.append(True, group[1:] != group[:-1])
+        # a collection takes as many rounds as its longest string has symbols: groups of like length go together, and
+        # strings that hold their gram several times, which alone pass this length, into collections of their own
+        starts = np.flatnonzero(opens)
+        longest = np.repeat(np.maximum.reduceat(sizes, starts), np.diff(np.append(starts, len(rows))))
+        order = np.argsort(longest, kind="stable")
+        rows, sizes, opens, longest = rows[order], sizes[order], opens[order], longest[order]
         at = np.cumsum(sizes) - sizes
-        block = np.maximum.accumulate(np.where(opens, at, 0)) // COLLECTION
+        block = np.maximum.accumulate(np.where(opens, at, 0)) // COLLECTION * 2 + (longest > 2 * LENGTH - GRAM)
         for own in np.split(rows, np.flatnonzero(block[1:] != block[:-1]) + 1):
             texts = strings.take(pa.array(own)).to_pylist()
             holders = [h[:1] if (h == h[0]).all() else h for h in least_holders(texts, docs[own])]
