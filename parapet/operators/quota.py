@@ -32,7 +32,6 @@ from parapet.sources.session import cut
 MICROS = 1_000_000
 FOLD_ROWS = 2_048      # runs up to this many requests are folded in one array
 CHUNK_ROWS = 200_000   # longer runs are cut after about this many requests
-WINDOW_ROWS = 1_000_000  # a key with more requests than this in one slot is counted slice by slice
 CHUNKS_PER_GROUP = 64  # step functions composed in one task
 _BEGINNING = -(2 ** 62)
 
@@ -174,14 +173,13 @@ def _entries(steps: DataFrame, levels: int, width: int, fan: int) -> DataFrame:
     return parts.groupBy(*groups).cogroup(given.groupBy(*groups)).applyInArrow(down, _ENTRY)
 
 
-def _chunked(times: DataFrame, long: DataFrame, chunks: int, busiest: int, width: int, fan: int) -> DataFrame:
-    """Openings of long runs."""
+def _chunked(times: DataFrame, long: DataFrame, chunks: int, width: int, fan: int) -> DataFrame:
+    """Openings of long runs. Only the depth of the composition depends on the number of chunks."""
     # A request's rank in its run, estimated by its time within the slot: grows with time, so chunks are time ranges.
     rank = F.col("offset") + F.col("n") * (F.col("us") - F.col("slot") * width) / width
     ticks = (times.join(long.select("key", "slot", "run", "offset", "n"), ["key", "slot"])
-             .select("key", "run", F.floor(rank / CHUNK_ROWS).cast("bigint").alias("part"), "us"))
-    if busiest > CHUNK_ROWS:  # many requests may share one time; a chunk needs every time once
-        ticks = ticks.distinct()
+             .select("key", "run", F.floor(rank / CHUNK_ROWS).cast("bigint").alias("part"), "us")
+             .distinct())  # many requests may share one time; a chunk needs every time once
     groups = ["key", "run", "part"]
     steps = cut(ticks.groupBy(*groups).applyInArrow(_chunk_steps(width), _STEPS))
     levels = max(0, ceil(log(max(chunks, 1), fan)) - 1)
@@ -199,18 +197,18 @@ def _chunked(times: DataFrame, long: DataFrame, chunks: int, busiest: int, width
             .applyInArrow(openings, "key string, opening bigint"))
 
 
-def openings(times: DataFrame, width: int) -> tuple[DataFrame, int]:
-    """All window openings ``key, opening`` of ``times`` (``key, us, slot``), and the most requests in one slot."""
+def openings(times: DataFrame, width: int) -> DataFrame:
+    """All window openings ``key, opening`` of ``times`` (``key, us, slot``)."""
     slots = cut(_slots(times, width))
     is_long = (F.col("run_slots") > 1) & (F.col("run_n") > FOLD_ROWS)
-    sizes = slots.agg(F.max(F.when(is_long, F.col("run_n"))).alias("long"), F.max("n").alias("n")).first()
+    longest = slots.agg(F.max(F.when(is_long, F.col("run_n")))).first()[0] or 0
     single = slots.filter("run_slots = 1").select("key", F.col("first").alias("opening"))
     several = slots.filter("run_slots > 1")
-    found = single.unionByName(_folded(times, several.filter(F.col("run_n") <= FOLD_ROWS), width))
-    if sizes["long"] is not None:
-        chunks = sizes["long"] // CHUNK_ROWS + 1
-        found = found.unionByName(_chunked(times, slots.filter(is_long), chunks, sizes["n"], width, CHUNKS_PER_GROUP))
-    return found, sizes["n"] or 0
+    folded = _folded(times, several.filter(F.col("run_n") <= FOLD_ROWS), width)
+    found = single.unionByName(folded)
+    if longest:  # each run is folded or chunked by its own length; only an empty table of long runs is left out
+        found = found.unionByName(_chunked(times, slots.filter(is_long), longest // CHUNK_ROWS + 1, width, CHUNKS_PER_GROUP))
+    return found
 
 
 # --- replay --------------------------------------------------------------------------------------------------------
@@ -226,7 +224,7 @@ def replay(df: DataFrame, key: Column, ts: str, request_id: str, limit: int | No
     rows = df.withColumns({"quota_key": key, "__us": F.coalesce(epoch_micros(df, ts), F.lit(0).cast("bigint"))})
     rows = rows.withColumn("__slot", slot(F.col("__us"), width))
     times = rows.select(F.col("quota_key").alias("key"), F.col("__us").alias("us"), F.col("__slot").alias("slot"))
-    found, most = openings(times, width)
+    found = openings(times, width)
     # A window reaches into the next slot at most, so every slot sees its own opening and that of the slot before.
     at, none = slot(F.col("opening"), width), F.lit(None).cast("bigint")
     seen = (found.select("key", F.inline(F.array(
@@ -236,13 +234,7 @@ def replay(df: DataFrame, key: Column, ts: str, request_id: str, limit: int | No
             .agg(F.max("__own").alias("__own"), F.max("__prior").alias("__prior")))
     placed = (rows.join(seen, ["quota_key", "__slot"])
               .withColumn("__open", F.when(F.col("__own") <= F.col("__us"), F.col("__own")).otherwise(F.col("__prior"))))
-    window = ["quota_key", "__open"]
-    if most <= WINDOW_ROWS:
-        counted = placed.withColumn("n", F.row_number().over(
-            Window.partitionBy(*window).orderBy("__us", request_id)).cast("bigint"))
-    else:
-        counted = running_total(cut(placed), window, "__us", [request_id], {"n": F.lit(1).cast("bigint")},
-                                max(width // 64, 1))
+    counted = running_total(placed, ["quota_key", "__open"], "__us", [request_id], {"n": F.lit(1).cast("bigint")})
     out = counted.select(*df.columns, "quota_key", from_micros(F.col("__open")).alias("window_start"), "n")
     return out if limit is None else out.withColumn("denied", F.col("n") > limit)
 
@@ -278,11 +270,11 @@ def usage_budget(df: DataFrame, key: Column, ts: str, request_id: str, cost: Col
                  budget: float | None = None) -> DataFrame:
     """Adds running ``spent`` and ``tokens_used`` per key and calendar month, and ``over_budget`` with a budget.
 
-    A month of one key can be a third of all rows, so the running sums go hour by hour (see ``running_total``).
+    A month of one key can be a third of all rows; ``running_total`` splits it.
     """
     staged = df.withColumns({"quota_key": key, "month": F.date_format(F.col(ts), "yyyy-MM"),
                              "__us": F.coalesce(epoch_micros(df, ts), F.lit(0).cast("bigint"))})
     staged = staged.withColumn("month", F.coalesce("month", F.lit("unknown")))
     out = running_total(staged, ["quota_key", "month"], "__us", [request_id],
-                        {"spent": cost, "tokens_used": tokens}, 3600 * MICROS).drop("__us")
+                        {"spent": cost, "tokens_used": tokens}).drop("__us")
     return out if budget is None else out.withColumn("over_budget", F.col("spent") > F.lit(budget))

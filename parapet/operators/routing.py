@@ -26,7 +26,12 @@ def field_value(df: DataFrame, field: str) -> Column | None:
     if name in _COLUMNS:
         return F.col(_COLUMNS[name])
     if name.startswith(_METADATA):
-        return F.try_element_at(F.col("metadata"), F.lit(field[len(_METADATA):]))  # the key keeps its case
+        key = field[len(_METADATA):]  # it keeps its case
+        given = F.try_element_at(F.col("metadata"), F.lit(key))
+        flagged = {"semantic_flags": lambda c: F.array_join(c, ","), "semantic_scores": F.to_json}
+        if key in flagged and key in df.columns:  # what the risk screen found in flag mode counts as metadata
+            return F.coalesce(flagged[key](F.col(key)), given)
+        return given
     return None
 
 
@@ -85,6 +90,12 @@ def route(df: DataFrame, policy: Policy) -> DataFrame:
     }).drop("__pick")
 
 
+def is_disabled(provider: Column, policy: Policy) -> Column:
+    """Whether the policy names this provider (in any case) and has it disabled; never null."""
+    names = [name.lower() for name, p in policy.providers.items() if not p.enabled]
+    return F.coalesce(F.lower(provider).isin(*names), F.lit(False)) if names else F.lit(False)
+
+
 def apply_fallback(df: DataFrame, policy: Policy, failed: str = "failed") -> DataFrame:
     """Where the call failed and a fallback is set for the provider: go to it once.
 

@@ -44,8 +44,14 @@ def answer(decided: DataFrame, replies: DataFrame, policy: Policy, request_id: s
     screened = run_chain(replies, [*policy.output_screens(), *own], text="content").withColumnsRenamed(
         {"screen": "__reply_screen", "reason": "__reply_reason"}).drop("blocked").withColumn("__replied", F.lit(True))
     joined = decided.join(screened, request_id, "left")
-    failed = joined.withColumn("failed", (~F.col("blocked")) & F.col("error").isNotNull())
+    # a disabled provider cannot be called: that is a failed call, of the fallback's too
+    off = routing.is_disabled(F.col("provider"), policy)
+    unknown = F.concat(F.lit("AI provider '"), F.col("provider"), F.lit("' is not registered."))
+    called = joined.withColumn("error", F.when(off, unknown).otherwise(F.col("error")))
+    failed = called.withColumn("failed", (~F.col("blocked")) & F.col("error").isNotNull())
     routed = routing.apply_fallback(failed, policy)
+    lost = F.col("used_fallback") & off
+    routed = routed.withColumns({"unresolved": F.col("unresolved") | lost, "error": F.when(lost, unknown).otherwise(F.col("error"))})
     # a request that went out and got no reply is an error of the gateway, not an empty answer
     missing = F.col("__replied").isNull() & F.col("reason").isNull()
     broken = F.when(F.col("unresolved"), F.concat(F.lit(fixed.REASON_ERROR), F.col("error"))).when(

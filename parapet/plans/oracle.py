@@ -255,8 +255,9 @@ _REPLAY = f"""WITH RECURSIVE {EVENTS}, {_replayed('ev', "'rate:user:' || user_id
 def _finished() -> str:
     reason, text = _response("content")
     return f"""{REQUESTS}, {REPLIES}, {_chain('requests', 'prompt')}, {_routed('chained')},
-    joined AS (SELECT p.*, r.content, r.prompt_tokens, r.completion_tokens, r.error, r.finished_us,
-      p.reason IS NULL AND r.error IS NOT NULL AS failed FROM placed p JOIN replies r USING (request_id)),
+    joined AS (SELECT *, reason IS NULL AND error IS NOT NULL AS failed FROM (SELECT p.*, r.content, r.prompt_tokens,
+      r.completion_tokens, CASE WHEN provider = 'local' THEN 'AI provider ''local'' is not registered.' ELSE r.error END
+      AS error, r.finished_us FROM placed p JOIN replies r USING (request_id))),
     {FALLBACK.replace('{source}', 'joined')},
     prior AS (SELECT *, coalesce(reason, CASE WHEN unresolved THEN 'Gateway error: ' || error END) AS r6 FROM called),
     answered AS (SELECT *, CASE WHEN r6 IS NULL THEN {reason} END AS r7, {text} AS reply FROM prior),

@@ -52,8 +52,10 @@ def screen_bodies(df: DataFrame, body: str, screens: Sequence[Screen]) -> DataFr
 
     Adds ``parts`` (number screened), ``blocked``, ``reason`` (of the first blocked part) and ``screened_body`` (null
     if blocked). All other fields of the body are carried over as they are. One narrow projection: bodies are neither
-    exploded nor shuffled.
+    exploded nor shuffled. The values leave through a generator, as in ``Rows.result``: a later filter on them must not
+    repeat the screens below it.
     """
+    added = ["parts", "blocked", "reason", "screened_body"]
     staged = (df.withColumn("__parsed", _parsed(F.col(body)))
               .withColumn("__before", parts_of(F.col("__parsed")))
               .withColumn("__after", F.col("__before")))
@@ -61,15 +63,16 @@ def screen_bodies(df: DataFrame, body: str, screens: Sequence[Screen]) -> DataFr
               .withColumn("__stop", F.get(F.filter("__after", lambda p: p["reason"].isNotNull()), F.lit(0)))
               .withColumn("__changed", F.transform("__after", lambda p: p["text"])
                           != F.transform("__before", lambda p: p["text"])))
-    return (staged
+    done = (staged
             .withColumn("parts", F.size("__before"))
             .withColumn("blocked", F.col("__stop").isNotNull())
             .withColumn("reason", F.when(F.col("__stop").isNotNull(),
                                          F.coalesce(F.col("__stop.reason"), F.lit(fixed.REASON_INPUT))))
             .withColumn("screened_body", F.when(~F.col("blocked"), F.when(
                 F.coalesce(F.col("__changed"), F.lit(False)),
-                rebuilt(F.col(body), F.col("__parsed"), F.col("__after"))).otherwise(F.col(body))))
-            .drop("__parsed", "__before", "__after", "__stop", "__changed"))
+                rebuilt(F.col(body), F.col("__parsed"), F.col("__after"))).otherwise(F.col(body)))))
+    kept = [c for c in df.columns if c not in added]
+    return done.select(*kept, F.inline(F.array(F.struct(*added))))
 
 
 def rebuilt(body: Column, parsed: Column, after: Column) -> Column:

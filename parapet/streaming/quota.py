@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from parapet.functions import fixed
 from parapet.functions.clock import epoch_micros, from_micros
 
-_OUT = "quota_key string, request_id long, us long, window_us long, n long"
+_OUT = "quota_key string, request_id %s, us long, window_us long, n long"
 _STATE = "window_us long, n long"
 
 
@@ -43,10 +43,10 @@ def stream_quota(stream: DataFrame, key: Column, ts: str, request_id: str, limit
     Within a micro-batch requests are taken in time order (a key's requests of one micro-batch are held together, so
     the trigger bounds them); across micro-batches in arrival order: a late request counts towards the open window.
     """
-    keyed = stream.select(key.alias("quota_key"), F.col(request_id).cast("long").alias("request_id"),
+    keyed = stream.select(key.alias("quota_key"), F.col(request_id).alias("request_id"),
                           F.coalesce(epoch_micros(stream, ts), F.lit(0).cast("bigint")).alias("us"))
     counted = keyed.groupBy("quota_key").applyInPandasWithState(
-        _counter(window_seconds * 1_000_000), _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+        _counter(window_seconds * 1_000_000), _OUT % dict(keyed.dtypes)["request_id"], _STATE, "append", GroupStateTimeout.NoTimeout)
     return counted.select("quota_key", "request_id", from_micros(F.col("us")).alias("ts"),
                           from_micros(F.col("window_us")).alias("window_start"), "n",
                           (F.col("n") > limit).alias("denied"))

@@ -122,3 +122,26 @@ def test_deployment(spark):
     df = spark.createDataFrame([("azure", "big"), ("azure", "other"), ("openai", "big")], "provider string, model string")
     out = [r[0] for r in df.select(routing.deployment(F.col("provider"), F.col("model"), POLICY)).collect()]
     assert out == ["big-eu", "other", "big"]
+
+
+def test_flags_of_the_risk_screen_count_as_metadata(spark, request_rows):
+    df = request_rows(metadata={"semantic_scores": "given"}).withColumns(
+        {"semantic_flags": F.array(F.lit("hate:0.90")), "semantic_scores": F.lit(None).cast("map<string,double>")})
+    assert holds(df, ("metadata.semantic_flags", "exists", None), ("metadata.semantic_flags", "contains", "hate"))
+    assert holds(df, ("metadata.semantic_scores", "eq", "given"))
+    assert not holds(request_rows(), ("metadata.semantic_flags", "exists", None))
+
+
+def test_disabled_providers_cannot_answer(spark):
+    from parapet.plans import flows
+
+    rows = [(1, "off"), (2, "on"), (3, "lone"), (4, "OFF")]
+    decided = spark.createDataFrame(rows, "request_id long, provider string").selectExpr(
+        "*", "'m' AS model", "false AS blocked", "string(null) AS screen", "string(null) AS reason", "'hi' AS prompt")
+    replies = spark.createDataFrame([(i, "fine", 1, 1, "boom" if i == 2 else None) for i, _ in rows],
+                                    "request_id long, content string, prompt_tokens int, completion_tokens int, error string")
+    policy = Policy({"off": Provider("t", False), "on": Provider("t"), "lone": Provider("t", False)}, "on", "m",
+                    fallbacks=[Fallback("off", "on", "x"), Fallback("on", "lone", "y")])
+    got = {r["request_id"]: r["reason"] for r in flows.answer(decided, replies, policy).collect()}
+    gone = "Gateway error: AI provider 'lone' is not registered."
+    assert got == {1: None, 2: gone, 3: gone, 4: None}

@@ -84,6 +84,15 @@ def test_arrays_and_rows_screen_alike(spark):
                          | (~F.col("blocked") & (text != F.col("text")))).count() == 0
 
 
+def test_a_filter_on_screened_bodies_repeats_no_screen(spark):
+    df = flows.pass_on(bodies(spark, {"prompt": "x"}), Policy.from_json(POLICY))
+
+    def regexes(d):
+        return d._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+
+    assert regexes(df.filter("not blocked")) == regexes(df) > 0
+
+
 def test_completions(spark):
     df = bodies(spark, {"choices": [{"message": {"content": "hi\n"}}], "usage": {"prompt_tokens": 3, "completion_tokens": 4}},
                 {"choices": []}, {"usage": {"prompt_tokens": 5}}, "no json", {"choices": [{"message": {"content": None}}]})
