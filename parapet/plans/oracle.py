@@ -248,6 +248,12 @@ EVENTS = ("ev AS (SELECT event_id AS request_id, epoch_us(ts) AS us, user_id, ev
 _REPLAY = f"""WITH RECURSIVE {EVENTS}, {_replayed('ev', "'rate:user:' || user_id", 'w')}
   SELECT request_id, quota_key, ws AS window_start_us, n::BIGINT AS n, n > {QUOTA_LIMIT} AS denied FROM w"""
 
+_GLOBAL = f"""WITH RECURSIVE {EVENTS}, o AS (SELECT min(us) AS ws FROM ev UNION ALL SELECT min(e.us) FROM o JOIN ev e
+    ON e.us >= o.ws + {QUOTA_SECONDS * 1_000_000} HAVING min(e.us) IS NOT NULL),
+  w AS (SELECT request_id, ws, row_number() OVER (PARTITION BY ws ORDER BY us, request_id) AS n
+    FROM ev ASOF JOIN o ON ev.us >= o.ws)
+  SELECT request_id, 'rate:global' AS quota_key, ws AS window_start_us, n, n > {QUOTA_LIMIT} AS denied FROM w"""
+
 
 # --- audit ---------------------------------------------------------------------------------------------------------
 
@@ -407,12 +413,19 @@ def statements() -> dict[str, str]:
             {FALLBACK.replace('{source}', 'f')} SELECT request_id, provider, CASE WHEN provider = 'azure' AND model =
             'gpt-large' THEN 'large-eu' WHEN provider = 'azure' AND model = 'gpt-small' THEN 'small-eu' ELSE model END
             AS deployment FROM called""",
+        "route_flags": f"""WITH {REQUESTS}, {_scores('requests', 'prompt')}, {_routed('scored')}, f AS (SELECT *, CASE
+            WHEN route_rule = 'requested' THEN route_rule WHEN s0 >= 0.3::DOUBLE THEN 'violent' WHEN
+            len({_flagged(0.3, {})}) > 0 THEN 'flagged' ELSE route_rule END AS rule FROM placed) SELECT request_id,
+            CASE rule WHEN 'violent' THEN 'azure' WHEN 'flagged' THEN 'local' ELSE provider END AS provider,
+            CASE rule WHEN 'violent' THEN 'gpt-large' WHEN 'flagged' THEN 'tiny' ELSE model END AS model,
+            rule AS route_rule FROM f""",
         "route_report": f"""WITH {REQUESTS}, {_routed()} SELECT provider, model, route_rule, count(*) AS requests
             FROM placed GROUP BY ALL""",
         "quota_keys": f"""WITH {REQUESTS} SELECT request_id, 'rate:user:' || coalesce(user_id, 'anonymous') AS user_key,
             'rate:tenant:' || coalesce(tenant_id, 'default') AS tenant_key, 'rate:app:' || application_id
             AS application_key, 'rate:global' AS other_key FROM requests""",
         "quota_replay": _REPLAY,
+        "quota_global": _GLOBAL,
         "quota_stream": _REPLAY,
         "quota_multi": f"""WITH RECURSIVE {EVENTS}, {_replayed('ev', "'rate:user:' || user_id", 'w')},
             kept AS (SELECT request_id, us, user_id, tenant_id FROM w WHERE n <= {QUOTA_LIMIT}),
@@ -429,6 +442,8 @@ def statements() -> dict[str, str]:
         "audit_build": f"""WITH {_finished()} SELECT request_id, correlation_id, user_id, tenant_id, application_id,
             provider, model, prompt_tokens, completion_tokens, 0.0::DOUBLE AS cost, blocked, block_reason, flags,
             NULL::VARCHAR AS error, ts_us AS started_at_us, finished_us AS finished_at_us, latency_ms FROM audit""",
+        "audit_table": f"""WITH {_finished()} SELECT strftime(make_timestamp(ts_us), '%Y-%m-%d') AS day, count(*) AS requests,
+            count(*) FILTER (WHERE blocked) AS blocked, sum(prompt_tokens)::BIGINT AS prompt_tokens FROM audit GROUP BY 1""",
         "outcome_rows": f"""WITH {_finished()} SELECT request_id, CASE WHEN blocked THEN 422 ELSE 200 END AS status,
             blocked, screen, md5(content) AS content_md5 FROM audit""",
         "audit_lines": f"""WITH {_finished()} SELECT request_id, 'AI_GATEWAY correlation=' || correlation_id || ' user=' ||

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import lru_cache
 from typing import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -12,8 +14,8 @@ from parapet.operators import audit as audits, chain, pii, quota, reports, risk,
 from parapet.plans import flows, inputs
 from parapet.plans.samples import (CUSTOM_NAME, CUSTOM_PATTERN, CUSTOM_TAG, MARKUP_PATTERNS, POLICY, QUOTA_LIMIT,
                                    QUOTA_SECONDS, TENANT_LIMIT)
-from parapet.policy import Condition, Policy, QuotaRule
-from parapet.sources import chat, requests as bodies_io
+from parapet.policy import Condition, Policy, QuotaRule, RouteRule
+from parapet.sources import audit_table as audit_files, chat, requests as bodies_io
 from parapet.sources.session import shared_folder
 from parapet.streaming import audit as stream_audit, quota as stream_quota
 
@@ -290,6 +292,16 @@ def route_deployment(spark, sf):
                     .alias("deployment"))
 
 
+@query
+def route_flags(spark, sf):
+    """Rules on what the risk screen flagged, before those of the policy."""
+    flagged = screens.screen(inputs.requests(spark, sf), risk.Risk("flag", 0.3), "prompt")
+    own = (RouteRule("violent", "azure", "gpt-large", (Condition("metadata.semantic_flags", "contains", "VIOLENCE:"),)),
+           RouteRule("flagged", "local", "tiny", (Condition("metadata.semantic_flags", "exists", True),)))
+    routed = routing.route(flagged, replace(policy(), rules=(*own, *policy().rules)))
+    return routed.select("request_id", "provider", "model", "route_rule")
+
+
 @query
 def route_report(spark, sf):
     return routing.route_report(routing.route(inputs.requests(spark, sf), policy()))
@@ -310,6 +322,14 @@ def quota_replay(spark, sf):
     return out.select("request_id", "quota_key", _us("window_start"), "n", "denied")
 
 
+@query
+def quota_global(spark, sf):
+    """One counter for all events: the hottest key there can be, and a run that hardly pauses."""
+    out = quota.replay(inputs.quota_events(spark, sf), quota.scope_key("other"), "ts", "request_id", QUOTA_LIMIT,
+                       QUOTA_SECONDS)
+    return out.select("request_id", "quota_key", _us("window_start"), "n", "denied")
+
+
 @query
 def quota_multi(spark, sf):
     rules = [QuotaRule("user", QUOTA_LIMIT), QuotaRule("user", None), QuotaRule("tenant", TENANT_LIMIT)]
@@ -335,8 +355,12 @@ def quota_stream(spark, sf):
     return _run_once(spark, counted.select("request_id", "quota_key", _us("window_start"), "n", "denied"))
 
 
+def _new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4()}"
+
+
 def _run_once(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    folder = f"{shared_folder(spark).rstrip('/')}/stream-{spark.sql('SELECT uuid()').first()[0]}"
+    folder = _new_folder(spark, "stream")
     running = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")
                .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     running.awaitTermination()
@@ -359,6 +383,16 @@ def audit_build(spark, sf):
                     epoch_micros(a, "finished_at").alias("finished_at_us"), "latency_ms")
 
 
+@query
+def audit_table(spark, sf):
+    """The audit events written to a new table, read back and counted by its days."""
+    folder = _new_folder(spark, "audit")
+    audit_files.write_audit(_audit(spark, sf), folder, policy())
+    return audit_files.read_audit(spark, folder).groupBy(F.date_format("dt", "yyyy-MM-dd").alias("day")).agg(
+        F.count("*").alias("requests"), F.count_if("blocked").alias("blocked"),
+        F.sum("prompt_tokens").alias("prompt_tokens"))
+
+
 @query
 def outcome_rows(spark, sf):
     done = flows.answer(flows.decide(inputs.requests(spark, sf), policy()), inputs.replies(spark, sf), policy())
