@@ -121,8 +121,13 @@ def extract_completion(df: DataFrame, body: str) -> DataFrame:
 
 
 def extract_usage(df: DataFrame, body: str) -> DataFrame:
-    """Adds ``prompt_tokens`` and ``completion_tokens``, 0 where the reply does not say."""
+    """Adds ``prompt_tokens`` and ``completion_tokens``, 0 where the reply does not say.
+
+    The body is parsed once, for its short ``usage`` object; both counts are read from that.
+    """
     def tokens(name: str) -> Column:
-        return F.coalesce(F.get_json_object(F.col(body), f"$.usage.{name}").try_cast("int"), F.lit(0))
+        return F.coalesce(F.get_json_object("__usage", f"$.{name}").try_cast("int"), F.lit(0))
 
-    return df.withColumns({"prompt_tokens": tokens("prompt_tokens"), "completion_tokens": tokens("completion_tokens")})
+    opened = df.withColumn("__usage", F.get_json_object(body, "$.usage"))
+    return opened.withColumns(
+        {"prompt_tokens": tokens("prompt_tokens"), "completion_tokens": tokens("completion_tokens")}).drop("__usage")

@@ -23,6 +23,8 @@ FIELDS = {
     "temperature": ("temperature", "double", None),
 }
 _TEXT_MAP = "map<string,string>"
+# JSON kinds a field of each type may have, as a pattern; null is always allowed
+_KINDS = {"string": "STRING", "int": "BIGINT", "double": "BIGINT|DECIMAL.*|DOUBLE|FLOAT"}
 
 
 def _folded(pairs: Column) -> Column:
@@ -33,13 +35,25 @@ def _folded(pairs: Column) -> Column:
     return F.map_from_entries(last)
 
 
+def _well_typed(kinds: Column) -> Column:
+    """Whether every known field that is there has a kind its type can be read from."""
+    ok = F.lit(True)
+    for name, pattern in [*((n, _KINDS[kind]) for n, (_, kind, _) in FIELDS.items()), ("metadata", "OBJECT.*")]:
+        kind = F.try_element_at(kinds, F.lit(name.lower()))
+        ok = ok & F.coalesce(F.rlike(kind, F.lit(f"^({pattern}|VOID)$")), F.lit(True))
+    return ok
+
+
 def read_requests(df: DataFrame, body: str) -> DataFrame:
     """Adds the request columns read from a JSON body, names matched without regard to case.
 
-    ``valid`` is false where the body is no JSON object; its columns are then null.
+    ``valid`` is false where the body is no JSON object or a field has the wrong type (a number as prompt, text or a
+    fraction as ``maxTokens``); its columns are then null.
     """
     out = (df.withColumn("__raw", F.from_json(F.col(body), _TEXT_MAP))
-           .withColumn("valid", F.col("__raw").isNotNull())
+           .withColumn("__kinds", _folded(F.transform_values(
+               F.from_json(F.col(body), "map<string,variant>"), lambda k, v: F.schema_of_variant(v))))
+           .withColumn("valid", F.col("__raw").isNotNull() & _well_typed(F.col("__kinds")))
            .withColumn("__fields", F.when(F.col("valid"), _folded(F.col("__raw")))))
 
     def field(name: str, kind: str, default) -> Column:
@@ -50,7 +64,7 @@ def read_requests(df: DataFrame, body: str) -> DataFrame:
     columns["metadata"] = F.when(F.col("valid"), F.coalesce(
         F.from_json(F.try_element_at(F.col("__fields"), F.lit("metadata")), _TEXT_MAP),
         F.create_map().cast(_TEXT_MAP)))
-    return out.withColumns(columns).drop("__raw", "__fields")
+    return out.withColumns(columns).drop("__raw", "__kinds", "__fields")
 
 
 def payload(flavor: str, model: str = "model") -> Column:

@@ -16,8 +16,11 @@ _OUT = "quota_key string, request_id %s, us long, window_us long, n long"
 _STATE = "window_us long, n long"
 
 
-def _counter(width: int):
+def _counter(width: int, idle_ms: int | None = None):
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(batches)).sort_values(["us", "request_id"], kind="stable")
         us = pdf["us"].to_numpy()
         opened, n = state.get if state.exists else (None, 0)
@@ -30,6 +33,8 @@ def _counter(width: int):
             starts[i:end], numbers[i:end] = opened, n + 1 + np.arange(end - i)
             n, i = n + end - i, end
         state.update((opened, n))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"quota_key": pd.Series([key[0]] * len(us), dtype=object),
                             "request_id": pdf["request_id"].to_numpy(), "us": us, "window_us": starts, "n": numbers})
 
@@ -37,16 +42,20 @@ def _counter(width: int):
 
 
 def stream_quota(stream: DataFrame, key: Column, ts: str, request_id: str, limit: int,
-                 window_seconds: int = fixed.QUOTA_WINDOW_SECONDS) -> DataFrame:
+                 window_seconds: int = fixed.QUOTA_WINDOW_SECONDS, idle_seconds: int | None = None) -> DataFrame:
     """Number every request of a stream within its key's window: ``quota_key, request_id, ts, window_start, n, denied``.
 
     Within a micro-batch requests are taken in time order (a key's requests of one micro-batch are held together, so
     the trigger bounds them); across micro-batches in arrival order: a late request counts towards the open window.
+    With ``idle_seconds`` a key from which nothing has come for so long (of the job's clock; not less than a window) leaves
+    the state. Set it on streams that run on; an ``availableNow`` run would wait for timeouts without end.
     """
     keyed = stream.select(key.alias("quota_key"), F.col(request_id).alias("request_id"),
                           F.coalesce(epoch_micros(stream, ts), F.lit(0).cast("bigint")).alias("us"))
     counted = keyed.groupBy("quota_key").applyInPandasWithState(
-        _counter(window_seconds * 1_000_000), _OUT % dict(keyed.dtypes)["request_id"], _STATE, "append", GroupStateTimeout.NoTimeout)
+        _counter(window_seconds * 1_000_000, idle_seconds and max(idle_seconds, window_seconds) * 1_000),
+        _OUT % dict(keyed.dtypes)["request_id"], _STATE, "append",
+        GroupStateTimeout.ProcessingTimeTimeout if idle_seconds else GroupStateTimeout.NoTimeout)
     return counted.select("quota_key", "request_id", from_micros(F.col("us")).alias("ts"),
                           from_micros(F.col("window_us")).alias("window_start"), "n",
                           (F.col("n") > limit).alias("denied"))

@@ -138,3 +138,29 @@ def test_stream_counts_like_the_batch(spark, tmp_path):
            for r in out.select("request_id", F.unix_micros("window_start").alias("w"), "n").collect()}
     assert got == brute(given, 60)
     assert out.filter("denied <> (n > 5)").count() == 0
+
+
+def test_idle_keys_leave_the_state():
+    import pandas as pd
+
+    from parapet.streaming.quota import _counter
+
+    class State:
+        exists, hasTimedOut, get, wait = False, False, None, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutDuration(self, ms):
+            self.wait = ms
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+    state, count = State(), _counter(60 * SECOND, 90_000)
+    rows = pd.DataFrame({"us": [T0, T0 + 59 * SECOND, T0 + 60 * SECOND], "request_id": ["r-1", "r-2", "r-3"]})
+    out = pd.concat(count(("k",), iter([rows]), state))
+    assert out["n"].tolist() == [1, 2, 1] and out["request_id"].tolist() == ["r-1", "r-2", "r-3"]
+    assert state.get == (T0 + 60 * SECOND, 1) and state.wait == 90_000
+    state.hasTimedOut = True
+    assert not list(count(("k",), iter([]), state)) and not state.exists

@@ -115,6 +115,22 @@ def test_read_requests(spark):
     assert rows[4]["prompt"] == "two" and rows[5]["valid"] is False
 
 
+def test_badly_typed_requests_are_invalid(spark):
+    wrong = [{"maxTokens": "abc"}, {"maxTokens": 5.5}, {"prompt": 7}, {"temperature": "hot"}, {"metadata": [1]}, {"userId": {}}]
+    right = [{"maxTokens": None, "prompt": "p"}, {"temperature": 1}, {"temperature": 0.25}, {"other": [1, {"a": 2}]}]
+    rows = requests.read_requests(bodies(spark, *wrong, *right), "body").orderBy("id").collect()
+    assert [r["valid"] for r in rows] == [False] * len(wrong) + [True] * len(right)
+    assert rows[0]["operation"] is None and rows[6]["prompt"] == "p"
+
+
+def test_usage_of_odd_completions(spark):
+    given = [{"usage": {"prompt_tokens": 3, "completion_tokens": 4}}, {"usage": "none"}, {"usage": {"prompt_tokens": "x"}},
+             {"usage": None}, "{bad", {}]
+    rows = chat.extract_usage(bodies(spark, *given), "body").orderBy("id").collect()
+    assert [(r["prompt_tokens"], r["completion_tokens"]) for r in rows] == [(3, 4)] + [(0, 0)] * 5
+    assert rows[0].asDict().keys() == {"id", "body", "prompt_tokens", "completion_tokens"}
+
+
 @pytest.mark.parametrize("flavor, system, wanted", [
     ("openai", "sys", {"model": "m", "messages": [say("system", "sys"), say("user", "p")], "max_tokens": 1000,
                        "temperature": 0.2}),
