@@ -48,7 +48,7 @@ def stream_quota(stream: DataFrame, key: Column, ts: str, request_id: str, limit
     Within a micro-batch requests are taken in time order (a key's requests of one micro-batch are held together, so
     the trigger bounds them); across micro-batches in arrival order: a late request counts towards the open window.
     With ``idle_seconds`` a key from which nothing has come for so long (of the job's clock; not less than a window) leaves
-    the state. Set it on streams that run on; an ``availableNow`` run would wait for timeouts without end.
+    the state. Set it on streams that run on; an ``availableNow`` run may not end with it.
     """
     keyed = stream.select(key.alias("quota_key"), F.col(request_id).alias("request_id"),
                           F.coalesce(epoch_micros(stream, ts), F.lit(0).cast("bigint")).alias("us"))
