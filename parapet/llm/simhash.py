@@ -236,9 +236,11 @@ def near_duplicates(docs: DataFrame, n: int = 3, doc_id: str = "doc_id", text: s
 
 
 #: The pipeline's stage: word shingles and similarity that make two texts near duplicates; shingles and number of the
-#: fingerprints that propose them; and how many of a text's nearest are looked at in a large proposed group.
+#: fingerprints that propose them.
 SHINGLE, SIMILARITY = 5, 0.8
-PROPOSE_SHINGLE, PRINTS, NEAREST = 2, 8, 8
+PROPOSE_SHINGLE, PRINTS = 2, 8
+#: Texts, and shingles, of about one block when a proposed group is compared.
+TEXTS, HASHES = 1024, 2 << 20
 
 
 def shingles(data: bytes, n: int = SHINGLE) -> np.ndarray:
@@ -247,90 +249,82 @@ def shingles(data: bytes, n: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)
 
 
-def _close(prints: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs worth a look in a group: all of a small one, else each row's nearest and a spanning tree of least distance."""
-    n = len(prints)
-    across = half[0] != half[-1]
-    if n <= SMALL:
-        a, b = np.triu_indices(n, 1)
-        return (a[half[a] != half[b]], b[half[a] != half[b]]) if across else (a, b)
-    far = np.zeros((n, n), np.int32)
-    for k in range(prints.shape[1]):
-        far += np.bitwise_count(prints[:, None, k] ^ prints[None, :, k])
-    far[np.arange(n), np.arange(n)] = 1 << 20
-    if across:
-        far[half[:, None] == half[None, :]] = 1 << 20
-    near = np.argpartition(far, min(NEAREST, n - 1) - 1, axis=1)[:, :NEAREST]
-    a, b = np.repeat(np.arange(n), near.shape[1]), near.ravel()
-    left = np.ones(n, bool)
-    best, best_from = far[0].copy(), np.zeros(n, np.int64)
-    left[0] = False
-    tree = []
-    for _ in range(n - 1):
-        node = int(np.where(left, best, 1 << 30).argmin())
-        tree.append((int(best_from[node]), node))
-        left[node] = False
-        closer = far[node] < best
-        best[closer], best_from[closer] = far[node][closer], node
-    a = np.concatenate([a, [t[0] for t in tree]])
-    b = np.concatenate([b, [t[1] for t in tree]])
-    keep = far[a, b] < 1 << 20
-    return a[keep], b[keep]
-
-
-def _proposed(members: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` to be looked at among ``root, node, prints``; large groups go block against block."""
+def _alike(sets: list[np.ndarray], half: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest with the components of all pairs of that Jaccard similarity; of a split group, pairs of both halves only.
+
+    Every text is compared with all that could reach the similarity by their size and are not linked to it yet.
+    """
+    sizes = np.array([len(x) for x in sets])
+    order = np.argsort(sizes, kind="stable")
+    sizes, half = sizes[order], half[order]
+    known, flat = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    across = half.min() != half.max()
+    left, here = np.ones(len(sets), bool), np.zeros(len(known), bool)
+    ours, theirs = [], []
+    for seed in range(len(sets)):
+        frontier = [seed] if left[seed] else []
+        left[seed] = False
+        while frontier:
+            node = frontier.pop()
+            low = int(np.searchsorted(sizes, int(sizes[node] * similarity)))
+            high = int(np.searchsorted(sizes, int(sizes[node] / similarity) + 1, "right"))
+            rest = left[low:high] & (half[low:high] != half[node]) if across else left[low:high]
+            if not rest.any():
+                continue
+            own = flat[starts[node]:starts[node + 1]]
+            here[own] = True
+            both = np.add.reduceat(here[flat[starts[low]:starts[high]]], starts[low:high] - starts[low], dtype=np.int64)
+            here[own] = False
+            hit = low + np.flatnonzero(rest & (both >= similarity * (sizes[node] + sizes[low:high] - both)))
+            left[hit] = False
+            frontier += hit.tolist()
+            ours.append(np.full(len(hit), order[node]))
+            theirs.append(order[hit])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(ours), np.concatenate(theirs)) if ours else (none, none)
+
+
+def _similar(members: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` that connect all texts of ``root, node, shingles`` with that similarity and the same root.
+
+    Large groups go block against block, so that every pair of a group meets in some task.
+    """
     spark = members.sparkSession
-    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select(
-        "root", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("blocks"))
+    sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("hashes")).select(
+        "root", F.ceil(F.greatest(F.col("n") / TEXTS, F.col("hashes") / HASHES)).cast("int").alias("blocks"))
     own = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pieces = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = pieces.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
-                          (F.col("own") > F.col("other")).cast("int").alias("half"), "node", "prints")
+                          (F.col("own") > F.col("other")).cast("int").alias("half"), "node", "shingles")
     ordered = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "root", "low", "high") \
         .sortWithinPartitions("root", "low", "high", "half", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, halves, prints = None, [], [], []
+        key, nodes, halves, sets = None, [], [], []
 
         def done():
             ids = np.array(nodes, np.int64)
-            a, b = _close(np.array(prints, np.int64).view(np.uint64), np.array(halves))
+            a, b = _alike(sets, np.array(halves), similarity)
             a, b = ids[a], ids[b]
             return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
         for batch in batches:
-            for *new, half, node, own in zip(*(batch.column(c).to_pylist() for c in (
-                    "root", "low", "high", "half", "node", "prints"))):
+            column = batch.column("shingles")
+            ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+            for i, (*new, half, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in (
+                    "root", "low", "high", "half", "node")))):
                 if new != key and len(nodes) > 1:
                     yield done()
                 if new != key:
-                    key, nodes, halves, prints = new, [], [], []
+                    key, nodes, halves, sets = new, [], [], []
                 nodes.append(node)
                 halves.append(half)
-                prints.append(own)
+                sets.append(flat[ends[i]:ends[i + 1]].copy())
         if len(nodes) > 1:
             yield done()
 
-    return ordered.mapInArrow(run, "a long, b long").distinct()
-
-
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have at least that Jaccard similarity."""
-    one, other = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")) for c in ("a", "b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("s_a"), batch.column("s_b"))):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                if len(x) and len(y) and min(len(x), len(y)) >= similarity * max(len(x), len(y)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[i] = both >= similarity * (len(x) + len(y) - both)
-            keep = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
-
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = SHINGLE,
@@ -339,9 +333,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
 
     Near duplicates are texts with equal bytes, or with a Jaccard similarity of their ``n``-word shingle sets of at least
     ``similarity``, directly or over others. Candidates are texts with a pair of fingerprints (one of ``PRINTS`` over
-    short shingles) within the SimHash limit; in large groups of candidates each text is compared with its nearest by
-    all fingerprints and along a spanning tree. Every link is checked on whole shingle sets, so no document goes without
-    a verified reason; tests measure how many near duplicates are found.
+    short shingles) within the SimHash limit; within a group of candidates every pair is compared on whole shingle sets, so
+    no document goes without a verified reason; tests measure how many near duplicates are found.
 
     All columns stay. Null and empty texts are copies of each other. Rows without id are kept only if their group has no
     other; of rows with the same id and text, one stays. Texts are told apart by a 64-bit hash.
@@ -355,10 +348,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         "ring", F.col("ring").cast("long"))
     candidates = components(written(pairs(rings), "candidates"))
     released(docs.sparkSession)
-    members = candidates.join(classes, "node").select("root", "node", "prints")
-    looked = written(_proposed(members), "pairs")
-    wanted = looked.select(F.col("a").alias("node")).union(looked.select(F.col("b").alias("node"))).distinct()
-    wanted = written(wanted.join(classes, "node").select("node", "least"), "wanted")
+    candidates = written(candidates, "members")
+    wanted = written(candidates.join(classes, "node").select("node", "least"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "bytes", CHUNK):
@@ -369,7 +360,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
         "node", F.col("text").cast("binary").alias("bytes"))
     shingled = written(texts.mapInArrow(sets, "node long, shingles array<long>").dropDuplicates(["node"]), "shingles")
     released(docs.sparkSession)
-    roots = components(written(_similar(looked, shingled, similarity), "links"))
+    members = candidates.join(shingled.filter(F.size("shingles") > 0), "node").select("root", "node", "shingles")
+    roots = components(written(_similar(members, similarity), "links"))
     known = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     best = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("best"))
     chosen = best.select(F.col("best.node").alias("_node"), F.col("best.least").alias("_least"))

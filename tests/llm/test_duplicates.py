@@ -77,6 +77,35 @@ def test_near_duplicates_leave_one(spark):
     assert simhash.deduplicated(docs.limit(0)).count() == 0
 
 
+def jaccard_roots(texts):
+    sets = [set(simhash.shingles(t.encode()).tolist()) for t in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    return roots(range(len(texts)), links)
+
+
+@pytest.mark.parametrize("block", [1024, 20])
+def test_every_pair_of_a_large_group_is_compared(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "TEXTS", block)
+    rng = random.Random(9)
+    template = [f"t{i}" for i in range(200)]
+    texts = []
+    for k in range(30):  # families of one template, at about 0.7 of each other; within a family pairs lie around 0.8
+        base = list(template)
+        for at in rng.sample(range(200), 4):
+            base[at] = f"f{k}x{at}"
+        for _ in range(4):
+            own = list(base)
+            for at in rng.sample(range(200), 2):
+                own[at] = f"w{rng.random()}"
+            texts.append(" ".join(own))
+    sets = [(1, i, simhash.shingles(t.encode()).tolist()) for i, t in enumerate(texts)]
+    links = simhash._similar(spark.createDataFrame(sets, "root long, node long, shingles array<long>"), 0.8).collect()
+    want = jaccard_roots(texts)
+    assert 1 < len(set(want.values())) < len(texts)
+    assert roots(range(len(texts)), [(r["a"], r["b"]) for r in links]) == want
+    assert len(links) <= len(texts) * (1 if block > len(texts) else 12)
+
+
 def digests(rows):
     first, out = {}, []
     for d, t in rows:
