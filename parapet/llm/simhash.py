@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parapet.llm.common import buffers, nested, released, slices, written
 from parapet.llm.components import components
@@ -235,10 +235,10 @@ def near_duplicates(docs: DataFrame, n: int = 3, doc_id: str = "doc_id", text: s
                                               "component_id")
 
 
-#: The pipeline's stage: word shingles and similarity that make two texts near duplicates; shingles and number of the
-#: fingerprints that propose them.
+#: The pipeline's stage: word shingles and similarity that make two texts near duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
-PROPOSE_SHINGLE, PRINTS = 2, 8
+#: Rounds that leave out texts with too few shared shingles. More rounds propose fewer pairs and lose none.
+PRUNE = 3
 #: Texts, and shingles, of about one block when a proposed group is compared.
 TEXTS, HASHES = 1024, 2 << 20
 
@@ -249,6 +249,71 @@ def shingles(data: bytes, n: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate(found)).view(np.int64) if found else np.zeros(0, np.int64)
 
 
+def needed(size: int | np.ndarray, similarity: float) -> int | np.ndarray:
+    """Shingles among its ``prefix`` that a set shares with each similar set among that set's prefix.
+
+    The prefix of a set holds its first ``depth`` shingles in common with any similar set; a similar set can be smaller,
+    by the similarity, and its prefix less deep.
+    """
+    return _depth(_least(size, similarity), similarity)
+
+
+def _least(size, similarity):
+    """The least size of a similar set, and the least number of shingles shared with it."""
+    return np.ceil(size * similarity - 1e-6).astype(np.int64)
+
+
+def _depth(size, similarity):
+    return 1 + np.floor(size * (1 - similarity) + 1e-6).astype(np.int64)
+
+
+def prefix(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The least hashes of a sorted set, as many as ``needed`` relies on."""
+    n = np.int64(len(hashes))
+    return hashes[:n - _least(n, similarity) + _depth(n, similarity)] if n else hashes
+
+
+def proposed(rows: DataFrame, n: int, similarity: float) -> DataFrame:
+    """Links ``a, b`` that connect all texts of ``node, text`` whose shingle sets have that Jaccard similarity.
+
+    Two such sets share enough of their least hashes. So shingles that occur once are left out, then texts with too few
+    others, and again. What is left of a text is ordered from rare to common: if a pair shares k of m shingles, it shares
+    one of the first m - k + 1, and texts with one of these in common are linked.
+    """
+    spark = rows.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "bytes", CHUNK // 4):
+            sets = [shingles(x, n) for x in batch.column("bytes").to_pylist()]
+            heads = [prefix(x, similarity) for x in sets]
+            lengths = [len(x) for x in heads]
+            need = needed(np.array([len(x) for x in sets], np.int64), similarity)
+            found = np.concatenate(heads), np.repeat(batch.column("node").to_numpy(), lengths), \
+                np.repeat(need.astype(np.int32), lengths)
+            for at in range(0, len(found[0]), HELD):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at:at + HELD]) for x in found], ["token", "node", "need"])
+
+    tokens = rows.select("node", F.col("text").cast("binary").alias("bytes")).mapInArrow(
+        run, "token long, node long, need int")
+    # equal texts count too; their rows become one below
+    several = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"), "several")
+    released(spark)
+    shared = written(tokens.join(several, "token", "left_semi").distinct(), "shared")
+    released(spark)
+    for _ in range(PRUNE):
+        texts = shared.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need")
+        some = shared.join(texts.select("node"), "node", "left_semi")
+        several = some.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+        shared = written(some.join(several, "token", "left_semi"), "shared")
+    df = written(shared.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "frequencies")
+    order = Window.partitionBy("node").orderBy("df", "token")
+    ranked = shared.join(df, "token").withColumn("rank", F.row_number().over(order)).withColumn(
+        "m", F.count(F.lit(1)).over(Window.partitionBy("node")))
+    heads = written(ranked.filter("rank <= m - need + 1").select("token", "node"), "heads")
+    least = heads.groupBy("token").agg(F.min("node").alias("b"))
+    return heads.join(least, "token").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def _alike(sets: list[np.ndarray], half: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """A forest with the components of all pairs of that Jaccard similarity; of a split group, pairs of both halves only.
 
@@ -332,23 +397,18 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     """The documents with one of each group of near duplicates left, the one with the least id.
 
     Near duplicates are texts with equal bytes, or with a Jaccard similarity of their ``n``-word shingle sets of at least
-    ``similarity``, directly or over others. Candidates are texts with a pair of fingerprints (one of ``PRINTS`` over
-    short shingles) within the SimHash limit; within a group of candidates every pair is compared on whole shingle sets, so
-    no document goes without a verified reason; tests measure how many near duplicates are found.
+    ``similarity``, directly or over others. Candidates come from an exact filter on shared shingles, and every pair within
+    a group of candidates is compared on whole shingle sets: no pair is missed, none is linked without that reason.
 
     All columns stay. Null and empty texts are copies of each other. Rows without id are kept only if their group has no
     other; of rows with the same id and text, one stays. Texts are told apart by a 64-bit hash.
     """
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).alias("doc_id"), raw.alias("text"), F.xxhash64(raw).alias("node"))
-    prints = written(fingerprinted(rows, PROPOSE_SHINGLE, PRINTS, ("doc_id", "node")), "prints")
-    classes = written(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("prints").alias("prints")),
-                      "classes")
-    rings = classes.select(F.col("node").alias("id"), F.posexplode("prints").alias("ring", "print")).withColumn(
-        "ring", F.col("ring").cast("long"))
-    candidates = components(written(pairs(rings), "candidates"))
+    names = written(rows.select("doc_id", "node"), "names")
+    classes = written(names.groupBy("node").agg(F.min("doc_id").alias("least")), "classes")
+    candidates = written(components(written(proposed(rows, n, similarity), "candidates")), "members")
     released(docs.sparkSession)
-    candidates = written(candidates, "members")
     wanted = written(candidates.join(classes, "node").select("node", "least"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +425,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     known = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     best = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("best"))
     chosen = best.select(F.col("best.node").alias("_node"), F.col("best.least").alias("_least"))
-    counts = prints.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("_copies"))
+    counts = names.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("_copies"))
     kept = written(chosen.join(counts, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_least")))
                    .select("_node", "_least", "_copies"), "kept")
     own = docs.withColumn("_hash", raw_hash(text))

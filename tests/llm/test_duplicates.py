@@ -106,6 +106,27 @@ def test_every_pair_of_a_large_group_is_compared(spark, monkeypatch, block):
     assert len(links) <= len(texts) * (1 if block > len(texts) else 12)
 
 
+def test_near_duplicates_close_to_the_threshold(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(2000)]
+    texts = []
+    for size in [9, 12, 20, 30, 40, 60, 100, 150, 300, 600] * 6:
+        base = [rng.choice(words) for _ in range(size)]
+        texts.append(" ".join(base))
+        for _ in range(3):  # a changed stretch, and words cut at the end: similarities from about 0.6 to 0.95
+            own = list(base)
+            at = rng.randrange(size)
+            own[at:at + max(1, size // rng.choice([20, 40]))] = [f"x{rng.random()}"]
+            texts.append(" ".join(own[:size - rng.randrange(size // 10 + 1)]))
+    texts = list(dict.fromkeys(texts))
+    want = jaccard_roots(texts)
+    near = [i for i in want if want[i] != i]
+    assert 50 < len(near) < len(texts) - 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.deduplicated(docs).collect()}
+    assert got == set(want.values())
+
+
 def digests(rows):
     first, out = {}, []
     for d, t in rows:
