@@ -50,11 +50,12 @@ class Tree:
                 at[own] = np.asarray(self.children[node])[near]
         return -1 - at
 
-    def order(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves for a query, best bin first."""
+    def order(self, q: np.ndarray, most: int, held: np.ndarray | None = None, rows: int = 0) -> list[int]:
+        """The first ``most`` leaves for a query, best bin first, and more until ``rows`` by their counts ``held`` are met."""
         queue: list[tuple[float, int]] = [(0.0, 0)]
         found: list[int] = []
-        while queue and len(found) < most:
+        met = 0
+        while queue and (len(found) < most or met < rows):
             _, node = heapq.heappop(queue)
             while node >= 0:
                 far = ((self.centres[node] - q) ** 2).sum(1)
@@ -64,6 +65,7 @@ class Tree:
                         heapq.heappush(queue, (float(far[k]), child))
                 node = self.children[node][best]
             found.append(-1 - node)
+            met += 0 if held is None else int(held[-1 - node])
         return found
 
 
@@ -171,6 +173,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
     tree = grow(sample)
     rows = rows.filter(F.size("v") == tree.size)
     visits, _ = calibrate(rows, tree, k, wanted)
+    filled = np.zeros(tree.leaves, np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,11 +187,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
         for batch in batches:
             x = matrix(batch.column("v"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("v"), nested([np.asarray(tree.order(q, visits)) for q in x], pa.int32())],
-                ["id", "v", "leaves"])
+                [batch.column("id"), batch.column("v"), nested([np.asarray(tree.order(q, visits, filled, k + own))
+                                                                for q, own in zip(x, batch.column("own").to_pylist())],
+                                                               pa.int32())], ["id", "v", "leaves"])
 
     index = written(rows.mapInArrow(place, "id long, query boolean, v array<double>, leaf int"), "leaves")
-    queries = written(index.filter("query").select("id", "v").mapInArrow(visit, "id long, v array<double>, leaves array<int>")
+    for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per leaf of the tree
+        filled[r["leaf"]] = r["n"]
+    # a query's own id gives no candidate, however many rows have it
+    repeated = index.join(index.filter("query").select("id").distinct(), "id", "left_semi").groupBy("id").agg(
+        F.count(F.lit(1)).alias("n")).filter("n > 1")
+    asking = index.filter("query").select("id", "v").join(repeated, "id", "left").select(
+        "id", "v", F.coalesce("n", F.lit(1)).alias("own"))
+    queries = written(asking.mapInArrow(visit, "id long, v array<double>, leaves array<int>")
                       .select("id", "v", F.explode("leaves").alias("leaf")), "visits")
     # one row per leaf of the tree
     held = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("parts"))

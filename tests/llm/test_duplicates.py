@@ -214,3 +214,17 @@ def test_nearest_recall(spark, monkeypatch, vectors):
     mine, theirs = ({(q, v) for (q, _), (v, _) in x.items()} for x in (found, {k: v for k, v in true.items() if k in found}))
     assert len(mine & theirs) >= 0.9 * len(true)
     assert knn.search(table.limit(0), query).count() == 0
+
+
+def test_outliers_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 8))
+    rows = [(i, centres[i % 40].tolist()) for i in range(1600)]
+    far = [(rng.normal(size=8) * 1000).tolist() for _ in range(4)]
+    rows += [(10_000 + i, v) for i, v in enumerate(far)] + [(10_000, far[0])] * 15  # rows that share the query's id
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    query = (F.col("vec_id") >= 10_000) | (F.col("vec_id") % 100 == 0)
+    found = knn.search(table, query).groupBy("query_id").agg(F.count_distinct("rank").alias("n")).collect()
+    assert {r["query_id"]: r["n"] for r in found} == {i: 10 for i in [*range(0, 1600, 100), *range(10_000, 10_004)]}
+    few = spark.createDataFrame(rows[:7], "vec_id long, embedding array<double>")
+    assert knn.search(few, F.col("vec_id") == 3).count() == 6
