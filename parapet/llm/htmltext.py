@@ -31,9 +31,13 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-#: Their content is no markup.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "object", "select",
-       "option", "button", "canvas", "audio", "video", "xmp", "noembed", "noframes"}
+#: Their content is no markup, up to their end tag or the end of the page.
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+#: Their content is markup, but never text of an article.
+UNSEEN = {"noscript", "template", "svg", "object", "select", "option", "button", "canvas", "audio", "video"}
+#: These hold no paragraphs, headings or articles: if their end tag is missing, such an element ends them.
+PHRASES = {"option", "select", "button"}
+ENDS_PHRASE = {"article", "main", "section", "p", "h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "center", "caption", "dd", "details", "dialog", "dir", "div",
           "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head",
@@ -54,7 +58,7 @@ ENDS_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "caption", "tbody",
 
 def boilerplate(name: str, rest: str, inside: bool) -> bool:
     """Whether an element is furniture by its name, class, id or role."""
-    if name in OUTSIDE or name == "header" and not inside:
+    if name in OUTSIDE or name in UNSEEN or name == "header" and not inside:
         return True
     if name in ARTICLE or name in ("html", "body") or "=" not in rest:
         return False
@@ -99,7 +103,7 @@ def runs(page: str) -> Iterator[Run]:
         if name is None:
             continue
         name = name.lower()
-        tag = name
+        tag = "" if name == "math" or any(n == "math" for n, _ in stack) else name  # formulas are all tags
         if name in BLOCKS:
             block += 1
         if found["close"]:
@@ -113,6 +117,13 @@ def runs(page: str) -> Iterator[Run]:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
+        if name in UNSEEN and rest.endswith("/"):
+            continue
+        if name in ENDS_PHRASE:
+            own = next((k for k, e in enumerate(stack) if e[0] in PHRASES), None)
+            end = re.compile(rf"<(/?){stack[own][0]}\b", re.I).search(page, at) if own is not None else None
+            if own is not None and not (end and end[1]):
+                pop(own)
         if name in ENDS_P:
             own = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), None)
             if own is not None and (stack[own][0] == "p" or stack[own][0] == name == "li"):
@@ -183,7 +194,7 @@ def fit(pages: DataFrame, most: int = PAGES, url: str = "url", markup: str = "ht
                 ["kind", "name", "inside", "n"])
 
     table = rows.select("html").mapInArrow(run, "kind string, name string, inside boolean, n long")
-    known = F.col("name").isin(sorted(BLOCKS | VOID | RAW | {"a", "page"}))  # bounds what comes to the driver
+    known = F.col("name").isin(sorted(BLOCKS | VOID | RAW | UNSEEN | {"a", "page"}))  # bounds what comes to the driver
     got = table.filter(known).groupBy("kind", "name", "inside").agg(F.sum("n").alias("n")).collect()
     return weights({(r["kind"], r["name"], r["inside"]): r["n"] for r in got})
 

@@ -80,3 +80,21 @@ def test_pages(spark):
     assert all(by_id[i] == TEXT for i in range(21))
     assert by_id[21] == by_id[22] == by_id[23] == "" and by_id[24] == " ".join(["word"] * 50000)
     assert htmltext.main_text(pages.limit(0), htmltext.fit(pages.limit(0))).count() == 0
+
+
+STORY = "<h1>Big title</h1><p>" + "Words of the story. " * 20 + "</p><p>And " + "more of it. " * 20 + "</p>"
+STORY_TEXT = "Big title\n" + " ".join(["Words of the story."] * 20) + "\nAnd " + " ".join(["more of it."] * 20)
+
+
+@pytest.mark.parametrize("before", [
+    "<datalist><option value=a><option value=b></datalist>", "<div><button>Go</div>", "<button>Go", "<select><option>One",
+    "<div><svg><path d='M0'></div>", "<div><video src=x></div>", "<svg/>", "<div><template>No</div>"])
+def test_missing_end_tags_drop_no_article(before):
+    for article in ("article", "div"):
+        page = f"<html><body>{before}<{article}>{STORY}</{article}></body></html>"
+        assert htmltext.extract(page, htmltext.Weights({}, {})) == STORY_TEXT
+
+
+def test_formulas_stay():
+    page = f"<body><article>{STORY}<p>So <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> holds</p></article></body>"
+    assert htmltext.extract(page, htmltext.Weights({}, {})) == STORY_TEXT + "\nSo x = 2 holds"
