@@ -5,7 +5,8 @@ negative; the contiguous stretch with the largest sum is the article, found in o
 labelled pages: pages whose markup names the article itself (``article`` or ``main``), with its words as positives and
 all others as negatives. Contexts that no labelled page has shown get a prior. Elements that are never part of an
 article (menus, forms, adverts, notices, comments and so on, by name or by class, id or role) score below zero as a
-whole and are left out even if they lie inside the stretch.
+whole and are left out even if they lie inside the stretch; forms and layout classes are not furniture where they wrap the
+article.
 """
 
 from __future__ import annotations
@@ -71,26 +72,93 @@ def boilerplate(name: str, rest: str, inside: bool) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub(" ", rest)))
 
 
+#: Furniture that is sure whatever it holds: named so, or by element.
+SURE_NAMED = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|"
+    r"newsletter|subscribe|subscription|related|recommended|comments?|commentlist|respond|replies|reply|disqus|copyright|"
+    r"disclaimer)(?:$|[\s_-])", re.I)
+#: A wrapper without a named article inside must hold so many times the words that are left elsewhere.
+WRAPS = 4
+
+
+def wrapper(name: str, rest: str) -> bool:
+    """Whether furniture may yet be the layout around an article: a form, or known by a class or id for layout only."""
+    if name in UNSEEN or name in OUTSIDE and name != "form" or name == "header":
+        return False
+    if re.search(r"(?:^|\s)hidden(?:\s|$)", ATTRIBUTE.sub(" ", rest)):
+        return False
+    for key, a, b, c in ATTRIBUTE.findall(rest):
+        value, key = a or b or c, key.lower()
+        if key in ("class", "id") and SURE_NAMED.search(value) or key == "role" and value.lower() in ROLES - {"form"}:
+            return False
+        if key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
+            return False
+    return True
+
+
+def cleared(words: list[tuple[int, tuple[int, ...]]], wraps: list[bool], articles: set[int]) -> set[int]:
+    """Furniture that turns out to wrap the article, of a page's stretches (number of words, furniture around them).
+
+    An element does if it may be a wrapper and holds more words outside other furniture than the rest of the page; if no
+    named article is inside, ``WRAPS`` times as many. Outer elements are looked at first.
+    """
+    found: set[int] = set()
+    if not any(wraps):
+        return found
+    totals: Counter = Counter()
+    for n, around in words:
+        totals[around] += n
+
+    def held() -> Counter:
+        """Words by their outermost furniture, unless some of it is sure; those without furniture by -1."""
+        sums: Counter = Counter()
+        for around, n in totals.items():
+            left = [m for m in around if m not in found]
+            if all(wraps[m] for m in left):
+                sums[left[0] if left else -1] += n
+        return sums
+
+    own = held()
+    for mark, may in enumerate(wraps):
+        if may and own[mark] > own[-1] * (1 if mark in articles else WRAPS):
+            found.add(mark)
+            own = held()
+    return found
+
+
 Run = tuple[int, str, bool, str, str, bool]  # block, context, furniture, tag before, text, inside a named article
 
 
-def runs(page: str) -> Iterator[Run]:
+def runs(page: str) -> list[Run]:
     """Stretches of text between tags, in page order, each with the tag that came before it.
 
     Tags without text after them come with an empty text. Unclosed elements end with the page or with an outer element.
+    Furniture that wraps the article does not count as such.
     """
+    wraps: list[bool] = []  # of all furniture, in page order
+    around_articles: set[int] = set()
+    found = list(_stretches(page, wraps, around_articles))
+    clear = cleared([(len(text.split()), marks) for _, _, marks, _, text, _ in found if marks or text.strip()], wraps,
+                    around_articles)
+    return [(block, context, any(m not in clear for m in marks), tag, text, inside)
+            for block, context, marks, tag, text, inside in found]
+
+
+def _stretches(page: str, wraps: list[bool], around_articles: set[int]) -> Iterator[tuple]:
+    """``runs`` with the numbers of the furniture around each, of which ``wraps`` tells whether it may be a wrapper."""
     stack: list[tuple[str, bool]] = []  # element, furniture
     block, at, tag = 0, 0, ""
-    furniture = articles = 0
+    marks: tuple[int, ...] = ()
+    articles = 0
 
     def text(stop):
         context = next((n for n, _ in reversed(stack) if n in BLOCKS or n == "a"), "page")
-        return block, context, furniture > 0, tag, page[at:stop], articles > 0
+        return block, context, marks, tag, page[at:stop], articles > 0
 
     def pop(k):
-        nonlocal furniture, articles
+        nonlocal marks, articles
         for name, bad in stack[k:]:
-            furniture -= bad
+            marks = marks[:len(marks) - bad]
             articles -= name in ARTICLE
         del stack[k:]
 
@@ -132,8 +200,12 @@ def runs(page: str) -> Iterator[Run]:
             continue
         bad = boilerplate(name, rest, articles > 0)
         stack.append((name, bad))
-        furniture += bad
-        articles += name in ARTICLE
+        if bad:
+            marks += (len(wraps),)
+            wraps.append(wrapper(name, rest))
+        if name in ARTICLE:
+            around_articles.update(marks)
+            articles += 1
 
 
 class Weights:
@@ -203,7 +275,7 @@ def extract(page: str | None, w: Weights) -> str:
     """The article's text, one line per block."""
     if not page:
         return ""
-    found = list(runs(page))
+    found = runs(page)
     best = total = 0.0
     first = start = 0
     last = -1

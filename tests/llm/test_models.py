@@ -98,3 +98,14 @@ def test_missing_end_tags_drop_no_article(before):
 def test_formulas_stay():
     page = f"<body><article>{STORY}<p>So <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> holds</p></article></body>"
     assert htmltext.extract(page, htmltext.Weights({}, {})) == STORY_TEXT + "\nSo x = 2 holds"
+
+
+@pytest.mark.parametrize("open_, close", [
+    ('<div class="content has-sidebar">', "</div>"), ('<form id="aspnetForm">', "</form>"),
+    ('<div class="layout no-sidebar"><form><div id="page-with-nav">', "</div></form></div>")])
+@pytest.mark.parametrize("article", ["article", "div"])
+def test_wrappers_are_no_furniture(open_, close, article):
+    comments = "<div class=comments><article>Nice post, " + "I liked it. " * 40 + "</article></div>"
+    side = "<div class=sidebar><p>Latest news and links</p></div><nav>Home</nav>"
+    page = f"<body>{open_}{side}<{article}>{STORY}</{article}>{side}{comments}{close}<footer>Imprint</footer></body>"
+    assert htmltext.extract(page, htmltext.Weights({}, {})) == STORY_TEXT
