@@ -52,6 +52,12 @@ def test_pieces_match_the_other_library(spark, docs):
     assert [r["n_tokens"] for r in got] == [len(r["ids"]) for r in got]
 
 
+def test_pieces_match_on_a_whole_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    texts = [r["text"] or "" for r in rows] + ["Ωμέγα и мир 漢字かな交じり文 العربية हिन्दी " * 400, "ﬁn ½ Å e\u0301 \u200b\u00a0x"]
+    assert pieces.check(piece_model(), [t for t in texts if "▁" not in t]) == []
+
+
 def test_unigram_models():
     def number(n):
         out = b""
