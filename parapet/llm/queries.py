@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parapet.llm import cosine, htmltext, knn, mixing, packed, pieces, quality, simhash, suffixes, toxicity
+from parapet.llm import cosine, htmltext, knn, mixing, packed, pieces, quality, sharding, simhash, suffixes, toxicity
 
 
 def _vocabulary(name: str) -> str:
@@ -86,6 +86,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(pages, htmltext.fit(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 16, its slot there, and its shard among 17."""
+    return sharding.digest(_table(spark, sf_dir, "documents"), sharding.even(16))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -93,4 +98,5 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def statements() -> dict[str, str]:
     """DuckDB twins of the queries that SQL can express."""
     return {"op3_mixing": mixing.SQL.format(docs="documents") + mixing.COPIES.format(
-        columns="doc_id, source, text, mix_copy, mix_order")}
+        columns="doc_id, source, text, mix_copy, mix_order"),
+            "op13_sharding": sharding.statement(sharding.even(16))}

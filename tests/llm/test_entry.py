@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_each_operator_is_registered_once():
     names = [n.split("_")[0] for n in contract.queries() if n.startswith("op")]
-    assert sorted(names) == sorted(f"op{i}" for i in range(1, 11)) and "pipeline" in contract.queries()
+    assert sorted(names) == sorted(f"op{i}" for i in range(1, 14)) and "pipeline" in contract.queries()
 
 
 def test_stages_keep_the_columns(spark):
@@ -20,7 +20,7 @@ def test_stages_keep_the_columns(spark):
     assert docs.filter("NOT exact").count() == 0
 
 
-@pytest.mark.parametrize("name", ["op3_mixing"])
+@pytest.mark.parametrize("name", ["op3_mixing", "op13_sharding"])
 def test_twins(spark, name):
     import duckdb
 
