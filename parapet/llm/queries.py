@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parapet.llm import cosine, htmltext, knn, mixing, packed, pieces, quality, sharding, simhash, suffixes, toxicity
+from parapet.llm import cosine, htmltext, knn, mixing, packed, pieces, quality, sharding, simhash, suffixes, toxicity, whitening
 
 
 def _vocabulary(name: str) -> str:
@@ -86,6 +86,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(pages, htmltext.fit(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the four widest components, each scaled to unit variance."""
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 16, its slot there, and its shard among 17."""
     return sharding.digest(_table(spark, sf_dir, "documents"), sharding.even(16))
