@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parapet.llm import cosine, htmltext, knn, mixing, packed, pieces, quality, sharding, simhash, suffixes, toxicity, whitening
+from parapet.llm import (collocations, cosine, htmltext, knn, mixing, packed, pieces, quality, sharding, simhash, suffixes, toxicity,
+                         whitening)
 
 
 def _vocabulary(name: str) -> str:
@@ -86,6 +87,11 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(pages, htmltext.fit(pages)).select("page_id", "url", "text", "n_chars")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best phrases of two and three words."""
+    return collocations.phrases(_table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector on the four widest components, each scaled to unit variance."""
     return whitening.whiten(_table(spark, sf_dir, "embeddings"))
@@ -104,4 +110,5 @@ def statements() -> dict[str, str]:
     """DuckDB twins of the queries that SQL can express."""
     return {"op3_mixing": mixing.SQL.format(docs="documents") + mixing.COPIES.format(
         columns="doc_id, source, text, mix_copy, mix_order"),
+            "op11_collocations": collocations.SQL.format(docs="documents"),
             "op13_sharding": sharding.statement(sharding.even(16))}
