@@ -12,6 +12,7 @@ exception high bits u32. Bits of a block are packed value by value, lowest bit f
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -33,6 +34,8 @@ PERCENTILE = 90.0
 SHARD = 500_000
 #: Text handed to the tokenizer at once.
 CHUNK = 2 << 20
+#: Marks that end a word and are a piece of their own, if the tokenizer cuts there.
+MARKS = ".,;:!?"
 #: Separates words handed to the tokenizer together; words that contain it go alone.
 BREAK = "\x01"
 SHARDS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()),
@@ -110,7 +113,7 @@ def unpack(payload: bytes, start: int = 0, stop: int | None = None) -> np.ndarra
 class Encoder:
     """Ids of texts by a tokenizer file; ``words`` says that its words do not depend on each other.
 
-    With ``words``, texts are cut at blanks, tabs and line ends and only words not met before go to the library, many at
+    With ``words``, texts are cut at blanks, tabs, line and page ends and only words not met before go to the library, many at
     once with a separator between. That holds for tokenizers that drop white space before they look for words, such as
     the one named in the query; tests compare it with encoding texts whole.
     """
@@ -120,17 +123,51 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Words(self._many) if words else None
+        self.words = Words(self._many, start={b"": b""}) if words else None
         self.mark = self._whole([BREAK])[0] if words else None
+        self.ends = self._last() if words else None
+        self.apart = words and self.tokenizer.pre_tokenizer is not None and all(
+            [part.lower() for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(f"word{m}")][-1].startswith(m) for m in MARKS)
+
+    def _last(self) -> np.ndarray | None:
+        """Which ids end a word, if the vocabulary marks them; words of letters alone then need no separator."""
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None
+        ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
+        return ends
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _many(self, words: list[str]) -> list[bytes]:
-        alone = [i for i, w in enumerate(words) if BREAK in w or len(w) > LONGEST or "<|" in w]
-        apart = set(alone)
-        together = [i for i in range(len(words)) if i not in apart]
+    def _many(self, given: list[bytes]) -> list[bytes]:
+        words = [w.decode() for w in given]
         found: list[bytes] = [b""] * len(words)
+        known = self.words.known
+        tails: dict[str, bytes] = {}
+        for i, word in enumerate(words) if self.apart else ():  # a word and the marks behind it are encoded on their own
+            core = word.rstrip(MARKS)
+            if len(core) < len(word) and core.isalpha() and (before := known.get(core.encode())) is not None:
+                tail = word[len(core):]
+                if tail not in tails:
+                    tails[tail] = self._whole([tail])[0].tobytes()
+                found[i] = before + tails[tail]
+        letters = [i for i, w in enumerate(words) if w.isalpha() and w.lower().isalpha()] if self.ends is not None else []
+        done = set(letters)
+        for at in range(0, len(letters), 1000):
+            own = letters[at:at + 1000]
+            ids = self._whole([" ".join(words[i] for i in own)])[0]
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(own):  # some word fell into several: not as simple as it looked
+                done -= set(own)
+                continue
+            starts, data = np.concatenate([[0], stops[:-1]]), ids.tobytes()
+            for i, x, y in zip(own, (starts * 4).tolist(), (stops * 4).tolist()):
+                found[i] = data[x:y]
+        rest = [i for i in range(len(words)) if i not in done and not found[i]]
+        apart = {i for i in rest if BREAK in words[i] or len(words[i]) > LONGEST or "<|" in words[i]}
+        alone, together = sorted(apart), [i for i in rest if i not in apart]
         for i, ids in zip(alone, self._whole([words[i] for i in alone])):
             found[i] = ids.tobytes()
         if len(self.mark) != 1:
@@ -148,8 +185,13 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if self.words is None:
             return self._whole(texts)
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        return [np.frombuffer(x, "<u4") for x in self.words.ids(cut)]
+        return self.encoded([t.encode() for t in texts])
+
+    def encoded(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of texts given as UTF-8, cut at white space of one byte."""
+        if self.words is None:
+            return self._whole([t.decode() for t in texts])
+        return [np.frombuffer(x, "<u4") for x in self.words.ids([t.split() for t in texts])]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -188,7 +230,7 @@ def write(docs: DataFrame, path: str, tokenizer: Callable[[], str], end_id: int,
 
         end = np.asarray([end_id], "<u4")
         for batch in slices(batches, "text", CHUNK):
-            found = encode([x or "" for x in batch.column("text").to_pylist()])
+            found = encode.encoded([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()])
             for name, own in zip(batch.column("doc_id").to_pylist(), found):
                 ids.append(np.concatenate([own, end]))
                 names.append(name)
@@ -207,7 +249,10 @@ def write(docs: DataFrame, path: str, tokenizer: Callable[[], str], end_id: int,
 
 
 def read(shards: DataFrame) -> DataFrame:
-    """One row per document from the shards: ``doc_id, start, n_tokens, ids_crc32``, every id unpacked."""
+    """One row per document from the shards: ``doc_id, start, n_tokens, ids_crc32``, every id unpacked.
+
+    Payloads are not shuffled: what they are joined with has one row per partition written, a number the writer chose.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -224,7 +269,7 @@ def read(shards: DataFrame) -> DataFrame:
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition written
     starts = totals.select("part", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("part_start"))
-    return shards.join(starts, "part").select("part_start", "first_in_part", "doc_ids", "lengths", "payload").mapInArrow(
+    return shards.join(F.broadcast(starts), "part").select("part_start", "first_in_part", "doc_ids", "lengths", "payload").mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -1,7 +1,8 @@
 """Encoding text word by word with a tokenizer whose words do not depend on each other.
 
-Most words of a corpus come back all the time. Where a tokenizer never looks across a separator, the ids of a text are
-the ids of its words in order, so each worker remembers words and the library only sees those it has not met.
+Most words of a corpus come back all the time, and many others never do. Where a tokenizer never looks across a
+separator, the ids of a text are the ids of its words in order, so each worker remembers words it has met in two calls and
+the library sees the others. A word met once takes no lasting room: names and misspellings do not push out common words.
 """
 
 from __future__ import annotations
@@ -9,30 +10,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Words remembered by one Python worker; a full memory is emptied, which costs time and changes nothing.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
+#: Hashes of words met once; emptied when full. Two words of one hash may be remembered a call early, no more.
+MET = 1_000_000
 #: Longer words are encoded each time.
 LONGEST = 64
 
 
 class Words:
-    """Ids of words as little-endian 32-bit bytes."""
+    """Ids of words as little-endian 32-bit bytes. ``start`` are words known beforehand: the empty one has no ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = REMEMBERED):
-        self.encode, self.most = encode, most
-        self.known: dict[str, bytes] = {"": b""}
+    def __init__(self, encode: Callable[[list], list[bytes]], most: int = REMEMBERED, start: dict | None = None):
+        self.encode, self.most, self.start = encode, most, {"": b""} if start is None else start
+        self.known: dict = dict(self.start)
+        self.met: set[int] = set()
 
-    def ids(self, texts: list[list[str]]) -> list[bytes]:
-        """For each list of words, the ids of all words joined."""
+    def ids(self, texts: list[list]) -> list[bytes]:
+        """For each list of words (text or bytes, one kind only), the ids of all words joined."""
         if len(self.known) > self.most:
-            self.known = {"": b""}
-        known = self.known
-        new = {w for words in texts for w in words if w not in known}
-        if not new:
-            return [b"".join(map(known.__getitem__, words)) for words in texts]
-        order = list(new)
-        found = dict(zip(order, self.encode(order)))
-        long = {w: found[w] for w in order if len(w) > LONGEST}
-        known.update((w, i) for w, i in found.items() if len(w) <= LONGEST)
-        if not long:
-            return [b"".join(map(known.__getitem__, words)) for words in texts]
-        return [b"".join([known[w] if w in known else long[w] for w in words]) for words in texts]
+            self.known = dict(self.start)
+        if len(self.met) > MET:
+            self.met = set()
+        known, met = self.known, self.met
+        new = list(set().union(*texts).difference(known))
+        if new:
+            known.update(zip(new, self.encode(new)))
+        found = [b"".join(map(known.__getitem__, words)) for words in texts]
+        for word in new:
+            if (mark := hash(word)) not in met or len(word) > LONGEST:
+                met.add(mark)
+                del known[word]
+        return found
