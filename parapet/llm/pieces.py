@@ -26,8 +26,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Text handed to the library at once.
 CHUNK = 2 << 20
-#: Words a task remembers; decoded texts and ids need room beside them.
-REMEMBERED = 300_000
+#: Words a worker remembers, of either kind; decoded texts and ids need room beside them.
+REMEMBERED = 600_000
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())),
                        T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType()),
                        T.StructField("exact", T.BooleanType())])
@@ -169,21 +169,67 @@ class Codec:
         #: Words of unnormalised text stand for themselves only if normalising means no more than the marker.
         self.wordwise = cuttable(self.model) and not self.model.charsmap and not self.model.collapse
         self.words = Words(self._each, REMEMBERED)
+        self.marked = Words(self._joined, REMEMBERED, {})
+        self.starts = np.array([text.startswith(MARK) for text, _, _ in self.model.pieces])
+        self.raw = self._bytes()
+
+    def _bytes(self) -> list[bytes] | None:
+        """What each piece stands for. None if a piece's text is not simply its own (the library then decodes)."""
+        if not self.tokenizer.get_vocab_size() == len(self.model.pieces):
+            return None
+        return [bytes([int(text[3:5], 16)]) if kind == BYTE else text.replace(MARK, " ").encode()
+                for text, _, kind in self.model.pieces]
 
     def _each(self, words: list[str]) -> list[bytes]:
         found = self.plain.encode_batch_fast(words, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Ids of words with the marker before each, many to a text: a piece that begins with the marker begins a word."""
+        found: list[bytes] = []
+        for at in range(0, len(words), 1000):
+            own = words[at:at + 1000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(self.starts[ids])
+            if len(starts) != len(own):
+                found += self._each([MARK + w for w in own])
+                continue
+            stops, data = np.append(starts[1:], len(ids)), ids.tobytes()
+            found += [data[x:y] for x, y in zip((starts * 4).tolist(), (stops * 4).tolist())]
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of whole texts. Empty texts have none."""
         if not self.wordwise:
             return [np.asarray(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found: list[bytes] = [b""] * len(texts)
+        # one blank between words: each word but the marker is a word of the text as it stands
+        plain = [i for i, t in enumerate(texts) if t and self.model.prefix and "  " not in t and MARK not in t
+                 and t[0] != " " and t[-1] != " "]
+        for i, ids in zip(plain, self.marked.ids([texts[i].split(" ") for i in plain])):
+            found[i] = ids
+        own = set(plain)
+        other = [i for i, t in enumerate(texts) if t and i not in own]
         lead = MARK if self.model.prefix else ""
         cut = re.compile(f"{MARK}+[^{MARK}]*|^[^{MARK}]+").findall
-        found = self.words.ids([cut(lead + t.replace(" ", MARK)) if t else [] for t in texts])
+        for i, ids in zip(other, self.words.ids([cut(lead + texts[i].replace(" ", MARK)) for i in other])):
+            found[i] = ids
         return [np.frombuffer(x, "<u4") for x in found]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """Texts of ids: pieces joined, byte pieces as bytes. What is not UTF-8 then is left to the library."""
+        if self.raw is None:
+            return self._decoded(ids)
+        back: list[str] = []
+        for own in ids:
+            text = b"".join(map(self.raw.__getitem__, own.tolist()))
+            try:
+                back.append(text[1 if self.model.prefix and text[:1] == b" " else 0:].decode())
+            except UnicodeDecodeError:
+                back += self._decoded([own])
+        return back
+
+    def _decoded(self, ids: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
     def expected(self, text: str) -> str:
@@ -192,6 +238,16 @@ class Codec:
         return done.replace(MARK, " ")
 
 
+_codecs: dict[tuple[bytes, int], Codec] = {}
+
+
+def codec(data: bytes, threads: int) -> Codec:
+    """One codec per worker process: tables are built and words met once, not in every task."""
+    if (data, threads) not in _codecs:
+        _codecs[data, threads] = Codec(data, threads)
+    return _codecs[data, threads]
+
+
 def check(data: bytes, texts: list[str]) -> list[int]:
     """Positions of texts whose ids differ from the sentencepiece library's."""
     import sentencepiece
@@ -213,12 +269,12 @@ def encode_decode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: s
                        ("decoded", pa.string()), ("exact", pa.bool_())])
 
     def run(batches):
-        codec = Codec(model, threads)
+        own = codec(model, threads)
         for batch in slices(batches, "text", CHUNK):
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            ids = codec.encode(texts)
-            back = codec.decode(ids)
-            exact = [b == codec.expected(t) for b, t in zip(back, texts)]
+            ids = own.encode(texts)
+            back = own.decode(ids)
+            exact = [b == own.expected(t) for b, t in zip(back, texts)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), nested(ids, pa.int32()), pa.array([len(x) for x in ids], pa.int64()),
                  pa.array(back if keep_decoded else [None] * len(back), pa.string()), pa.array(exact, pa.bool_())],

@@ -30,6 +30,7 @@ def test_blocks_give_back_every_id(n, block):
 def test_words_encode_like_whole_texts():
     texts = [t or "" for t in TEXTS] + ["don't we'll I'm 12,345 ...!?" * 20]
     one, other = (packed.Encoder(_word_bpe(), w) for w in (True, False))
+    texts += ["a\x0bb\x0cc\x1cd\x85e\xa0f\u2028g", "\x0b", "a \x00 b"]
     assert [x.tolist() for x in one(texts)] == [x.tolist() for x in other(texts)]
 
 
@@ -52,6 +53,19 @@ def test_pieces_match_the_other_library(spark, docs):
     assert [r["n_tokens"] for r in got] == [len(r["ids"]) for r in got]
 
 
+def test_own_decoding_is_the_library_s(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
+    texts = [r["text"] or "" for r in rows] + [t or "" for t in TEXTS] + ["\u200b漢😀字", "  a", " ", "a  b ", "é" * 50]
+    codec = pieces.Codec(piece_model())
+    ids = codec.encode(texts)
+    cut = [x[1:] for x in ids] + [x[:-1] for x in ids] + [np.array([3 + 0xC3, 3 + 0x28, 300], "<u4"), np.array([0, 1, 2, 0], "<u4")]
+    assert codec.decode(ids + cut) == codec._decoded(ids + cut)
+
+
+def test_one_codec_per_worker():
+    assert pieces.codec(piece_model(), 2) is pieces.codec(piece_model(), 2)
+
+
 def test_pieces_match_on_a_whole_table(spark):
     rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()
     texts = [r["text"] or "" for r in rows] + ["Ωμέγα и мир 漢字かな交じり文 العربية हिन्दी " * 400, "ﬁn ½ Å e\u0301 \u200b\u00a0x"]
