@@ -16,12 +16,14 @@ What makes it parallel:
 
 from __future__ import annotations
 
+from itertools import groupby
 from math import ceil, log
-from typing import Sequence
+from typing import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from parapet.functions import fixed
 from parapet.functions.clock import epoch_micros, from_micros, slot
@@ -213,52 +215,122 @@ def openings(times: DataFrame, width: int) -> DataFrame:
 
 # --- replay --------------------------------------------------------------------------------------------------------
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass down a range of requests and openings in order: the opening a request follows, and its number after it.
+
+    Before the first opening of the range the opening is null and numbers count from the head of the range.
+    """
+    part, opened, count, at = TaskContext.get().partitionId(), None, 0, 0
+    for batch in batches:
+        rows = batch.num_rows
+        if not rows:
+            continue
+        us, is_request = batch.column("__us").to_numpy(), batch.column("__request").to_numpy()
+        mark = np.maximum.accumulate(np.where(is_request == 1, -1, np.arange(rows)))
+        total = np.cumsum(is_request)
+        inside = mark >= 0
+        opening = np.where(inside, us[mark], 0 if opened is None else opened)
+        n = np.where(inside, total - total[mark], total + count)
+        known = inside | (opened is not None)
+        columns = [np.full(rows, part, np.int32), np.arange(at, at + rows), pa.array(opening, mask=~known), n.astype(np.int64)]
+        for name, column in zip(("__range", "__at", "__open", "__n"), columns):
+            batch = batch.append_column(name, column if isinstance(column, pa.Array) else pa.array(column))
+        yield batch
+        opened, count, at = int(opening[-1]) if known[-1] else None, int(n[-1]), at + rows
+
+
 def replay(df: DataFrame, key: Column, ts: str, request_id: str, limit: int | None = None,
            window_seconds: int = fixed.QUOTA_WINDOW_SECONDS) -> DataFrame:
     """Adds ``quota_key``, ``window_start``, ``n`` (the request's number in its window) and, with a limit, ``denied``.
 
     Denied requests still count. Requests at the same time are ordered by ``request_id``; those without a time count as
     the earliest. All columns of ``df`` are shuffled with the keys, so leave long texts out (as ``replay_rules`` does).
+
+    Openings are put among the requests as rows of their own and both are dealt out by ranges of (key, time, id), so a hot
+    key, and even one timestamp of it, is many ranges. One pass down each range numbers its requests; a window that
+    began in an earlier range is continued from a table with one row per range.
     """
     width = window_seconds * MICROS
-    rows = df.withColumns({"quota_key": key, "__us": F.coalesce(epoch_micros(df, ts), F.lit(0).cast("bigint"))})
-    rows = rows.withColumn("__slot", slot(F.col("__us"), width))
-    times = rows.select(F.col("quota_key").alias("key"), F.col("__us").alias("us"), F.col("__slot").alias("slot"))
-    found = openings(times, width)
-    # A window reaches into the next slot at most, so every slot sees its own opening and that of the slot before.
-    at, none = slot(F.col("opening"), width), F.lit(None).cast("bigint")
-    seen = (found.select("key", F.inline(F.array(
-                F.struct(at.alias("__slot"), F.col("opening").alias("__own"), none.alias("__prior")),
-                F.struct((at + 1).alias("__slot"), none.alias("__own"), F.col("opening").alias("__prior")))))
-            .groupBy(F.col("key").alias("quota_key"), "__slot")
-            .agg(F.max("__own").alias("__own"), F.max("__prior").alias("__prior")))
-    placed = (rows.join(seen, ["quota_key", "__slot"])
-              .withColumn("__open", F.when(F.col("__own") <= F.col("__us"), F.col("__own")).otherwise(F.col("__prior"))))
-    counted = running_total(placed, ["quota_key", "__open"], "__us", [request_id], {"n": F.lit(1).cast("bigint")})
-    out = counted.select(*df.columns, "quota_key", from_micros(F.col("__open")).alias("window_start"), "n")
+    rows = df.withColumns({"quota_key": key, "__us": F.coalesce(epoch_micros(df, ts), F.lit(0).cast("bigint")),
+                           "__request": F.lit(1)})
+    times = rows.select(F.col("quota_key").alias("key"), F.col("__us").alias("us"), slot(F.col("__us"), width).alias("slot"))
+    marks = cut(openings(times, width)).select(F.col("key").alias("quota_key"), F.col("opening").alias("__us"), F.lit(0).alias("__request"))
+    both = rows.unionByName(marks, allowMissingColumns=True)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["quota_key", "__us", "__request", request_id]
+    dealt = both.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in both.schema.fields])
+    for name, kind in (("__range", T.IntegerType()), ("__at", T.LongType()), ("__open", T.LongType()), ("__n", T.LongType())):
+        schema.add(name, kind)
+    passed = cut(dealt.mapInArrow(_numbered, schema))
+    tails = passed.groupBy("__range").agg(F.max(F.struct("__at", "__open", "__n")).alias("tail"))
+    upto = Window.orderBy("__range")
+    tails = tails.withColumn("run", F.count("tail.__open").over(upto))  # ranges since an opening
+    since = Window.partitionBy("run").orderBy("__range")
+    tails = tails.select("__range", F.first("tail.__open").over(since).alias("open"), F.sum("tail.__n").over(since).alias("n"))
+    carried = tails.select("__range", F.lag("open").over(upto).alias("__carried"), F.lag("n").over(upto).alias("__before"))
+    late = F.col("__open").isNull()
+    placed = passed.filter("__request = 1").join(F.broadcast(carried), "__range")  # a row per range
+    out = placed.select(*df.columns, "quota_key", from_micros(F.when(late, F.col("__carried")).otherwise(F.col("__open"))).alias("window_start"),
+                        (F.col("__n") + F.when(late, F.col("__before")).otherwise(F.lit(0))).alias("n"))
     return out if limit is None else out.withColumn("denied", F.col("n") > limit)
 
 
+def _counter(rule: QuotaRule) -> str:
+    return fixed.QUOTA_KEYS.get(rule.scope.lower(), (fixed.QUOTA_GLOBAL_KEY,))[0]
+
+
+def verdicts(limits: Sequence[int]) -> list[tuple[int | None, int]]:
+    """Which of several limits on one counter denies the requests of a window: ``(last request, position of the limit)``.
+
+    A request adds one to the counter for every limit it comes to, and stops at the first it exceeds. What it adds falls
+    as the counter rises, so a window has at most one stretch of requests per limit, and one in which all pass (position
+    ``len(limits)``) before them. Every window begins at 0: the stretches are the same for all. The last has no end (None).
+    """
+    found: list[tuple[int | None, int]] = []
+    counter = requests = 0
+    while True:
+        stop = next((i for i, limit in enumerate(limits) if counter + i + 1 > limit), len(limits))
+        added = min(stop + 1, len(limits))
+        # the stretch lasts while no limit before the one that denies is exceeded
+        room = [limit - i - 1 - counter for i, limit in enumerate(limits[:stop])]
+        if not room:
+            return [*found, (None, stop)]
+        more = min(room) // added + 1
+        counter, requests = counter + more * added, requests + more
+        found.append((requests, stop))
+
+
 def replay_rules(df: DataFrame, rules: Sequence[QuotaRule], ts: str, request_id: str,
                  window_seconds: int = fixed.QUOTA_WINDOW_SECONDS) -> DataFrame:
     """Apply quota rules in order. Adds ``denied``, ``denied_by`` (scope) and ``deny_reason``.
 
     The first violated rule denies; later rules do not count that request. Rules without a request limit are skipped.
-    Two limits that share one counter are refused: each would count the other's requests too. Request ids are unique.
+    Neighbouring limits that share a counter (the same scope, or several unknown ones) both count on it, so that a
+    request adds as many as it comes to; they are replayed once, together. A counter that comes back after another one's
+    limit is refused: its count would hang on decisions of all other keys. Request ids are unique.
     """
     limited = [r for r in rules if r.requests_per_minute is not None]
-    counters = [fixed.QUOTA_KEYS.get(r.scope.lower(), (fixed.QUOTA_GLOBAL_KEY, None)) for r in limited]
-    if len({c[0] for c in counters}) != len(counters):
-        raise ValueError("two request limits share one counter")
+    groups = [list(own) for _, own in groupby(limited, key=_counter)]
+    if len({_counter(g[0]) for g in groups}) != len(groups):
+        raise ValueError("limits that share a counter must follow each other")
     # Only ids, times and scope columns go through the counting; the rest of the request (its texts) stays where it is.
-    needed = dict.fromkeys([request_id, ts, *(c[1] for c in counters if c[1])])
+    scoped = [fixed.QUOTA_KEYS[g[0].scope.lower()][1] for g in groups if g[0].scope.lower() in fixed.QUOTA_KEYS]
+    needed = dict.fromkeys([request_id, ts, *scoped])
     open_rows, denied = df.select(*needed), None
-    for rule in limited:
-        seen = cut(replay(open_rows, scope_key(rule.scope), ts, request_id, rule.requests_per_minute, window_seconds))
-        reason = F.lit(fixed.REASON_ERROR + fixed.REASON_QUOTA % (rule.scope, rule.requests_per_minute))
-        part = seen.filter("denied").select(request_id, F.lit(rule.scope).alias("denied_by"), reason.alias("deny_reason"))
+    for own in groups:
+        seen = replay(open_rows, scope_key(own[0].scope), ts, request_id, None, window_seconds)
+        rule = F.lit(None).cast("int")
+        for last, position in reversed(verdicts([r.requests_per_minute for r in own])):
+            which = F.lit(position if position < len(own) else None).cast("int")
+            rule = which if last is None else F.when(F.col("n") <= last, which).otherwise(rule)
+        seen = cut(seen.withColumn("__rule", rule))
+        name = F.get(F.array(*[F.lit(r.scope) for r in own]), F.col("__rule"))
+        reason = F.get(F.array(*[F.lit(fixed.REASON_ERROR + fixed.REASON_QUOTA % (r.scope, r.requests_per_minute)) for r in own]),
+                       F.col("__rule"))
+        part = seen.filter("__rule IS NOT NULL").select(request_id, name.alias("denied_by"), reason.alias("deny_reason"))
         denied = part if denied is None else denied.unionByName(part)
-        open_rows = seen.filter("not denied").select(*needed)
+        open_rows = seen.filter("__rule IS NULL").select(*needed)
     if denied is None:
         none = F.lit(None).cast("string")
         return df.withColumns({"denied": F.lit(False), "denied_by": none, "deny_reason": none})

@@ -13,7 +13,7 @@ from parapet.functions import fixed
 from parapet.operators.pii import OPTIONS
 from parapet.plans.queries import policy
 from parapet.plans.samples import (MARKUP_PATTERNS, PROMPT_SAMPLES, QUOTA_LIMIT, QUOTA_SECONDS, REPLY_SAMPLES,
-                                   TENANT_LIMIT)
+                                   SHARED_LIMITS, TENANT_LIMIT)
 
 PATTERN = {kind: (pattern, ignore_case, tag) for kind, _, _, ignore_case, pattern, tag in fixed.PII_DETECTORS}
 DEFAULT_KINDS = [kind for kind, on in OPTIONS.values() if on]
@@ -244,6 +244,21 @@ def _replayed(source: str, key: str, name: str) -> str:
       FROM {name} w JOIN {name}_seq s ON s.quota_key = w.quota_key AND s.rn = w.rn + 1)"""
 
 
+def _shared(source: str, key: str, name: str, limits: Sequence[int]) -> str:
+    """CTEs giving ``<name>`` with ``c`` (the counter after the request) and ``rule`` (the limit that denies it, from 0)."""
+    def step(base: str) -> str:
+        cases = " ".join(f"WHEN {base} + {i + 1} > {limit} THEN {{}}".format(f"{base} + {i + 1}") for i, limit in enumerate(limits))
+        which = " ".join(f"WHEN {base} + {i + 1} > {limit} THEN {i}" for i, limit in enumerate(limits))
+        return f"CASE {cases} ELSE {base} + {len(limits)} END AS c, CASE {which} END AS rule"
+
+    fresh = f"s.us - w.ws >= {QUOTA_SECONDS * 1_000_000}"
+    return f"""{name}_seq AS (SELECT *, {key} AS quota_key, row_number() OVER (PARTITION BY {key} ORDER BY us, request_id)
+      AS rn FROM {source}),
+    {name} AS (SELECT *, us AS ws, {step('0')} FROM {name}_seq WHERE rn = 1
+      UNION ALL SELECT s.*, CASE WHEN {fresh} THEN s.us ELSE w.ws END, {step(f"(CASE WHEN {fresh} THEN 0 ELSE w.c END)")}
+      FROM {name} w JOIN {name}_seq s ON s.quota_key = w.quota_key AND s.rn = w.rn + 1)"""
+
+
 EVENTS = ("ev AS (SELECT event_id AS request_id, epoch_us(ts) AS us, user_id, event_type AS tenant_id FROM events)")
 _REPLAY = f"""WITH RECURSIVE {EVENTS}, {_replayed('ev', "'rate:user:' || user_id", 'w')}
   SELECT request_id, quota_key, ws AS window_start_us, n::BIGINT AS n, n > {QUOTA_LIMIT} AS denied FROM w"""
@@ -434,6 +449,15 @@ def statements() -> dict[str, str]:
             SELECT request_id, CASE WHEN n > {TENANT_LIMIT} THEN 'tenant' END, {TENANT_LIMIT} FROM v)
             SELECT request_id, scope IS NOT NULL AS denied, scope AS denied_by, 'Gateway error: Rate limit exceeded for '
             || scope || ': ' || lim || ' requests/min' AS deny_reason FROM d""",
+        "quota_shared": f"""WITH RECURSIVE {EVENTS},
+            {_shared('ev', "'rate:user:' || user_id", 'w', [n for s, n in SHARED_LIMITS if s.lower() == 'user'])},
+            kept AS (SELECT request_id, us, user_id, tenant_id FROM w WHERE rule IS NULL),
+            {_shared('kept', "'rate:tenant:' || tenant_id", 'v', [n for s, n in SHARED_LIMITS if s.lower() == 'tenant'])},
+            d AS (SELECT request_id, rule FROM w WHERE rule IS NOT NULL UNION ALL SELECT request_id, rule + 2 FROM v),
+            named AS (SELECT request_id, {_list(s for s, _ in SHARED_LIMITS)}[rule + 1] AS scope,
+              {[n for _, n in SHARED_LIMITS]}[rule + 1] AS lim FROM d)
+            SELECT request_id, scope IS NOT NULL AS denied, scope AS denied_by, 'Gateway error: Rate limit exceeded for '
+            || scope || ': ' || lim || ' requests/min' AS deny_reason FROM named""",
         "usage_budget": """WITH e AS (SELECT event_id AS request_id, 'rate:tenant:' || event_type AS quota_key,
             strftime(ts, '%Y-%m') AS month, ts, value::DECIMAL(18,6) AS cost, length(props) AS tokens FROM events), s AS (
             SELECT *, sum(cost) OVER w AS spent, sum(tokens) OVER w AS tokens_used FROM e WINDOW w AS (PARTITION BY

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import lru_cache
 from typing import Callable
-from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,10 +12,10 @@ from parapet.functions.clock import epoch_micros
 from parapet.operators import audit as audits, chain, pii, quota, reports, risk, routing, screens
 from parapet.plans import flows, inputs
 from parapet.plans.samples import (CUSTOM_NAME, CUSTOM_PATTERN, CUSTOM_TAG, MARKUP_PATTERNS, POLICY, QUOTA_LIMIT,
-                                   QUOTA_SECONDS, TENANT_LIMIT)
+                                   QUOTA_SECONDS, SHARED_LIMITS, TENANT_LIMIT)
 from parapet.policy import Condition, Policy, QuotaRule, RouteRule
 from parapet.sources import audit_table as audit_files, chat, requests as bodies_io
-from parapet.sources.session import shared_folder
+from parapet.sources.session import new_folder
 from parapet.streaming import audit as stream_audit, quota as stream_quota
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -337,6 +336,14 @@ def quota_multi(spark, sf):
         "request_id", "denied", "denied_by", "deny_reason")
 
 
+@query
+def quota_shared(spark, sf):
+    """Limits that share counters: two on users, the tighter one behind, and three on tenants."""
+    rules = [QuotaRule(scope, limit) for scope, limit in SHARED_LIMITS]
+    return quota.replay_rules(inputs.quota_events(spark, sf), rules, "ts", "request_id", QUOTA_SECONDS).select(
+        "request_id", "denied", "denied_by", "deny_reason")
+
+
 @query
 def usage_budget(spark, sf):
     cost, tokens = F.col("value").cast("decimal(18,6)"), F.length("props").cast("bigint")
@@ -355,12 +362,8 @@ def quota_stream(spark, sf):
     return _run_once(spark, counted.select("request_id", "quota_key", _us("window_start"), "n", "denied"))
 
 
-def _new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4()}"
-
-
 def _run_once(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    folder = _new_folder(spark, "stream")
+    folder = new_folder(spark, "stream")
     running = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")
                .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     running.awaitTermination()
@@ -386,7 +389,7 @@ def audit_build(spark, sf):
 @query
 def audit_table(spark, sf):
     """The audit events written to a new table, read back and counted by its days."""
-    folder = _new_folder(spark, "audit")
+    folder = new_folder(spark, "audit")
     audit_files.write_audit(_audit(spark, sf), folder, policy())
     return audit_files.read_audit(spark, folder).groupBy(F.date_format("dt", "yyyy-MM-dd").alias("day")).agg(
         F.count("*").alias("requests"), F.count_if("blocked").alias("blocked"),

@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import zipfile
 from pathlib import Path
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,12 +24,27 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="parapet-")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one; Hadoop removes it when the driver's JVM ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write the result once to the shared folder and go on from there; survives the loss of executors."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write the result once to the shared folder and go on from there; survives the loss of executors.
+
+    A table, not ``checkpoint()``, which would compute the last stage twice: once to count, once to write.
+    """
+    spark = df.sparkSession
+    if any(isinstance(f.dataType, T.NullType) for f in df.schema.fields):  # no file format has a column without a type
+        if not spark.sparkContext.getCheckpointDir():
+            spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        return df.checkpoint()
+    path = new_folder(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

@@ -97,8 +97,8 @@ def test_rules_in_order(spark):
     # u1's second and third request are denied by the user rule and never reach the tenant's counter
     assert [r["denied_by"] for r in rows] == [None, "user", "user", None, "tenant"]
     assert rows[4]["deny_reason"] == "Gateway error: Rate limit exceeded for tenant: 2 requests/min"
-    with pytest.raises(ValueError):
-        quota.replay_rules(df, [QuotaRule("a", 1), QuotaRule("b", 2)], "us", "id")
+    with pytest.raises(ValueError):  # a counter that comes back after another one's limit
+        quota.replay_rules(df, [QuotaRule("other", 1), QuotaRule("user", 1), QuotaRule("global", 2)], "us", "id")
 
 
 def test_request_without_time_is_kept(spark):
@@ -164,3 +164,52 @@ def test_idle_keys_leave_the_state():
     assert state.get == (T0 + 60 * SECOND, 1) and state.wait == 90_000
     state.hasTimedOut = True
     assert not list(count(("k",), iter([]), state)) and not state.exists
+
+
+@pytest.mark.parametrize("limits", [[3], [0, 4], [5, 3], [2, 2, 2], [10, 7, 8, 1], [1, 100, 3], [6, 1, 9, 4, 4]])
+def test_stretches_of_shared_limits(limits):
+    stretches, counter = quota.verdicts(limits), 0
+    for n in range(1, 60):
+        want = len(limits)
+        for i, limit in enumerate(limits):
+            counter += 1
+            if counter > limit:
+                want = i
+                break
+        got = next(position for last, position in stretches if last is None or n <= last)
+        assert got == want, (limits, n)
+
+
+def test_rules_sharing_counters_are_the_sequential_count(spark):
+    rng = random.Random(5)
+    rows = [(i, T0 + rng.randint(0, 400) * SECOND, rng.choice(["a", *"bcdefghijkl", None]), rng.choice(["x", "y", "z", None]), "t") for i in range(500)]
+    rules = [QuotaRule("user", 6), QuotaRule("USER", 5), QuotaRule("tenant", None), QuotaRule("tenant", 6), QuotaRule("odd", 20),
+             QuotaRule("other", 34)]
+    state, want = {}, {}
+    for i, us, user, tenant, _ in sorted(rows, key=lambda r: (r[1], r[0])):
+        want[i] = None
+        for rule in rules:
+            if rule.requests_per_minute is None:
+                continue
+            key = {"user": f"u{user}", "tenant": f"t{tenant}"}.get(rule.scope.lower(), "global")
+            opened, n = state.get(key, (None, 0))
+            opened, n = (us, 1) if opened is None or us - opened >= 60 * SECOND else (opened, n + 1)
+            state[key] = opened, n
+            if n > rule.requests_per_minute:
+                want[i] = rule.scope
+                break
+    df = spark.createDataFrame(rows, "id long, ts long, user_id string, tenant_id string, quota_text string")
+    got = quota.replay_rules(df, rules, "ts", "id")
+    assert {r["id"]: r["denied_by"] for r in got.collect()} == want and len(set(want.values())) > 4
+    assert got.columns == [*df.columns, "denied_by", "deny_reason", "denied"]
+
+
+def test_ranges_may_end_anywhere(spark):
+    """More ranges than windows: most begin inside one."""
+    rows = [("k", T0 + (i // 3) * SECOND, i) for i in range(400)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        assert replayed(spark, rows) == brute(rows, 60) and replayed(spark, rows, 1000) == brute(rows, 1000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
