@@ -33,35 +33,62 @@ def decide(requests: DataFrame, policy: Policy, ts: str = "ts", request_id: str
     return routing.route(screened, policy)
 
 
+_REPLY = ("content", "prompt_tokens", "completion_tokens", "error", "finished_at", "__reply_screen", "__reply_reason",
+          "__replied")
+
+
+def fold_attempts(attempts: DataFrame, request_id: str = "request_id") -> DataFrame:
+    """One row per request from a table of calls: the first call's columns, and those of the second named ``__next_*``.
+
+    ``attempt`` is 1 for the call to the routed provider and 2 for the call to its fallback; the gateway makes no others, so
+    other numbers are left out. Of several rows for one call the first to finish counts (ties: by error, tokens and
+    text). Every column is folded by itself, so a column nobody reads, such as a long text, is not shuffled.
+    """
+    order = F.struct("finished_at", "error", "prompt_tokens", "completion_tokens", F.xxhash64("content"))
+    return attempts.filter("attempt IN (1, 2)").groupBy(request_id).agg(*[
+        F.min_by(name, F.when(F.col("attempt") == k, order)).alias(prefix + name)
+        for k, prefix in ((1, ""), (2, "__next_")) for name in _REPLY])
+
+
 def answer(decided: DataFrame, replies: DataFrame, policy: Policy, request_id: str = "request_id",
            own: Sequence[Screen] = ()) -> DataFrame:
     """Join the providers' replies, take fallbacks, apply the output chain, and give one outcome per request.
 
     ``replies``: request id, ``content``, ``prompt_tokens``, ``completion_tokens``, ``error`` (null if the first call
-    went well), ``finished_at``. The ids are unique on both sides, so the join has no hot key. Replies are screened
+    went well), ``finished_at``. With a column ``attempt`` the table has a row per call instead (see ``fold_attempts``),
+    each with its own error: a fallback's call can then fail too, and its error ends the request. Without it a reply
+    beside an error is the fallback's. Ids are unique on both sides, so the join has no hot key. Replies are screened
     before the join: where only verdicts and counts are asked for, no text is shuffled.
     """
     screened = run_chain(replies, [*policy.output_screens(), *own], text="content").withColumnsRenamed(
         {"screen": "__reply_screen", "reason": "__reply_reason"}).drop("blocked").withColumn("__replied", F.lit(True))
-    joined = decided.join(screened, request_id, "left")
+    calls = "attempt" in replies.columns
+    joined = decided.join(fold_attempts(screened, request_id) if calls else screened, request_id, "left")
+    none, silent = F.lit(None).cast("string"), F.lit("no reply")
+    next_replied, next_error = (F.col("__next___replied"), F.col("__next_error")) if calls else (F.col("__replied"), none)
     # a disabled provider cannot be called: that is a failed call, of the fallback's too
     off = routing.is_disabled(F.col("provider"), policy)
     unknown = F.concat(F.lit("AI provider '"), F.col("provider"), F.lit("' is not registered."))
-    called = joined.withColumn("error", F.when(off, unknown).otherwise(F.col("error")))
+    skipped = F.col("__replied").isNull() & next_replied.isNotNull()
+    called = joined.withColumn("error", F.when(off, unknown).when(skipped, silent).otherwise(F.col("error")))
     failed = called.withColumn("failed", (~F.col("blocked")) & F.col("error").isNotNull())
     routed = routing.apply_fallback(failed, policy)
-    lost = F.col("used_fallback") & off
-    routed = routed.withColumns({"unresolved": F.col("unresolved") | lost, "error": F.when(lost, unknown).otherwise(F.col("error"))})
-    # a request that went out and got no reply is an error of the gateway, not an empty answer
-    missing = F.col("__replied").isNull() & F.col("reason").isNull()
-    broken = F.when(F.col("unresolved"), F.concat(F.lit(fixed.REASON_ERROR), F.col("error"))).when(
-        missing, F.lit(fixed.REASON_ERROR + "no reply"))
-    out = routed.withColumn("__prior", F.coalesce(F.col("reason"), broken))
+    fell = F.col("used_fallback")
+    # what ends the request: the fallback's failure, a failure without a fallback, or no reply to a request that went out
+    last = F.when(fell & off, unknown).when(fell & next_replied.isNull(), silent).when(fell, next_error).when(
+        F.col("unresolved"), F.col("error")).when(F.col("__replied").isNull() & F.col("reason").isNull(), silent)
+    routed = routed.withColumn("__last", last)
+    out = routed.withColumns({"__prior": F.coalesce(F.col("reason"), F.concat(F.lit(fixed.REASON_ERROR), F.col("__last"))),
+                              "error": F.coalesce("__last", "error")})
+    if calls:
+        out = out.withColumns({name: F.when(fell, F.col(f"__next_{name}")).otherwise(F.col(name)) for name in _REPLY if name != "error"})
     out = out.withColumns({
         "screen": F.when(F.col("__prior").isNull(), F.col("__reply_screen")).otherwise(F.col("screen")),
         "reason": F.coalesce("__prior", "__reply_reason"), "estimated_cost": F.lit(0)})
     out = out.withColumn("blocked", F.col("reason").isNotNull())
-    return outcome(out.drop("__prior", "__reply_screen", "__reply_reason", "__replied", "failed", "unresolved"))
+    hidden = ("__prior", "__last", "__reply_screen", "__reply_reason", "__replied", "failed", "unresolved",
+              *(f"__next_{name}" for name in _REPLY if calls))
+    return outcome(out.drop(*hidden))
 
 
 def audit(requests: DataFrame, replies: DataFrame, policy: Policy, request_id: str = "request_id") -> DataFrame:

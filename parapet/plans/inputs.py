@@ -30,6 +30,12 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_chars")
 
 
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of a blocklist: stretches of documents, of 4 to 23 characters, in upper case."""
+    return documents(spark, sf_dir).filter("doc_id % 5 = 0").select(
+        F.expr("upper(substring(text, CAST(20 + doc_id % 50 AS INT), CAST(4 + doc_id % 20 AS INT)))").alias("entry"))
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("conv_id") * 7 + F.col("turn")
     return spread(table(spark, sf_dir, "conversations")).select(
@@ -74,6 +80,22 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("finished_at"))
 
 
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls to providers, a row each: some fail, some fallbacks fail too, some requests got no answer at all."""
+    d = documents(spark, sf_dir).filter("doc_id % 29 <> 5")
+    calls = d.select("*", F.explode(F.expr("CASE WHEN doc_id % 4 = 0 THEN array(1, 2) ELSE array(1) END")).alias("attempt"))
+    return calls.select(
+        F.col("doc_id").alias("request_id"), "attempt",
+        F.when(F.expr("NOT (attempt = 1 AND doc_id % 4 = 0) AND NOT (attempt = 2 AND doc_id % 12 = 0)"),
+               with_sample(F.col("text"), F.col("doc_id") + F.col("attempt"), REPLY_SAMPLES)).alias("content"),
+        (F.floor(F.col("n_chars") / 4) + F.col("attempt")).cast("int").alias("prompt_tokens"),
+        (F.col("doc_id") % 97).cast("int").alias("completion_tokens"),
+        F.expr("CASE WHEN attempt = 1 AND doc_id % 4 = 0 THEN 'upstream timeout' "
+               "WHEN attempt = 2 AND doc_id % 12 = 0 THEN 'backup overloaded' END").alias("error"),
+        F.expr(f"{_TS} + make_dt_interval(0, 0, 0, CAST((doc_id % 1000) * 0.0015 + attempt * 0.00025 AS DECIMAL(18,6)))")
+        .alias("finished_at"))
+
+
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat bodies of four kinds: several messages, a single prompt, a prompt beside unscreened messages, no JSON."""
     d = prompts(spark, sf_dir)

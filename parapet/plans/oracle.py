@@ -12,7 +12,7 @@ from typing import Iterable, Sequence
 from parapet.functions import fixed
 from parapet.operators.pii import OPTIONS
 from parapet.plans.queries import policy
-from parapet.plans.samples import (MARKUP_PATTERNS, PROMPT_SAMPLES, QUOTA_LIMIT, QUOTA_SECONDS, REPLY_SAMPLES,
+from parapet.plans.samples import (FLOW_LIMITS, MARKUP_PATTERNS, PROMPT_SAMPLES, QUOTA_LIMIT, QUOTA_SECONDS, REPLY_SAMPLES,
                                    SHARED_LIMITS, TENANT_LIMIT)
 
 PATTERN = {kind: (pattern, ignore_case, tag) for kind, _, _, ignore_case, pattern, tag in fixed.PII_DETECTORS}
@@ -244,14 +244,14 @@ def _replayed(source: str, key: str, name: str) -> str:
       FROM {name} w JOIN {name}_seq s ON s.quota_key = w.quota_key AND s.rn = w.rn + 1)"""
 
 
-def _shared(source: str, key: str, name: str, limits: Sequence[int]) -> str:
+def _shared(source: str, key: str, name: str, limits: Sequence[int], seconds: int = QUOTA_SECONDS) -> str:
     """CTEs giving ``<name>`` with ``c`` (the counter after the request) and ``rule`` (the limit that denies it, from 0)."""
     def step(base: str) -> str:
         cases = " ".join(f"WHEN {base} + {i + 1} > {limit} THEN {{}}".format(f"{base} + {i + 1}") for i, limit in enumerate(limits))
         which = " ".join(f"WHEN {base} + {i + 1} > {limit} THEN {i}" for i, limit in enumerate(limits))
         return f"CASE {cases} ELSE {base} + {len(limits)} END AS c, CASE {which} END AS rule"
 
-    fresh = f"s.us - w.ws >= {QUOTA_SECONDS * 1_000_000}"
+    fresh = f"s.us - w.ws >= {seconds * 1_000_000}"
     return f"""{name}_seq AS (SELECT *, {key} AS quota_key, row_number() OVER (PARTITION BY {key} ORDER BY us, request_id)
       AS rn FROM {source}),
     {name} AS (SELECT *, us AS ws, {step('0')} FROM {name}_seq WHERE rn = 1
@@ -272,19 +272,57 @@ _GLOBAL = f"""WITH RECURSIVE {EVENTS}, o AS (SELECT min(us) AS ws FROM ev UNION
 
 # --- audit ---------------------------------------------------------------------------------------------------------
 
+ATTEMPTS = f"""calls AS (SELECT doc_id AS request_id, attempt, CASE WHEN NOT (attempt = 1 AND doc_id % 4 = 0)
+    AND NOT (attempt = 2 AND doc_id % 12 = 0) THEN {_sampled('text', 'doc_id + attempt', REPLY_SAMPLES)} END AS content,
+  n_chars // 4 + attempt AS prompt_tokens, doc_id % 97 AS completion_tokens,
+  CASE WHEN attempt = 1 AND doc_id % 4 = 0 THEN 'upstream timeout' WHEN attempt = 2 AND doc_id % 12 = 0
+    THEN 'backup overloaded' END AS error, {_TS_US} + (doc_id % 1000) * 1500 + attempt * 250 AS finished_us
+  FROM documents, (VALUES (1), (2)) AS v(attempt) WHERE doc_id % 29 <> 5 AND (attempt = 1 OR doc_id % 4 = 0))"""
+
+
+def _limited(source: str, name: str) -> str:
+    """Requests with ``deny``: the reason of the quota that refuses them, rule group after rule group."""
+    apps, everyone = ([n for s, n in FLOW_LIMITS if (s.lower() == "application") == own] for own in (True, False))
+    reason = "'Gateway error: Rate limit exceeded for ' || {} || ': ' || {} || ' requests/min'"
+    scopes, limits = _list(s for s, _ in FLOW_LIMITS), str([n for _, n in FLOW_LIMITS])
+    return f"""keyed AS (SELECT request_id, ts_us AS us, application_id FROM {source}),
+    {_shared('keyed', "'rate:app:' || application_id", 'qa', apps, 60)},
+    through AS (SELECT request_id, us, application_id FROM qa WHERE rule IS NULL),
+    {_shared('through', "'rate:global'", 'qg', everyone, 60)},
+    ruled AS (SELECT request_id, rule FROM qa WHERE rule IS NOT NULL UNION ALL SELECT request_id, rule + {len(apps)} FROM qg),
+    {name} AS (SELECT r.*, {reason.format(f'{scopes}[rule + 1]', f'{limits}[rule + 1]')} AS deny
+      FROM {source} r JOIN ruled USING (request_id))"""
+
+
 @lru_cache
-def _finished() -> str:
+def _finished(calls: bool = False, quotas: bool = False) -> str:
     reason, text = _response("content")
-    return f"""{REQUESTS}, {REPLIES}, {_chain('requests', 'prompt')}, {_routed('chained')},
+    chained = _chain('requests', 'prompt')
+    if quotas:  # a request denied by a quota is not screened
+        chained = f"""{_limited('requests', 'admitted')}, {_chain('admitted', 'prompt')}, verdicts AS (SELECT * REPLACE (
+            coalesce(deny, reason) AS reason, CASE WHEN deny IS NULL THEN screen END AS screen,
+            CASE WHEN deny IS NULL THEN out ELSE prompt END AS out) FROM chained)"""
+    placed = _routed('verdicts' if quotas else 'chained')
+    replies = REPLIES if not calls else f"""{ATTEMPTS}, replies AS (SELECT a.*, b.request_id AS next_id,
+        b.content AS next_content, b.prompt_tokens AS next_pt, b.error AS next_error, b.finished_us AS next_us
+        FROM calls a LEFT JOIN calls b ON b.request_id = a.request_id AND b.attempt = 2 WHERE a.attempt = 1)"""
+    more = ", r.request_id IS NULL AS silent, r.next_id, r.next_content, r.next_pt, r.next_error, r.next_us" if calls else ""
+    last = f"""CASE WHEN unresolved THEN error END""" if not calls else """CASE WHEN used_fallback AND provider = 'local'
+        THEN 'AI provider ''local'' is not registered.' WHEN used_fallback AND next_id IS NULL THEN 'no reply'
+        WHEN used_fallback THEN next_error WHEN unresolved THEN error WHEN silent AND reason IS NULL THEN 'no reply' END"""
+    chosen = "" if not calls else """ REPLACE (CASE WHEN used_fallback THEN next_content ELSE content END AS content,
+        CASE WHEN used_fallback THEN next_pt ELSE prompt_tokens END AS prompt_tokens,
+        CASE WHEN used_fallback THEN next_us ELSE finished_us END AS finished_us)"""
+    return f"""{REQUESTS}, {replies}, {chained}, {placed},
     joined AS (SELECT *, reason IS NULL AND error IS NOT NULL AS failed FROM (SELECT p.*, r.content, r.prompt_tokens,
       r.completion_tokens, CASE WHEN provider = 'local' THEN 'AI provider ''local'' is not registered.' ELSE r.error END
-      AS error, r.finished_us FROM placed p JOIN replies r USING (request_id))),
+      AS error, r.finished_us{more} FROM placed p LEFT JOIN replies r USING (request_id))),
     {FALLBACK.replace('{source}', 'joined')},
-    prior AS (SELECT *, coalesce(reason, CASE WHEN unresolved THEN 'Gateway error: ' || error END) AS r6 FROM called),
+    prior AS (SELECT *{chosen}, coalesce(reason, 'Gateway error: ' || {last}) AS r6 FROM called),
     answered AS (SELECT *, CASE WHEN r6 IS NULL THEN {reason} END AS r7, {text} AS reply FROM prior),
     finished AS (SELECT request_id, user_id, tenant_id, application_id, coalesce(r6, r7) IS NOT NULL AS blocked,
       coalesce(r6, r7) AS block_reason, coalesce(screen, CASE WHEN r7 IS NOT NULL THEN 'output-blocked-patterns' END)
-      AS screen, flags, ts_us, finished_us, provider AS provider0, model AS model0, reply, prompt_tokens AS pt0,
+      AS screen, flags, used_fallback, ts_us, finished_us, provider AS provider0, model AS model0, reply, prompt_tokens AS pt0,
       completion_tokens AS ct0 FROM answered),
     audit AS (SELECT *, CASE WHEN blocked THEN '' ELSE provider0 END AS provider,
       CASE WHEN blocked THEN '' ELSE model0 END AS model, CASE WHEN blocked THEN '' ELSE reply END AS content,
@@ -366,6 +404,11 @@ def statements() -> dict[str, str]:
         "screen_blocklist": _verdict(
             "page_id", "pages", "html", f"CASE WHEN {_any('low', MARKUP_PATTERNS)} THEN {q(fixed.REASON_BLOCKLIST)} END",
             "blocked-patterns", "one AS (SELECT 1)"),
+        "screen_blocklist_table": f"""WITH {PROMPTS}, entries AS (SELECT DISTINCT lower(upper(substr(text, 20 + doc_id % 50,
+            4 + doc_id % 20))) AS entry FROM documents WHERE doc_id % 5 = 0), low AS (SELECT doc_id, lower(prompt) AS low
+            FROM prompts), hit AS (SELECT DISTINCT doc_id FROM low JOIN entries ON entry <> '' AND contains(low, entry))
+            SELECT doc_id, hit.doc_id IS NOT NULL AS blocked, CASE WHEN blocked THEN 'blocked-patterns' END AS screen,
+            CASE WHEN blocked THEN {q(fixed.REASON_BLOCKLIST)} END AS reason FROM prompts LEFT JOIN hit USING (doc_id)""",
         "risk_scores": f"WITH {PROMPTS}, {_scores('prompts', 'prompt')} "
                        + _stacked("scored", [(c, f"s{i}") for i, c in categories], "doc_id", "category", "score"),
         "risk_block": f"""WITH {PROMPTS}, {_scores('prompts', 'prompt')}, r AS (SELECT doc_id,
@@ -466,6 +509,12 @@ def statements() -> dict[str, str]:
         "audit_build": f"""WITH {_finished()} SELECT request_id, correlation_id, user_id, tenant_id, application_id,
             provider, model, prompt_tokens, completion_tokens, 0.0::DOUBLE AS cost, blocked, block_reason, flags,
             NULL::VARCHAR AS error, ts_us AS started_at_us, finished_us AS finished_at_us, latency_ms FROM audit""",
+        "route_attempts": f"""WITH {_finished(True)} SELECT request_id, provider, model, used_fallback, blocked,
+            block_reason AS reason, coalesce(prompt_tokens, 0) AS prompt_tokens, flags, md5(coalesce(content, '')) AS content_md5
+            FROM audit""",
+        "audit_full": f"""WITH RECURSIVE {_finished(True, True)} SELECT request_id, correlation_id, user_id, provider, model,
+            coalesce(prompt_tokens, 0) AS prompt_tokens, coalesce(completion_tokens, 0) AS completion_tokens, blocked,
+            block_reason, flags, finished_us AS finished_at_us, latency_ms FROM audit""",
         "audit_table": f"""WITH {_finished()} SELECT strftime(make_timestamp(ts_us), '%Y-%m-%d') AS day, count(*) AS requests,
             count(*) FILTER (WHERE blocked) AS blocked, sum(prompt_tokens)::BIGINT AS prompt_tokens FROM audit GROUP BY 1""",
         "outcome_rows": f"""WITH {_finished()} SELECT request_id, CASE WHEN blocked THEN 422 ELSE 200 END AS status,

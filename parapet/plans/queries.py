@@ -9,10 +9,10 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parapet.functions.clock import epoch_micros
-from parapet.operators import audit as audits, chain, pii, quota, reports, risk, routing, screens
+from parapet.operators import audit as audits, blocktable, chain, pii, quota, reports, risk, routing, screens
 from parapet.plans import flows, inputs
-from parapet.plans.samples import (CUSTOM_NAME, CUSTOM_PATTERN, CUSTOM_TAG, MARKUP_PATTERNS, POLICY, QUOTA_LIMIT,
-                                   QUOTA_SECONDS, SHARED_LIMITS, TENANT_LIMIT)
+from parapet.plans.samples import (CUSTOM_NAME, CUSTOM_PATTERN, CUSTOM_TAG, FLOW_LIMITS, MARKUP_PATTERNS, POLICY,
+                                   QUOTA_LIMIT, QUOTA_SECONDS, SHARED_LIMITS, TENANT_LIMIT)
 from parapet.policy import Condition, Policy, QuotaRule, RouteRule
 from parapet.sources import audit_table as audit_files, chat, requests as bodies_io
 from parapet.sources.session import new_folder
@@ -129,6 +129,13 @@ def screen_blocklist(spark, sf):
     return _verdict(screens.screen(pages, screens.Blocklist(MARKUP_PATTERNS), "html"), "page_id")
 
 
+@query
+def screen_blocklist_table(spark, sf):
+    """A blocklist that grows with the data: stretches of every fifth document, and short entries."""
+    return _verdict(blocktable.screen_by_table(inputs.prompts(spark, sf), ["doc_id"], "prompt", inputs.listed(spark, sf), "entry"),
+                    "doc_id")
+
+
 @query
 def risk_scores(spark, sf):
     return risk.risk_scores(inputs.prompts(spark, sf), "prompt", ["doc_id"])
@@ -386,6 +393,24 @@ def audit_build(spark, sf):
                     epoch_micros(a, "finished_at").alias("finished_at_us"), "latency_ms")
 
 
+@query
+def route_attempts(spark, sf):
+    """First calls, fallbacks, and both failing: where each request ended."""
+    done = flows.answer(flows.decide(inputs.requests(spark, sf), policy()), inputs.attempts(spark, sf), policy())
+    return done.select("request_id", "provider", "model", "used_fallback", "blocked", "reason", "prompt_tokens",
+                       F.array_join("flags", ",").alias("flags"), F.md5("content").alias("content_md5"))
+
+
+@query
+def audit_full(spark, sf):
+    """Quotas, screens, routes, calls with failing fallbacks, reply screens and audit in one flow."""
+    strict = replace(policy(), quotas_enabled=True, quota_rules=tuple(QuotaRule(s, n) for s, n in FLOW_LIMITS))
+    a = flows.audit(inputs.requests(spark, sf), inputs.attempts(spark, sf), strict)
+    return a.select("request_id", "correlation_id", "user_id", "provider", "model", "prompt_tokens", "completion_tokens",
+                    "blocked", "block_reason", F.array_join("flags", ",").alias("flags"),
+                    epoch_micros(a, "finished_at").alias("finished_at_us"), "latency_ms")
+
+
 @query
 def audit_table(spark, sf):
     """The audit events written to a new table, read back and counted by its days."""

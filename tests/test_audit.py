@@ -60,6 +60,44 @@ def test_audit_rows(tables):
     assert kept[5] == "mail [REDACTED_EMAIL]"  # the screened text, never the raw one
 
 
+def test_calls_in_order(spark, tables):
+    """First call, fallback, both failing, a disabled or silent fallback, no call at all."""
+    requests, _ = tables
+    policy = Policy.from_json(POLICY)
+    ids = [r["request_id"] for r in flows.decide(requests, policy).filter("NOT blocked AND provider = 'azure'").collect()]
+    others = [r["request_id"] for r in flows.decide(requests, policy).filter("NOT blocked AND provider = 'openai'").collect()]
+    assert ids and others
+    at = "2024-01-01 00:00:0%d"
+    shape = "request_id long, attempt int, content string, prompt_tokens int, completion_tokens int, error string, finished_at string"
+
+    def ended(*calls, own=ids[0]):
+        rows = spark.createDataFrame([(own, *c) for c in calls], shape).withColumn("finished_at", F.to_timestamp_ntz("finished_at"))
+        done = flows.answer(flows.decide(requests, policy), rows, policy).filter(F.col("request_id") == own).first()
+        return done["reason"], done["provider"], done["content"], list(done["flags"]), done["prompt_tokens"]
+
+    ok, bad = (1, "first", 3, 4, None, at % 1), (1, None, 0, 0, "down", at % 1)
+    flag = ["fallback:azure->openai"]
+    assert ended(ok) == (None, "azure", "first", [], 3)
+    assert ended(bad, (2, "second", 5, 6, None, at % 2)) == (None, "openai", "second", flag, 5)
+    assert ended(bad, (2, None, 0, 0, "also down", at % 2)) == ("Gateway error: also down", "", "", flag, 0)
+    assert ended(bad) == ("Gateway error: no reply", "", "", flag, 0)
+    assert ended((2, "second", 5, 6, None, at % 2)) == (None, "openai", "second", flag, 5)
+    assert ended(bad, own=others[0]) == ("Gateway error: down", "", "", [], 0)
+    assert ended((7, "stray", 1, 1, None, at % 1)) == ("Gateway error: no reply", "", "", [], 0)
+    assert ended(bad, ok[:5] + (at % 0,)) == (None, "azure", "first", [], 3)  # of two rows for a call the first to finish
+
+
+def test_calls_shuffle_no_texts(spark, tables):
+    requests, replies = tables
+    calls = replies.withColumn("attempt", F.lit(1))
+    done = flows.answer(flows.decide(requests, Policy.from_json(POLICY)), calls, Policy.from_json(POLICY))
+
+    def folded(df):
+        return "min_by(content#" in df._jdf.queryExecution().executedPlan().toString()
+
+    assert folded(done.select("content")) and not folded(flows.audit(requests, calls, Policy.from_json(POLICY)))
+
+
 def test_quota_comes_first(tables):
     requests, replies = tables
     policy = Policy.from_json(POLICY.replace('"enabled": false, "rules": []',
