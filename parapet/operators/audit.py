@@ -73,11 +73,37 @@ def usage_rollup(audit: DataFrame, keys: Sequence[str], quantiles: Sequence[floa
     Rows are first summed per key and millisecond. A key then has at most as many rows as there are different
     latencies, however many requests it had, and the quantiles are exact.
     """
-    summed = (audit.withColumn("ms", F.floor("latency_ms").cast("bigint"))
+    return _quantiles(_latencies(audit, keys), list(keys), quantiles)
+
+
+def usage_subtotals(audit: DataFrame, keys: Sequence[str], quantiles: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """``usage_rollup`` for ``keys`` and every shorter head of them down to the grand total, from one scan of the events.
+
+    Quantiles of a subtotal do not follow from those of its parts, but counts per millisecond add up. So events are
+    counted per key and millisecond once, and only those counts are added up for the shorter heads. ``level`` says how many
+    keys a row is for; a null key within the level is a key of its own.
+    """
+    summed = _latencies(audit, keys)
+    heads = [[F.col(k) for k in keys[:n]] + [F.col("ms")] for n in range(len(keys), -1, -1)]
+    totals = ("n", "blocked", "prompt_tokens", "completion_tokens")
+    sets = summed.groupingSets(heads, *keys, "ms").agg(
+        F.grouping_id().alias("__set"), *[F.sum(t).cast("bigint").alias(t) for t in totals])
+    # of the grouping id's bits the lowest is that of ms, which is in every set
+    level = F.lit(len(keys)) - F.bit_count(F.col("__set"))
+    done = _quantiles(sets.withColumn("level", level.cast("bigint")), ["level", *keys], quantiles)
+    return done.select(*keys, "level", *[c for c in done.columns if c not in (*keys, "level")])
+
+
+def _latencies(audit: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Requests, blocks and tokens per key and whole millisecond."""
+    return (audit.withColumn("ms", F.floor("latency_ms").cast("bigint"))
               .groupBy(*keys, "ms").agg(
                   F.count("*").alias("n"), F.sum(F.col("blocked").cast("bigint")).alias("blocked"),
                   F.sum("prompt_tokens").cast("bigint").alias("prompt_tokens"),
                   F.sum("completion_tokens").cast("bigint").alias("completion_tokens")))
+
+
+def _quantiles(summed: DataFrame, keys: list[str], quantiles: Sequence[float]) -> DataFrame:
     group = Window.partitionBy(*keys)
     ranked = summed.withColumns({
         "upto": F.sum("n").over(group.orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)),

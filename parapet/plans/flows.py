@@ -15,7 +15,7 @@ from parapet.operators.audit import audit_rows, outcome
 from parapet.operators.chain import run_chain
 from parapet.operators.screens import Screen
 from parapet.policy import Policy
-from parapet.sources.chat import completion_content, screen_bodies
+from parapet.sources.chat import completion_content, completion_rebuilt, screen_bodies
 
 
 def decide(requests: DataFrame, policy: Policy, ts: str = "ts", request_id: str = "request_id",
@@ -107,3 +107,25 @@ def pass_back(replies: DataFrame, policy: Policy, body: str = "reply", own: Sequ
     """Screen completion bodies on their way back: ``content`` (rewritten where needed), ``blocked``, ``reason``."""
     opened = replies.withColumn("content", completion_content(F.col(body)))
     return run_chain(opened, [*policy.output_screens(), *own], "content")
+
+
+def return_bodies(replies: DataFrame, policy: Policy, body: str = "reply", own: Sequence[Screen] = (),
+                  rewrite: bool = True) -> DataFrame:
+    """Completion bodies as a caller gets them: adds ``status``, ``blocked``, ``reason`` and ``returned_body``.
+
+    A blocked reply becomes a short JSON notice with status 422. A body whose text a screen rewrote gets that text in its
+    place, everything else as it was; without ``rewrite`` screens only block and bodies pass as they are. Bodies without
+    text (or that are no JSON) pass untouched. One narrow projection; the values leave through a generator, so that a
+    filter on them does not repeat the screens.
+    """
+    added = ["status", "blocked", "reason", "returned_body"]
+    opened = replies.withColumn("__said", completion_content(F.col(body)))
+    done = run_chain(opened.withColumn("__content", F.col("__said")), [*policy.output_screens(), *own], "__content")
+    notice = F.to_json(F.struct(F.lit(True).alias("blocked"), F.coalesce("reason", F.lit(fixed.REASON_OUTPUT)).alias("blockReason")))
+    changed = F.coalesce(F.col("__said") != F.col("__content"), F.lit(False)) if rewrite else F.lit(False)
+    done = done.withColumns({
+        "status": F.when(F.col("blocked"), fixed.STATUS_BLOCKED).otherwise(fixed.STATUS_OK),
+        "returned_body": F.when(F.col("blocked"), notice).when(changed, completion_rebuilt(F.col(body), F.col("__content")))
+        .otherwise(F.col(body))})
+    kept = [c for c in replies.columns if c not in added]
+    return done.select(*kept, F.inline(F.array(F.struct(*added))))

@@ -11,6 +11,7 @@ from typing import Iterable, Sequence
 
 from parapet.functions import fixed
 from parapet.operators.pii import OPTIONS
+from parapet.operators.spans import SPECIFIC_FIRST
 from parapet.plans.queries import policy
 from parapet.plans.samples import (FLOW_LIMITS, MARKUP_PATTERNS, PROMPT_SAMPLES, QUOTA_LIMIT, QUOTA_SECONDS, REPLY_SAMPLES,
                                    SHARED_LIMITS, TENANT_LIMIT)
@@ -94,6 +95,22 @@ def _steps(source: str, text: str, kinds: Sequence[str]) -> str:
     return ", ".join(ctes)
 
 
+def _spans(source: str, text: str, kinds: Sequence[str]) -> str:
+    """CTEs ending in ``spanned``: ``source`` with ``kept``, the places of what is found, the more specific kind first."""
+    ctes = [f"s0 AS (SELECT *, []::STRUCT(a BIGINT, b BIGINT, kind VARCHAR)[] AS kept FROM {source})"]
+    for i, kind in enumerate(kinds):
+        marked, pattern, flags = _marked(text, kind)
+        flags = flags.replace("g", "")
+        ctes.append(f"""m{i} AS (SELECT *, list_transform(regexp_extract_all({marked}, {q(pattern)}, 0, '{flags}'),
+            lambda m: length({_unmarked('m', kind)})) AS ms, list_transform(regexp_split_to_array({marked}, {q(pattern)}, '{flags}'),
+            lambda p: length({_unmarked('p', kind)})) AS ps FROM s{i}),
+        s{i + 1} AS (SELECT * EXCLUDE (ms, ps) REPLACE (list_concat(kept, list_filter(list_transform(range(1, len(ms) + 1), lambda i: {{
+            'a': (list_sum(ps[1:i]) + coalesce(list_sum(ms[1:i - 1]), 0))::BIGINT,
+            'b': (list_sum(ps[1:i]) + list_sum(ms[1:i]))::BIGINT, 'kind': {q(kind)}}}),
+            lambda x: len(list_filter(kept, lambda k: k.a < x.b AND x.a < k.b)) = 0)) AS kept) FROM m{i})""")
+    return ", ".join(ctes) + f", spanned AS (SELECT * FROM s{len(kinds)})"
+
+
 # --- inputs --------------------------------------------------------------------------------------------------------
 
 PROMPTS = (f"prompts AS (SELECT doc_id, {_sampled('text', 'doc_id', PROMPT_SAMPLES)} AS prompt, lang, source, n_chars, "
@@ -358,6 +375,7 @@ def _stacked(source: str, items: Sequence[tuple[str, str]], keys: str, name: str
 
 
 def statements() -> dict[str, str]:
+    _tags = "MAP {" + ", ".join(f"{q(kind)}: {q(PATTERN[kind][2])}" for kind in SPECIFIC_FIRST) + "}"
     categories = list(enumerate(fixed.RISK_LEXICON))
     content = _sampled("text", "doc_id", REPLY_SAMPLES)
     reply_reason, reply_text = _response("content")
@@ -421,6 +439,13 @@ def statements() -> dict[str, str]:
             CASE WHEN len(flags) > 0 AND s0 > 0 THEN s0 END AS violence FROM f""",
         "pii_redact": f"WITH {PROMPTS} SELECT doc_id, {redacted_all('prompt', DEFAULT_KINDS)} AS prompt FROM prompts",
         "pii_redact_all": f"WITH {PROMPTS} SELECT doc_id, {redacted_all('prompt', ALL_KINDS)} AS prompt FROM prompts",
+        "pii_specific": f"""WITH {PROMPTS}, {_spans('prompts', 'prompt', SPECIFIC_FIRST)}, x AS (SELECT doc_id, prompt,
+            unnest(list_sort(kept)) AS k FROM spanned), y AS (SELECT doc_id, string_agg(substr(prompt, before + 1,
+            k.a - before) || {_tags}[k.kind], '' ORDER BY k.a) || substr(any_value(prompt), max(k.b) + 1) AS prompt
+            FROM (SELECT *, coalesce(lag(k.b) OVER (PARTITION BY doc_id ORDER BY k.a), 0) AS before FROM x) GROUP BY doc_id)
+            SELECT doc_id, coalesce(y.prompt, p.prompt) AS prompt FROM prompts p LEFT JOIN y USING (doc_id)""",
+        "pii_spans": f"""WITH {PROMPTS}, {_spans('prompts', 'prompt', SPECIFIC_FIRST)}, x AS (SELECT doc_id, unnest(kept) AS k
+            FROM spanned) SELECT doc_id, k.kind AS type, k.a AS start, k.b AS stop FROM x""",
         "pii_findings": f"WITH {PROMPTS}, {_steps('prompts', 'prompt', ALL_KINDS)} " + _stacked(
             f"p{len(ALL_KINDS)}", [(k, f"n_{k}") for k in ALL_KINDS], "doc_id", "type", "n"),
         "pii_report": f"WITH {PROMPTS}, {_steps('prompts', 'prompt', DEFAULT_KINDS)}, f AS (" + _stacked(
@@ -456,6 +481,13 @@ def statements() -> dict[str, str]:
             AS content FROM documents), r AS (SELECT *, {reply_reason} AS reason FROM c) SELECT doc_id,
             reason IS NOT NULL AS blocked, CASE WHEN reason IS NOT NULL THEN 'output-blocked-patterns' END AS screen,
             reason, md5(CASE WHEN reason IS NULL THEN {reply_text} ELSE content END) AS text_md5 FROM r""",
+        "reply_rebuild": f"""WITH c AS (SELECT doc_id, doc_id % 5 AS kind, {content} AS content, n_chars // 4 AS used FROM documents),
+            r AS (SELECT *, CASE WHEN kind IN (1, 3, 4) THEN {reply_reason} END AS reason, CASE WHEN kind IN (1, 3, 4)
+              THEN {reply_text} ELSE content END AS back FROM c), s AS (SELECT *, reason IS NULL AND back = content AS same FROM r)
+            SELECT doc_id, CASE WHEN reason IS NULL THEN 200 ELSE 422 END::BIGINT AS status, reason IS NOT NULL AS blocked, same,
+            reason AS block_reason, CASE WHEN reason IS NULL AND NOT same THEN 'assistant' END AS role,
+            CASE WHEN reason IS NULL AND NOT same THEN md5(back) END AS content_md5,
+            CASE WHEN reason IS NULL AND NOT same AND kind <> 1 THEN used::VARCHAR END AS prompt_tokens FROM s""",
         "screen_report": f"""WITH {PROMPTS}, {_chain('prompts', 'prompt')} SELECT source, lang, count(*) AS texts,
             count(*) FILTER (WHERE reason IS NOT NULL) AS blocked,
             count(*) FILTER (WHERE reason IS NULL AND out <> prompt) AS redacted FROM chained
@@ -532,6 +564,21 @@ def statements() -> dict[str, str]:
             min(ms) FILTER (WHERE rn >= ceil(n * 0.5::DOUBLE)) AS p50_ms,
             min(ms) FILTER (WHERE rn >= ceil(n * 0.95::DOUBLE)) AS p95_ms,
             round(count(*) FILTER (WHERE blocked) / count(*), 6) AS block_rate FROM r GROUP BY ALL""",
+        "usage_subtotals": f"""WITH {_finished()}, d AS (SELECT *, strftime(make_timestamp(ts_us), '%Y-%m-%d') AS day,
+            floor(latency_ms)::BIGINT AS ms FROM audit), """ + ", ".join(
+            f"r{n} AS (SELECT {', '.join(k if i < n else 'NULL AS ' + k for i, k in enumerate(('tenant_id', 'provider', 'day')))}, "
+            f"{n} AS level, blocked, prompt_tokens, completion_tokens, ms, row_number() OVER (PARTITION BY {by} ORDER BY ms) AS rn, "
+            f"count(*) OVER (PARTITION BY {by}) AS n FROM d)"
+            for n, by in enumerate(("1", "tenant_id", "tenant_id, provider", "tenant_id, provider, day"))) + """,
+            r AS (SELECT * FROM r3 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r0)
+            SELECT tenant_id, provider, day, level::BIGINT AS level, count(*) AS requests, count(*) FILTER (WHERE blocked)
+            AS blocked, sum(prompt_tokens)::BIGINT AS prompt_tokens, sum(completion_tokens)::BIGINT AS completion_tokens,
+            min(ms) FILTER (WHERE rn >= ceil(n * 0.5::DOUBLE)) AS p50_ms,
+            min(ms) FILTER (WHERE rn >= ceil(n * 0.95::DOUBLE)) AS p95_ms,
+            round(count(*) FILTER (WHERE blocked) / count(*), 6) AS block_rate FROM r GROUP BY tenant_id, provider, day, level""",
+        "audit_rerun": f"""WITH {_finished()} SELECT CASE WHEN request_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run,
+            strftime(make_timestamp(ts_us), '%Y-%m-%d') AS day, count(*) AS requests,
+            sum(completion_tokens)::BIGINT AS completion_tokens FROM audit GROUP BY 1, 2""",
         "audit_minutes": f"""WITH m AS (SELECT {minute} AS minute_us, count(*) AS requests,
             count(*) FILTER (WHERE event_type = 'error') AS blocked FROM events GROUP BY 1) SELECT *, blocked / requests
             AS block_rate FROM m WHERE minute_us + 60000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)""",

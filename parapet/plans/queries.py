@@ -9,7 +9,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parapet.functions.clock import epoch_micros
-from parapet.operators import audit as audits, blocktable, chain, pii, quota, reports, risk, routing, screens
+from parapet.operators import audit as audits, blocktable, chain, pii, quota, reports, risk, routing, screens, spans
 from parapet.plans import flows, inputs
 from parapet.plans.samples import (CUSTOM_NAME, CUSTOM_PATTERN, CUSTOM_TAG, FLOW_LIMITS, MARKUP_PATTERNS, POLICY,
                                    QUOTA_LIMIT, QUOTA_SECONDS, SHARED_LIMITS, TENANT_LIMIT)
@@ -164,6 +164,18 @@ def pii_redact_all(spark, sf):
     return pii.redact(inputs.prompts(spark, sf), "prompt", pii.ALL_OPTIONS).select("doc_id", "prompt")
 
 
+@query
+def pii_specific(spark, sf):
+    """All detectors on the original text, specific ones first."""
+    return spans.redact_specific(inputs.prompts(spark, sf), "prompt", pii.ALL_OPTIONS).select("doc_id", "prompt")
+
+
+@query
+def pii_spans(spark, sf):
+    return spans.find_spans(inputs.prompts(spark, sf), "prompt", ["doc_id"], pii.ALL_OPTIONS).select(
+        "doc_id", "type", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))
+
+
 @query
 def pii_findings(spark, sf):
     return pii.findings(inputs.prompts(spark, sf), "prompt", ["doc_id"], pii.ALL_OPTIONS).select(
@@ -240,6 +252,20 @@ def reply_screen(spark, sf):
     return _verdict(flows.pass_back(inputs.completions(spark, sf), policy()), "doc_id", text="content")
 
 
+@query
+def reply_rebuild(spark, sf):
+    """Completion bodies as they go back: notices, redacted texts in place, and bodies left alone."""
+    done = flows.return_bodies(inputs.completions(spark, sf), policy()).withColumn(
+        "same", F.col("returned_body") == F.col("reply"))
+    inside = F.when(~F.col("same"), F.col("returned_body"))
+    return done.select(
+        "doc_id", F.col("status").cast("bigint").alias("status"), "blocked", "same",
+        F.get_json_object(inside, "$.blockReason").alias("block_reason"),
+        F.get_json_object(inside, "$.choices[0].message.role").alias("role"),
+        F.md5(F.get_json_object(inside, "$.choices[0].message.content")).alias("content_md5"),
+        F.get_json_object(inside, "$.usage.prompt_tokens").alias("prompt_tokens"))
+
+
 def _screened(spark, sf):
     d = inputs.prompts(spark, sf).withColumn("original", F.col("prompt"))
     return chain.run_chain(d, policy().input_screens(), "prompt")
@@ -438,6 +464,22 @@ def usage_rollup(spark, sf):
                                ["tenant_id", "provider", "model", "day"])
 
 
+@query
+def usage_subtotals(spark, sf):
+    done = _audit(spark, sf).withColumn("day", F.date_format("started_at", "yyyy-MM-dd"))
+    return audits.usage_subtotals(done, ["tenant_id", "provider", "day"])
+
+
+@query
+def audit_rerun(spark, sf):
+    """Two runs written to a new table, the first of them twice; counted by run and day."""
+    folder, done = new_folder(spark, "audit"), _audit(spark, sf)
+    for run, half in (("even", 0), ("odd", 1), ("even", 0)):
+        audit_files.write_run(done.filter(F.col("request_id") % 2 == half), folder, run, policy())
+    return audit_files.read_audit(spark, folder).groupBy("run", F.date_format("dt", "yyyy-MM-dd").alias("day")).agg(
+        F.count("*").alias("requests"), F.sum("completion_tokens").alias("completion_tokens"))
+
+
 @query
 def audit_minutes(spark, sf):
     """Block rate per minute on a stream: an event counts as blocked where it is an error."""

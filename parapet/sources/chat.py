@@ -116,6 +116,30 @@ def completion_content(body: Column) -> Column:
     return F.get_json_object(body, "$.choices[0].message.content")
 
 
+def set_path(body: Column, path: Sequence[str | int], value: Column) -> Column:
+    """JSON text with the value at a path of names and positions exchanged for a string; all other fields keep theirs.
+
+    Only the objects and arrays on the path are opened, the rest stays a value as it is. Names on the path come last in
+    their objects. Null where the path does not lead through objects and arrays as it says.
+    """
+    if not path:
+        return F.to_json(_quoted(value))
+    step, rest = path[0], path[1:]
+    if isinstance(step, int):
+        items = F.from_json(body, "array<variant>")
+        new = F.parse_json(set_path(F.to_json(F.get(items, F.lit(step))), rest, value))
+        return F.to_json(F.when((F.size(items) > step) & new.isNotNull(), F.transform(
+            items, lambda item, i: F.when(i == step, new).otherwise(item))))
+    fields = F.from_json(body, "map<string,variant>")
+    new = _quoted(value) if not rest else F.parse_json(set_path(F.to_json(F.try_element_at(fields, F.lit(step))), rest, value))
+    return F.to_json(F.when(F.map_contains_key(fields, F.lit(step)) & new.isNotNull(), _with_field(fields, step, new)))
+
+
+def completion_rebuilt(body: Column, content: Column) -> Column:
+    """The completion body with another text as ``choices[0].message.content``."""
+    return set_path(body, ("choices", 0, "message", "content"), content)
+
+
 def extract_completion(df: DataFrame, body: str) -> DataFrame:
     return df.withColumn("content", completion_content(F.col(body)))
 

@@ -175,3 +175,39 @@ def test_rates_per_minute_on_a_stream(spark, tmp_path):
     assert len(out) == 39 and {(r["requests"], r["blocked"], r["block_rate"]) for r in out} == {(4, 1, 0.25)}
     append_stream(stream, str(tmp_path / "audit"), str(tmp_path / "s2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "audit")).filter("dt = '2024-01-01'").count() == 200
+
+
+def test_subtotals_are_exact(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), rng.choice(["x", None]), rng.random() < 0.3, 10, 20, rng.random() * 50) for _ in range(700)]
+    df = spark.createDataFrame(rows, "k string, m string, blocked boolean, prompt_tokens int, completion_tokens int, latency_ms double")
+    got = audit.usage_subtotals(df, ["k", "m"]).collect()
+    want = {(level, *key) for level in range(3) for key in {(r[0] if level > 0 else None, r[1] if level > 1 else None) for r in rows}}
+    assert {(r["level"], r["k"], r["m"]) for r in got} == want and len(got) == len(want)
+    for r in got:
+        mine = sorted(int(x[5]) for x in rows if (x[0], x[1])[:r["level"]] == (r["k"], r["m"])[:r["level"]])
+        assert r["requests"] == len(mine) and r["prompt_tokens"] == 10 * len(mine)
+        assert (r["p50_ms"], r["p95_ms"]) == tuple(mine[math.ceil(len(mine) * p) - 1] for p in (0.5, 0.95))
+
+
+def test_reruns_add_nothing(spark, tmp_path):
+    from parapet.sources.audit_table import append_once, read_audit, write_run
+
+    def events(n, days):
+        return spark.sql(f"SELECT id, timestamp_seconds(1704067200 + id % {days} * 86400) AS started_at, 'x' AS run FROM range({n})")
+
+    path = str(tmp_path / "audit")
+    write_run(events(30, 3), path, "a")
+    write_run(events(10, 1), path, "b")
+    for _ in range(2):
+        write_run(events(20, 2), path, "a")  # the rerun has a day less: the old one goes
+    assert sorted((r["run"], str(r["dt"]), r["n"]) for r in read_audit(spark, path).groupBy("run", "dt").agg(F.count("*").alias("n")).collect()) \
+        == [("a", "2024-01-01", 10), ("a", "2024-01-02", 10), ("b", "2024-01-01", 10)]
+    for bad in ("", "a/b", "..", "x=y"):
+        with pytest.raises(ValueError):
+            write_run(events(1, 1), path, bad)
+    events(40, 2).drop("run").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, started_at timestamp").parquet(str(tmp_path / "in"))
+    for checkpoint in ("c1", "c2"):  # the second starts over and repeats the batch
+        append_once(stream, str(tmp_path / "once"), str(tmp_path / checkpoint)).awaitTermination()
+    assert read_audit(spark, str(tmp_path / "once")).count() == 40

@@ -166,3 +166,38 @@ def test_audit_table(spark, tmp_path):
         "2024-01-01", "2024-01-02"]
     silent = Policy.from_json(POLICY.replace('"quotas":', '"telemetry": {"emitAuditEvents": false}, "quotas":'))
     assert write_audit(df, str(tmp_path / "none"), silent) is False and not (tmp_path / "none").exists()
+
+
+def test_path_setter_keeps_the_rest(spark):
+    import json
+    body = {"id": 7, "choices": [{"index": 0, "message": {"role": "assistant", "content": "old", "n": None}, "x": [1, {"y": 2.5}]},
+                                 {"message": {"content": "other"}}], "usage": {"prompt_tokens": 3}, "big": 12345678901234567890}
+    texts = [json.dumps(body), json.dumps({"choices": []}), json.dumps({"choices": [{"message": {}}]}), "no json", None,
+             json.dumps({"choices": {"message": 1}})]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, body string")
+    new = 'quote " back \\ line\né'
+    out = {r["id"]: r["o"] for r in df.select("id", chat.completion_rebuilt(F.col("body"), F.lit(new)).alias("o")).collect()}
+    body["choices"][0]["message"]["content"] = new
+    got = json.loads(out[0])
+    assert got["choices"] == body["choices"] and got["usage"] == body["usage"] and float(got["big"]) == float(body["big"])
+    assert all(out[i] is None for i in range(1, 6))
+
+
+def test_returned_bodies(spark):
+    import json
+    from parapet.plans import flows
+    from parapet.plans.samples import POLICY
+    from parapet.policy import Policy
+
+    def reply(text):
+        return json.dumps({"choices": [{"message": {"role": "assistant", "content": text}}], "usage": {"total": 1}})
+
+    rows = [(1, reply("fine")), (2, reply("mail a@b.org")), (3, reply("mongodb://host")), (4, "{}"), (5, None), (6, "text a@b.org")]
+    df = spark.createDataFrame([(*r, "kept") for r in rows], "id int, reply string, status string")
+    out = {r["id"]: r for r in flows.return_bodies(df, Policy.from_json(POLICY)).collect()}
+    assert [out[i]["status"] for i in range(1, 7)] == [200, 200, 422, 200, 200, 200]
+    assert all(out[i]["returned_body"] == dict(rows)[i] for i in (1, 4, 5, 6))
+    assert json.loads(out[2]["returned_body"]) == json.loads(reply("mail [REDACTED_EMAIL]"))
+    assert json.loads(out[3]["returned_body"]) == {"blocked": True, "blockReason": "Response blocked: contains forbidden content."}
+    untouched = flows.return_bodies(df, Policy.from_json(POLICY), rewrite=False).collect()
+    assert {r["id"]: r["returned_body"] for r in untouched}[2] == dict(rows)[2]
