@@ -517,6 +517,8 @@ def statements() -> dict[str, str]:
         "quota_replay": _REPLAY,
         "quota_global": _GLOBAL,
         "quota_stream": _REPLAY,
+        "quota_stream_ordered": f"""{_REPLAY} WHERE (us // {QUOTA_SECONDS * 1_000_000} + 1) * {QUOTA_SECONDS * 1_000_000}
+            <= (SELECT max(us) // 1000 * 1000 - 600000000 FROM ev)""",
         "quota_multi": f"""WITH RECURSIVE {EVENTS}, {_replayed('ev', "'rate:user:' || user_id", 'w')},
             kept AS (SELECT request_id, us, user_id, tenant_id FROM w WHERE n <= {QUOTA_LIMIT}),
             {_replayed('kept', "'rate:tenant:' || tenant_id", 'v')}, d AS (

@@ -395,6 +395,27 @@ def quota_stream(spark, sf):
     return _run_once(spark, counted.select("request_id", "quota_key", _us("window_start"), "n", "denied"))
 
 
+@query
+def quota_stream_ordered(spark, sf):
+    """The streaming counter that waits for the watermark, over events that arrive in eight files, two a trigger."""
+    events, folder = inputs.table(spark, sf, "events"), new_folder(spark, "arrivals")
+    us = epoch_micros(events, "ts")
+    first, last = events.agg(F.min(us), F.max(us)).first()
+    step = (last - first) // 8 + 1
+    for i in range(8):  # one after the other: a file source takes files by age
+        own = events.filter((us >= first + i * step) & (us < first + (i + 1) * step))
+        own.coalesce(1).write.mode("append").parquet(folder)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+        counted = stream_quota.stream_quota_in_order(stream, quota.scope_key("user"), "ts", "event_id", QUOTA_LIMIT, QUOTA_SECONDS,
+                                                     slice_seconds=QUOTA_SECONDS)
+        return _run_once(spark, counted.select("request_id", "quota_key", _us("window_start"), "n", "denied"))
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def _run_once(spark: SparkSession, stream: DataFrame) -> DataFrame:
     folder = new_folder(spark, "stream")
     running = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")

@@ -6,8 +6,9 @@ from typing import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from parapet.functions import fixed
 from parapet.functions.clock import epoch_micros, from_micros
@@ -16,6 +17,19 @@ _OUT = "quota_key string, request_id %s, us long, window_us long, n long"
 _STATE = "window_us long, n long"
 
 
+def _numbered(us: np.ndarray, opened: int | None, n: int, width: int) -> tuple[np.ndarray, np.ndarray, int | None, int]:
+    """Window starts and numbers of requests in time order, and the window that is open after them."""
+    starts, numbers = np.empty(len(us), "int64"), np.empty(len(us), "int64")
+    i = 0
+    while i < len(us):
+        if opened is None or us[i] - opened >= width:
+            opened, n = int(us[i]), 0
+        end = max(i + 1, int(np.searchsorted(us, opened + width, side="left")))
+        starts[i:end], numbers[i:end] = opened, n + 1 + np.arange(end - i)
+        n, i = n + end - i, end
+    return starts, numbers, opened, n
+
+
 def _counter(width: int, idle_ms: int | None = None):
     def count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -23,15 +37,7 @@ def _counter(width: int, idle_ms: int | None = None):
             return
         pdf = pd.concat(list(batches)).sort_values(["us", "request_id"], kind="stable")
         us = pdf["us"].to_numpy()
-        opened, n = state.get if state.exists else (None, 0)
-        starts, numbers = np.empty(len(us), "int64"), np.empty(len(us), "int64")
-        i = 0
-        while i < len(us):
-            if opened is None or us[i] - opened >= width:
-                opened, n = int(us[i]), 0
-            end = max(i + 1, int(np.searchsorted(us, opened + width, side="left")))
-            starts[i:end], numbers[i:end] = opened, n + 1 + np.arange(end - i)
-            n, i = n + end - i, end
+        starts, numbers, opened, n = _numbered(us, *(state.get if state.exists else (None, 0)), width)
         state.update((opened, n))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
@@ -59,3 +65,75 @@ def stream_quota(stream: DataFrame, key: Column, ts: str, request_id: str, limit
     return counted.select("quota_key", "request_id", from_micros(F.col("us")).alias("ts"),
                           from_micros(F.col("window_us")).alias("window_start"), "n",
                           (F.col("n") > limit).alias("denied"))
+
+
+class _Ordered(StatefulProcessor):
+    """Holds a key's requests back in slices of time and numbers a slice once the watermark has passed its end.
+
+    State per key: the open window, and a map from slice to the requests held in it. Timers: one per held slice, and one
+    for the end of the window. When that has fired, any request still to come would open a new window, so the state goes.
+    """
+
+    def __init__(self, width: int, slice_us: int, ids: str):
+        self.width, self.slice_us, self.ids = width, slice_us, ids
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "opened long, n long")
+        self.held = handle.getMapState("held", "slice long", f"us array<long>, ids array<{self.ids}>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for number, own in frame.groupby(frame["us"] // self.slice_us):
+                place = (int(number),)
+                us, ids = self.held.getValue(place) if self.held.containsKey(place) else ([], [])
+                self.held.updateValue(place, ([*us, *own["us"].tolist()], [*ids, *own["request_id"].tolist()]))
+                self.handle.registerTimer((int(number) + 1) * self.slice_us // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        due = sorted(place[0] for place in self.held.keys() if (place[0] + 1) * self.slice_us <= passed)
+        opened, n = self.window.get() if self.window.exists() else (None, 0)
+        for number in due:
+            us, ids = self.held.getValue((number,))
+            self.held.removeKey((number,))
+            frame = pd.DataFrame({"request_id": list(ids), "us": np.asarray(us, "int64")}).sort_values(["us", "request_id"], kind="stable")
+            starts, numbers, opened, n = _numbered(frame["us"].to_numpy(), opened, n, self.width)
+            yield pd.DataFrame({"quota_key": pd.Series([key[0]] * len(frame), dtype=object),
+                                "request_id": frame["request_id"].to_numpy(), "us": frame["us"].to_numpy(),
+                                "window_us": starts, "n": numbers})
+        if opened is None:
+            return
+        # slices are counted whole: requests before the end of the current one may still belong to the window
+        end = -(-(opened + self.width) // self.slice_us) * self.slice_us
+        if end <= passed:
+            self.window.clear()
+        else:
+            self.window.update((opened, n))
+            self.handle.registerTimer(end // 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_quota_in_order(stream: DataFrame, key: Column, ts: str, request_id: str, limit: int,
+                          window_seconds: int = fixed.QUOTA_WINDOW_SECONDS, late: str = "10 minutes",
+                          slice_seconds: int = 60) -> DataFrame:
+    """The batch replay's numbers on a stream: ``quota_key, request_id, ts, window_start, n, denied`` in time order.
+
+    Requests are held until the watermark (the latest time seen less ``late``) has passed the end of their slice of time, then
+    counted by time and id, whatever order they came in. A request that comes later than that is dropped by the
+    watermark, as in any windowed stream; give ``late`` room. At most a slice of one key is in memory at once, and a key
+    without open window or held request has no state. Requests of the last ``late`` and slice stay held until time moves on.
+    Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``). Requests need a time.
+    """
+    keyed = stream.select(key.alias("quota_key"), F.col(request_id).alias("request_id"), epoch_micros(stream, ts).alias("us"))
+    keyed = keyed.filter(F.col("us").isNotNull()).withColumn("at", from_micros(F.col("us"))).withWatermark("at", late)
+    ids = dict(keyed.dtypes)["request_id"]
+    shape = T.StructType([T.StructField("quota_key", T.StringType()), T.StructField("request_id", keyed.schema["request_id"].dataType),
+                          *[T.StructField(name, T.LongType()) for name in ("us", "window_us", "n")]])
+    counted = keyed.groupBy("quota_key").transformWithStateInPandas(
+        _Ordered(window_seconds * 1_000_000, slice_seconds * 1_000_000, ids), shape, "Append", "EventTime")
+    return counted.select("quota_key", "request_id", from_micros(F.col("us")).alias("ts"),
+                          from_micros(F.col("window_us")).alias("window_start"), "n", (F.col("n") > limit).alias("denied"))

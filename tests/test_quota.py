@@ -213,3 +213,92 @@ def test_ranges_may_end_anywhere(spark):
         assert replayed(spark, rows) == brute(rows, 60) and replayed(spark, rows, 1000) == brute(rows, 1000)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+class FakeState:
+    """What the processor needs of a state handle, with the sizes it was given."""
+
+    def __init__(self):
+        self.values, self.maps, self.timers, self.largest = {}, {}, set(), 0
+
+    def getValueState(self, name, schema):
+        outer = self
+
+        class Value:
+            def exists(self):
+                return name in outer.values
+
+            def get(self):
+                return outer.values[name]
+
+            def update(self, value):
+                outer.values[name] = value
+
+            def clear(self):
+                outer.values.pop(name, None)
+
+        return Value()
+
+    def getMapState(self, name, key_schema, value_schema):
+        outer = self
+
+        class Map:
+            def containsKey(self, key):
+                return key in outer.maps
+
+            def getValue(self, key):
+                return outer.maps[key]
+
+            def updateValue(self, key, value):
+                outer.maps[key] = value
+
+            def removeKey(self, key):
+                del outer.maps[key]
+
+            def keys(self):
+                return iter(list(outer.maps))
+
+        return Map()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+@pytest.mark.parametrize("slice_seconds", [7, 60, 300])
+def test_held_requests_are_counted_in_time_order_and_leave(slice_seconds):
+    import pandas as pd
+    from parapet.streaming.quota import _Ordered
+
+    rng = random.Random(slice_seconds)
+    rows = [("k", T0 + rng.randint(0, 4000) * SECOND, i) for i in range(700)]
+    want = brute(rows, 60)
+    state, processor, got = FakeState(), _Ordered(60 * SECOND, slice_seconds * SECOND, "bigint"), {}
+    processor.init(state)
+
+    class Times:
+        def __init__(self, ms):
+            self.ms = ms
+
+        def getCurrentWatermarkInMs(self):
+            return self.ms
+
+    arrivals = sorted(rows, key=lambda r: r[1] + rng.randint(0, 200) * SECOND)  # out of order by up to 200 s
+    seen = 0
+    for at in range(0, len(arrivals), 50):
+        frame = pd.DataFrame([(us, i) for _, us, i in arrivals[at:at + 50]], columns=["us", "request_id"])
+        assert list(processor.handleInputRows(("k",), iter([frame]), None)) == []
+        seen = max(seen, int(frame["us"].max()))
+        passed = (seen - 200 * SECOND) // 1000
+        for timer in sorted(t for t in state.timers if t <= passed):
+            state.timers.discard(timer)
+            for out in processor.handleExpiredTimer(("k",), Times(passed), None):
+                assert out["us"].max() - out["us"].min() < slice_seconds * SECOND  # no frame above a slice
+                got |= {i: (w, n) for i, w, n in zip(out["request_id"], out["window_us"], out["n"])}
+    end = (T0 + 10_000 * SECOND) // 1000
+    while state.timers:
+        timer = min(state.timers)
+        state.timers.discard(timer)
+        for out in processor.handleExpiredTimer(("k",), Times(end), None):
+            got |= {i: (w, n) for i, w, n in zip(out["request_id"], out["window_us"], out["n"])}
+    assert got == want
+    assert not state.maps and not state.values  # a key without requests has no state
