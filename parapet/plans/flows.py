@@ -15,7 +15,7 @@ from parapet.operators.audit import audit_rows, outcome
 from parapet.operators.chain import run_chain
 from parapet.operators.screens import Screen
 from parapet.policy import Policy
-from parapet.sources.chat import completion_content, completion_rebuilt, screen_bodies
+from parapet.sources.chat import completion_content, completion_rebuilt, screen_bodies, screen_bodies_apart
 
 
 def decide(requests: DataFrame, policy: Policy, ts: str = "ts", request_id: str = "request_id",
@@ -98,9 +98,15 @@ def audit(requests: DataFrame, replies: DataFrame, policy: Policy, request_id: s
     return audit_rows(done.withColumn("started_at", F.col("ts")), request_id, prompt)
 
 
-def pass_on(bodies: DataFrame, policy: Policy, body: str = "body", own: Sequence[Screen] = ()) -> DataFrame:
-    """Screen chat bodies on their way to a provider: ``blocked``, ``reason``, ``screened_body``."""
-    return screen_bodies(bodies, body, [*policy.input_screens(), *own])
+def pass_on(bodies: DataFrame, policy: Policy, body: str = "body", own: Sequence[Screen] = (),
+            keys: Sequence[str] = ()) -> DataFrame:
+    """Screen chat bodies on their way to a provider: ``blocked``, ``reason``, ``screened_body``.
+
+    With ``keys`` (columns that name a row) the parts are screened as rows of their own, which ``own`` screens made of
+    Pandas UDFs need; without, bodies stay whole.
+    """
+    screens = [*policy.input_screens(), *own]
+    return screen_bodies_apart(bodies, body, keys, screens) if keys else screen_bodies(bodies, body, screens)
 
 
 def pass_back(replies: DataFrame, policy: Policy, body: str = "reply", own: Sequence[Screen] = ()) -> DataFrame:

@@ -406,6 +406,12 @@ def statements() -> dict[str, str]:
             bool_or(reason IS NOT NULL) AS blocked, arg_min(reason, part_idx) FILTER (WHERE reason IS NOT NULL) AS reason
             FROM chained GROUP BY doc_id) SELECT doc_id, coalesce(parts, 0) AS parts, coalesce(blocked, false) AS blocked,
             reason FROM documents LEFT JOIN v USING (doc_id)""",
+        "custom_scorer": f"""WITH {PARTS}, {_chain('parts', 'text')}, x AS (SELECT *, 100 * (length(out) - length(replace(out, 'e', '')))
+            / greatest(length(out), 1) AS share FROM chained), y AS (SELECT *, coalesce(reason, CASE WHEN share >= 14
+            THEN 'score ' || floor(share)::BIGINT END) AS final FROM x), v AS (SELECT doc_id, count(*) AS parts,
+            bool_or(final IS NOT NULL) AS blocked, arg_min(final, part_idx) FILTER (WHERE final IS NOT NULL) AS reason
+            FROM y GROUP BY doc_id) SELECT doc_id, coalesce(parts, 0) AS parts, coalesce(blocked, false) AS blocked,
+            reason FROM documents LEFT JOIN v USING (doc_id)""",
         "completion_extract": f"""SELECT doc_id, CASE WHEN doc_id % 5 IN (1, 3, 4) THEN {content} END AS content
             FROM documents""",
         "usage_extract": """SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 3, 4) THEN n_chars // 4 ELSE 0 END AS prompt_tokens,

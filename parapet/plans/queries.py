@@ -6,6 +6,7 @@ from dataclasses import replace
 from functools import lru_cache
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parapet.functions.clock import epoch_micros
@@ -215,6 +216,21 @@ def custom_screen(spark, sf):
     return _verdict(out, "doc_id", text="prompt")
 
 
+def _rich_in_e(texts: pd.Series) -> pd.Series:
+    """Block texts that are rich in the letter e: a stand-in for a user's model, scored in batches."""
+    share = 100 * texts.str.count("e") / texts.str.len().clip(lower=1)
+    return pd.Series([f"score {s // 1:.0f}" if s >= 14 else None for s in share], dtype=object)
+
+
+@query
+def custom_scorer(spark, sf):
+    """A user's scorer, a Pandas UDF, over the messages of chat bodies after the policy's own screens."""
+    score = F.pandas_udf(_rich_in_e, "string")
+    scorer = screens.CustomScreen("scorer", 400, lambda text: score(text))
+    out = flows.pass_on(inputs.bodies(spark, sf), policy(), own=[scorer], keys=["doc_id"])
+    return out.select("doc_id", F.col("parts").cast("bigint").alias("parts"), "blocked", "reason")
+
+
 # --- chains --------------------------------------------------------------------------------------------------------
 
 @query

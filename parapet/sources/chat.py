@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parapet.functions import fixed
-from parapet.operators.chain import run_parts
+from parapet.operators.chain import run_chain, run_parts
 from parapet.operators.screens import Screen
 
 SCREENED_ROLES = ("user", "system")
@@ -75,6 +75,32 @@ def screen_bodies(df: DataFrame, body: str, screens: Sequence[Screen]) -> DataFr
     return done.select(*kept, F.inline(F.array(F.struct(*added))))
 
 
+def screen_bodies_apart(df: DataFrame, body: str, keys: Sequence[str], screens: Sequence[Screen]) -> DataFrame:
+    """``screen_bodies`` for screens that need rows, such as a scorer written as a Pandas UDF.
+
+    The parts leave their bodies with their positions, are screened in Arrow batches, and come back by ``keys``, which name a
+    row. A group is the parts of one body, which fitted in one row. Bodies are joined to what came back and not carried
+    through the screens; those without parts pass as they are. Columns that are not in ``keys`` stay with the bodies.
+    """
+    added = ["parts", "blocked", "reason", "screened_body"]
+    kept = [c for c in df.columns if c not in added]
+    named = [F.col(f"`{k}`") for k in keys]
+    opened = df.select(*named, F.inline_outer(parts_of(_parsed(F.col(body))))).filter(F.col("idx").isNotNull())
+    screened = run_chain(opened.withColumn("__was", F.col("text")), screens, "text")
+    stop = F.when(F.col("blocked"), F.struct("idx", F.coalesce("reason", F.lit(fixed.REASON_INPUT)).alias("reason")))
+    entry = F.struct("idx", "role", "text")
+    folded = screened.groupBy(*named).agg(
+        F.count(F.lit(1)).cast("int").alias("__parts"), F.min(stop).alias("__stop"), F.bool_or(F.col("text") != F.col("__was")).alias("__changed"),
+        F.array_sort(F.collect_list(entry)).alias("__after"))
+    joined = df.select(*[F.col(f"`{c}`") for c in kept]).join(folded, list(keys), "left").withColumn("__parsed", _parsed(F.col(body)))
+    blocked = F.col("__stop.reason").isNotNull()
+    done = joined.withColumns({
+        "parts": F.coalesce("__parts", F.lit(0)), "blocked": blocked, "reason": F.col("__stop.reason"),
+        "screened_body": F.when(~blocked, F.when(F.coalesce("__changed", F.lit(False)), rebuilt(
+            F.col(body), F.col("__parsed"), F.col("__after"))).otherwise(F.col(body)))})
+    return done.select(*[F.col(f"`{c}`") for c in kept], F.inline(F.array(F.struct(*added))))
+
+
 def rebuilt(body: Column, parsed: Column, after: Column) -> Column:
     """The body with the parts' texts exchanged by position; every other field keeps its JSON value."""
     text_at = F.map_from_entries(F.transform(after, lambda p: F.struct(p["idx"], p["text"])))
