@@ -160,7 +160,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
 
     Ties go to the smaller id; a query never finds its own id. Vectors that are null, empty, zero or have null or
     non-finite components take no part, nor do rows without id or of another length than most. Fewer candidates than
-    ``k`` give fewer rows; no vectors give none. Rows that share an id are candidates each for itself.
+    ``k`` give fewer rows; no vectors give none. Rows that share an id are candidates each for itself, and queries each for
+    itself: a repeated query row gives its ranks again. Other columns are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("raw"),
@@ -180,27 +181,28 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
             x = matrix(batch.column("v"))
             leaf = tree.assign(x) if len(x) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("query"), batch.column("v"), pa.array(leaf, pa.int32())],
-                ["id", "query", "v", "leaf"])
+                [*[batch.column(name) for name in ("row", "id", "query", "v")], pa.array(leaf, pa.int32())],
+                ["row", "id", "query", "v", "leaf"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = matrix(batch.column("v"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("v"), nested([np.asarray(tree.order(q, visits, filled, k + own))
+                [batch.column("row"), batch.column("id"), batch.column("v"), nested([np.asarray(tree.order(q, visits, filled, k + own))
                                                                 for q, own in zip(x, batch.column("own").to_pylist())],
-                                                               pa.int32())], ["id", "v", "leaves"])
+                                                               pa.int32())], ["row", "id", "v", "leaves"])
 
-    index = written(rows.mapInArrow(place, "id long, query boolean, v array<double>, leaf int"), "leaves")
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())  # tells rows that share an id apart, once written
+    index = written(numbered.mapInArrow(place, "row long, id long, query boolean, v array<double>, leaf int"), "leaves")
     for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect():  # one row per leaf of the tree
         filled[r["leaf"]] = r["n"]
     # a query's own id gives no candidate, however many rows have it
     repeated = index.join(index.filter("query").select("id").distinct(), "id", "left_semi").groupBy("id").agg(
         F.count(F.lit(1)).alias("n")).filter("n > 1")
-    asking = index.filter("query").select("id", "v").join(repeated, "id", "left").select(
-        "id", "v", F.coalesce("n", F.lit(1)).alias("own"))
-    queries = written(asking.mapInArrow(visit, "id long, v array<double>, leaves array<int>")
-                      .select("id", "v", F.explode("leaves").alias("leaf")), "visits")
+    asking = index.filter("query").select("row", "id", "v").join(repeated, "id", "left").select(
+        "row", "id", "v", F.coalesce("n", F.lit(1)).alias("own"))
+    queries = written(asking.mapInArrow(visit, "row long, id long, v array<double>, leaves array<int>")
+                      .select("row", "id", "v", F.explode("leaves").alias("leaf")), "visits")
     # one row per leaf of the tree
     held = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("parts"))
     asked = queries.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("asks"))
@@ -210,25 +212,27 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec
         "id", "v", "leaf", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"),
         F.explode(F.sequence(F.lit(0), F.col("asks") - 1)).alias("ask"))
     theirs = queries.join(plan, "leaf").select(
-        "id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.pmod(F.xxhash64("id"), F.col("asks")).cast("int").alias("ask"))
+        "row", "id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.pmod(F.xxhash64("row"), F.col("asks")).cast("int").alias("ask"))
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, far, near = [], [], []
+        numbers, names, far, near = [], [], [], []
         if left.num_rows and right.num_rows:
             x, ids = matrix(left.column("v").combine_chunks()), left.column("id").to_numpy()
-            for name, q in zip(right.column("id").to_pylist(), matrix(right.column("v").combine_chunks())):
+            asked = zip(right.column("row").to_pylist(), right.column("id").to_pylist(), matrix(right.column("v").combine_chunks()))
+            for number, name, q in asked:
                 f, n = _nearest(x, ids, q, name, k)
+                numbers.append(np.full(len(f), number))
                 names.append(np.full(len(f), name))
                 far.append(f)
                 near.append(n)
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
-        return pa.Table.from_arrays([join(names, pa.int64()), join(near, pa.int64()), join(far, pa.float64())],
-                                    ["query_id", "vec_id", "score"])
+        return pa.Table.from_arrays([join(numbers, pa.int64()), join(names, pa.int64()), join(near, pa.int64()), join(far, pa.float64())],
+                                    ["row", "query_id", "vec_id", "score"])
 
     found = own.groupBy(*cells).cogroup(theirs.groupBy(*cells)).applyInArrow(
-        compare, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        compare, "row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("row").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 
@@ -240,17 +244,17 @@ def brute_force(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str =
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("raw"))).select("id", "query", doubles(F.col("raw")).alias("v"))
     sample = picked(rows, SAMPLE)
     rows = rows.filter(F.size("v") == (sample.shape[1] if len(sample) else -1))
-    asked = [(r["id"], np.array(r["v"])) for r in rows.filter("query").collect()]
+    asked = [(i, r["id"], np.array(r["v"])) for i, r in enumerate(rows.filter("query").collect())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, ids = matrix(batch.column("v")), batch.column("id").to_numpy()
-                flat = [(name, n, f) for name, q in asked for f, n in zip(*_nearest(x, ids, q, name, k))]
+                flat = [(i, name, n, f) for i, name, q in asked for f, n in zip(*_nearest(x, ids, q, name, k))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([t[0] for t in flat], pa.int64()), pa.array([t[1] for t in flat], pa.int64()),
-                     pa.array([t[2] for t in flat], pa.float64())], ["query_id", "vec_id", "score"])
+                    [*[pa.array([t[c] for t in flat], pa.int64()) for c in range(3)], pa.array([t[3] for t in flat], pa.float64())],
+                    ["row", "query_id", "vec_id", "score"])
 
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return rows.mapInArrow(run, "query_id long, vec_id long, score double").withColumn(
+    order = Window.partitionBy("row").orderBy("score", "vec_id")
+    return rows.mapInArrow(run, "row long, query_id long, vec_id long, score double").withColumn(
         "rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
