@@ -50,8 +50,15 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: squares neither overflow nor vanish, and a
+    cosine has the same bits as before where it had any."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None]) if x.size else x
+
+
 def _pairs(x: np.ndarray, y: np.ndarray, turn: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs with a cosine of at least the threshold."""
+    x, y = _scaled(x), _scaled(y)
     u, v = (m / np.sqrt((m ** 2).sum(1))[:, None] for m in (x, y))
     p, q = u @ turn, v @ turn
     size = p.shape[1]
@@ -118,14 +125,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     classes = classes.withColumn("size", F.size("v"))
     sample = picked(classes.select(F.col("node").alias("id"), "v"), SAMPLE)
     size = sample.shape[1] if len(sample) else 0
-    turn = axes(sample) if len(sample) else np.zeros((0, 0))
-    unit = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    turn = axes(_scaled(sample)) if len(sample) else np.zeros((0, 0))
+    scaled = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))
+    classes = classes.withColumn("scaled", scaled)
+    unit = F.sqrt(F.aggregate("scaled", F.lit(0.0), lambda s, x: s + x * x))
     head = turn[:, 0].tolist() if size else [0.0]
-    lead = F.aggregate(F.zip_with("v", F.array(*map(F.lit, head)), lambda x, y: x * y), F.lit(0.0),
+    lead = F.aggregate(F.zip_with("scaled", F.array(*map(F.lit, head)), lambda x, y: x * y), F.lit(0.0),
                        lambda s, x: s + F.coalesce(x, F.lit(0.0)))
     # the place on the first axis, with a trace of the hash so that no value can be common
     place = lead / unit + F.pmod("node", F.lit(1 << 20)) * F.lit(1e-12)
-    classes = written(classes.withColumn("place", place), "classes")
+    classes = written(classes.withColumn("place", place).drop("scaled"), "classes")
     # per label and length: borders of its tiles on the first axis
     counts = classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("rows"))
     borders = _borders(classes, counts)
