@@ -13,6 +13,8 @@ SEED = 17
 TEMPERATURE = 0.5
 #: Hexadecimal digits of an md5 that make the number in (0, 1): 52 bits, all exact in a double.
 DIGITS = 13
+#: Parts that the rows of one document id spread over.
+SALTS = 256
 
 
 def unit(*parts: Column) -> Column:
@@ -66,19 +68,22 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", weights
 
     Documents whose draw is 0 are left out; that is how a source with more than its share shrinks. The draw depends on
     seed, document id and source alone: equal rows get equal counts, and rows without id share one draw per source.
-    Copies go to partitions by ``mix_order`` (a number from seed, id and copy) and lie in that order within each.
+    Copies go to partitions by ``mix_order`` (a number from seed, id and copy) and a salt of the row, so that rows of one id
+    spread too, and lie in that order within each.
     Empty tables give empty tables. Columns of the same names as the two new ones are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("mix_copy", "mix_order", "mix_source", "mix_steps", "mix_n")]
-    table = rates(docs, source, weights, temperature, scale).select("mix_source", steps(F.col("rate")).alias("mix_steps"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("mix_copy", "mix_order")]
+    table = rates(docs, source, weights, temperature, scale).select("mix_source", steps(F.col("rate")).alias("steps"))
     key = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    draw = unit(F.lit(seed), F.col(doc_id), key)
-    counted = (docs.select(*kept, key.alias("mix_source"), draw.alias("mix_draw")).join(table, "mix_source")
-               .withColumn("mix_n", F.size(F.filter("mix_steps", lambda c: c < F.col("mix_draw"))))
-               .filter("mix_n > 0"))
-    copies = counted.select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_n").cast("long"))).alias("mix_copy"))
-    ordered = copies.withColumn("mix_order", unit(F.lit(seed + 1), F.col(doc_id), F.col("mix_copy")))
-    return ordered.repartition("mix_order").sortWithinPartitions("mix_order")
+    # the document travels as one value, so that its columns cannot clash with those the draw needs
+    held = docs.select(F.struct(*kept).alias("doc"), key.alias("mix_source"), unit(F.lit(seed), F.col(doc_id), key).alias("draw"),
+                       F.col(doc_id).alias("id"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt"))
+    counted = held.join(table, "mix_source").withColumn("n", F.size(F.filter("steps", lambda c: c < F.col("draw")))).filter("n > 0")
+    copies = counted.select("doc", "id", "salt", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("mix_copy"))
+    ordered = copies.withColumn("mix_order", unit(F.lit(seed + 1), F.col("id"), F.col("mix_copy")))
+    # rows of one id share their order; the salt keeps them from sharing a partition
+    dealt = ordered.repartition("mix_order", "salt").sortWithinPartitions("mix_order")
+    return dealt.select("doc.*", "mix_copy", "mix_order")
 
 
 #: The same rows from DuckDB; ``{docs}`` is the table.
