@@ -18,7 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from parapet.llm.common import slices
 
@@ -30,7 +30,7 @@ PRIOR_WORD, PRIOR_WEIGHT, LIMIT = 1.0, 5.0, 4.0
 FURNITURE = -1.0
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*|[^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 #: Their content is no markup, up to their end tag or the end of the page.
 RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
@@ -57,6 +57,19 @@ ARTICLE = {"article", "main"}
 ENDS_P = BLOCKS - {"body", "html", "head", "td", "th", "tr", "caption", "tbody", "thead", "tfoot"}
 
 
+#: Elements of running text: an id inside an article is a place to link to, whatever word it is.
+PLACES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "blockquote", "pre", "figure", "caption", "table",
+          "ul", "ol", "dl", "span", "a", "em", "strong", "b", "i", "code"}
+#: Words that ids made from headings have and names of page parts do not.
+SMALL_WORDS = re.compile(r"(?:^|[\s_-])(?:a|an|and|as|at|by|for|from|how|in|is|of|on|or|the|to|what|why|with|"
+                         r"de|del|el|en|la|los|las|y|para|der|die|das|und|von|zu|im|le|les|des|du|et|pour)(?:$|[\s_-])", re.I)
+
+
+def anchor(name: str, value: str) -> bool:
+    """Whether an id inside an article names a place in the text and not a part of the page."""
+    return name in PLACES or bool(SMALL_WORDS.search(value))
+
+
 def boilerplate(name: str, rest: str, inside: bool) -> bool:
     """Whether an element is furniture by its name, class, id or role."""
     if name in OUTSIDE or name in UNSEEN or name == "header" and not inside:
@@ -65,7 +78,9 @@ def boilerplate(name: str, rest: str, inside: bool) -> bool:
         return False
     for key, a, b, c in ATTRIBUTE.findall(rest):
         value, key = a or b or c, key.lower()
-        if key in ("class", "id") and NAMED.search(value) or key == "role" and value.lower() in ROLES:
+        if key in ("class", "id") and NAMED.search(value) and not (inside and key == "id" and anchor(name, value)):
+            return True
+        if key == "role" and value.lower() in ROLES:
             return True
         if key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -96,33 +111,35 @@ def wrapper(name: str, rest: str) -> bool:
     return True
 
 
-def cleared(words: list[tuple[int, tuple[int, ...]]], wraps: list[bool], articles: set[int]) -> set[int]:
-    """Furniture that turns out to wrap the article, of a page's stretches (number of words, furniture around them).
+def cleared(words: list[tuple[int, int]], wraps: list[bool], parents: list[int], articles: list[bool]) -> list[bool]:
+    """Which furniture turns out to wrap the article, from a page's stretches (words, innermost furniture or -1).
 
     An element does if it may be a wrapper and holds more words outside other furniture than the rest of the page; if no
-    named article is inside, ``WRAPS`` times as many. Outer elements are looked at first.
+    named article is inside, ``WRAPS`` times as many. Outer elements are looked at first. Elements are numbered in page
+    order, ``parents`` are the furniture around them, so every sum is one run over them.
     """
-    found: set[int] = set()
+    size = len(wraps)
+    found = [False] * size
     if not any(wraps):
         return found
-    totals: Counter = Counter()
-    for n, around in words:
-        totals[around] += n
-
-    def held() -> Counter:
-        """Words by their outermost furniture, unless some of it is sure; those without furniture by -1."""
-        sums: Counter = Counter()
-        for around, n in totals.items():
-            left = [m for m in around if m not in found]
-            if all(wraps[m] for m in left):
-                sums[left[0] if left else -1] += n
-        return sums
-
-    own = held()
-    for mark, may in enumerate(wraps):
-        if may and own[mark] > own[-1] * (1 if mark in articles else WRAPS):
-            found.add(mark)
-            own = held()
+    pure = [False] * size  # it and all furniture around it may be wrappers
+    direct, rest = [0] * size, 0
+    for n, mark in words:
+        if mark < 0:
+            rest += n
+        else:
+            direct[mark] += n
+    for m in range(size):
+        pure[m] = wraps[m] and (parents[m] < 0 or pure[parents[m]])
+    held = [n if p else 0 for n, p in zip(direct, pure)]
+    for m in range(size - 1, -1, -1):
+        if parents[m] >= 0:
+            held[parents[m]] += held[m]
+    for m in range(size):
+        open_to = parents[m] < 0 or found[parents[m]]  # no furniture left around it
+        if open_to and pure[m] and held[m] > rest * (1 if articles[m] else WRAPS):
+            found[m] = True
+            rest += direct[m]
     return found
 
 
@@ -136,30 +153,40 @@ def runs(page: str) -> list[Run]:
     Furniture that wraps the article does not count as such.
     """
     wraps: list[bool] = []  # of all furniture, in page order
-    around_articles: set[int] = set()
-    found = list(_stretches(page, wraps, around_articles))
-    clear = cleared([(len(text.split()), marks) for _, _, marks, _, text, _ in found if marks or text.strip()], wraps,
-                    around_articles)
-    return [(block, context, any(m not in clear for m in marks), tag, text, inside)
-            for block, context, marks, tag, text, inside in found]
-
-
-def _stretches(page: str, wraps: list[bool], around_articles: set[int]) -> Iterator[tuple]:
-    """``runs`` with the numbers of the furniture around each, of which ``wraps`` tells whether it may be a wrapper."""
+    parents: list[int] = []
+    articles: list[bool] = []
+    found = list(_stretches(page, wraps, parents, articles))
+    for m in range(len(parents) - 1, -1, -1):
+        if articles[m] and parents[m] >= 0:
+            articles[parents[m]] = True
+    clear = cleared([(len(text.split()), mark) for _, _, mark, _, text, _ in found if text.strip()], wraps, parents, articles)
+    left = []  # whether furniture is left at or around each
+    for m, parent in enumerate(parents):
+        left.append(not clear[m] or parent >= 0 and left[parent])
+    return [(block, context, mark >= 0 and left[mark], tag, text, inside) for block, context, mark, tag, text, inside in found]
+
+
+def _stretches(page: str, wraps: list[bool], parents: list[int], articles_in: list[bool]) -> Iterator[tuple]:
+    """``runs`` with the number of the innermost furniture around each (-1: none).
+
+    Fills in for each furniture whether it may be a wrapper, the furniture around it, and whether an article begins directly
+    inside.
+    """
     stack: list[tuple[str, bool]] = []  # element, furniture
-    block, at, tag = 0, 0, ""
-    marks: tuple[int, ...] = ()
-    articles = 0
+    block, at, tag, mark = 0, 0, "", -1
+    articles = phrases = formulas = 0
 
     def text(stop):
         context = next((n for n, _ in reversed(stack) if n in BLOCKS or n == "a"), "page")
-        return block, context, marks, tag, page[at:stop], articles > 0
+        return block, context, mark, tag, page[at:stop], articles > 0
 
     def pop(k):
-        nonlocal marks, articles
+        nonlocal mark, articles, phrases, formulas
         for name, bad in stack[k:]:
-            marks = marks[:len(marks) - bad]
+            mark = parents[mark] if bad else mark
             articles -= name in ARTICLE
+            phrases -= name in PHRASES
+            formulas -= name == "math"
         del stack[k:]
 
     while True:
@@ -171,7 +198,7 @@ def _stretches(page: str, wraps: list[bool], around_articles: set[int]) -> Itera
         if name is None:
             continue
         name = name.lower()
-        tag = "" if name == "math" or any(n == "math" for n, _ in stack) else name  # formulas are all tags
+        tag = "" if name == "math" or formulas else name  # formulas are all tags
         if name in BLOCKS:
             block += 1
         if found["close"]:
@@ -187,10 +214,10 @@ def _stretches(page: str, wraps: list[bool], around_articles: set[int]) -> Itera
             continue
         if name in UNSEEN and rest.endswith("/"):
             continue
-        if name in ENDS_PHRASE:
-            own = next((k for k, e in enumerate(stack) if e[0] in PHRASES), None)
-            end = re.compile(rf"<(/?){stack[own][0]}\b", re.I).search(page, at) if own is not None else None
-            if own is not None and not (end and end[1]):
+        if name in ENDS_PHRASE and phrases:
+            own = next(k for k, e in enumerate(stack) if e[0] in PHRASES)
+            end = re.compile(rf"<(/?){stack[own][0]}\b", re.I).search(page, at)
+            if not (end and end[1]):
                 pop(own)
         if name in ENDS_P:
             own = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCKS), None)
@@ -200,11 +227,16 @@ def _stretches(page: str, wraps: list[bool], around_articles: set[int]) -> Itera
             continue
         bad = boilerplate(name, rest, articles > 0)
         stack.append((name, bad))
+        phrases += name in PHRASES
+        formulas += name == "math"
         if bad:
-            marks += (len(wraps),)
+            parents.append(mark)
+            mark = len(wraps)
             wraps.append(wrapper(name, rest))
+            articles_in.append(False)
         if name in ARTICLE:
-            around_articles.update(marks)
+            if mark >= 0:
+                articles_in[mark] = True
             articles += 1
 
 
@@ -311,16 +343,15 @@ def main_text(pages: DataFrame, w: Weights, markup: str = "html") -> DataFrame:
     Null, empty and text-free pages give an empty text. Columns named ``text`` or ``n_chars`` are replaced.
     """
     others = [c for c in pages.columns if c not in (markup, "text", "n_chars")]
-    kinds = dict(pages.dtypes)
+    # the other columns travel as one value, so that no name of theirs can clash
+    page = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(0).alias("none"))
+    packed = pages.select(page.alias("page"), F.col(f"`{markup}`").cast("string").alias("markup"))
 
     def run(batches):
-        for batch in slices(batches, "_markup", CHUNK):
-            texts = [extract(x, w) for x in batch.column("_markup").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in others] + [pa.array(texts, pa.string()),
-                                                     pa.array([len(t) for t in texts], pa.int64())],
-                others + ["text", "n_chars"])
+        for batch in slices(batches, "markup", CHUNK):
+            texts = [extract(x, w) for x in batch.column("markup").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page"), pa.array(texts, pa.string()),
+                                              pa.array([len(t) for t in texts], pa.int64())], ["page", "text", "n_chars"])
 
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in others] + ["text string", "n_chars long"])
-    return pages.select(*[F.col(f"`{c}`") for c in others], F.col(markup).cast("string").alias("_markup")).mapInArrow(
-        run, schema)
+    schema = T.StructType([packed.schema["page"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    return packed.mapInArrow(run, schema).select(*[F.col("page")[c].alias(c) for c in others], "text", "n_chars")
