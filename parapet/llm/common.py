@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parapet.sources.session import shared_folder
 
@@ -91,3 +91,23 @@ def released(spark: SparkSession) -> None:
         gc.collect()
         spark._jvm.System.gc()
         time.sleep(1.0)
+
+
+def one_text(rows: DataFrame) -> DataFrame:
+    """One row per ``doc_id``: of several texts the one with the least hash. Bounds a sample of ids in rows as well.
+
+    All columns but ``doc_id`` and ``text`` must agree within an id. Combined before the shuffle, so an id with very many
+    rows costs one a task.
+    """
+    return rows.groupBy(*[c for c in rows.columns if c != "text"]).agg(
+        F.min(F.struct(F.xxhash64("text"), "text")).alias("least")).withColumn("text", F.col("least.text")).drop("least")
+
+
+def unused(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores added until no column is called so (in any case)."""
+    lower, found = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in lower:
+            name += "_"
+        found.append(name)
+    return found

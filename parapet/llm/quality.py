@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parapet.llm import linear
-from parapet.llm.common import buffers, slices, written
+from parapet.llm.common import buffers, one_text, slices, written
 
 ROWS_PER_SIDE = 3_000
 RIDGE = 1.0
@@ -83,7 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_side: int = ROWS_PER_SIDE,
     sides = [known.filter(F.col("y") == side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_per_side)
              for side in (0, 1)]
     ids = sides[0].unionByName(sides[1])
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id")
+    rows = one_text(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id"))
     got = _featured(rows, "text").orderBy("doc_id", "x").collect()
     x = np.array([row["x"] for row in got]).reshape(len(got), KINDS + 2)
     y = np.array([row["y"] for row in got], np.float64)

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from parapet.llm.common import buffers, nested, released, slices, written
+from parapet.llm.common import buffers, nested, released, slices, unused, written
 from parapet.llm.components import components
 
 LIMIT = 3
@@ -424,15 +424,16 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     roots = components(written(_similar(members, similarity), "links"))
     known = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     best = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("best"))
-    chosen = best.select(F.col("best.node").alias("_node"), F.col("best.least").alias("_least"))
-    counts = names.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("_copies"))
-    kept = written(chosen.join(counts, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_least")))
-                   .select("_node", "_least", "_copies"), "kept")
-    own = docs.withColumn("_hash", raw_hash(text))
-    same = (F.col("_hash") == F.col("_node")) & F.col(doc_id).eqNullSafe(F.col("_least"))
-    single = own.join(kept.filter("_copies = 1"), same, "left_semi")
+    hashed, node, own_id, copies = unused(docs.columns, "_hash", "_node", "_least", "_copies")
+    chosen = best.select(F.col("best.node").alias(node), F.col("best.least").alias(own_id))
+    counts = names.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias(copies))
+    kept = written(chosen.join(counts, (F.col("node") == F.col(node)) & F.col("doc_id").eqNullSafe(F.col(own_id)))
+                   .select(node, own_id, copies), "kept")
+    own = docs.withColumn(hashed, raw_hash(text))
+    same = (F.col(hashed) == F.col(node)) & F.col(f"`{doc_id}`").eqNullSafe(F.col(own_id))
+    single = own.join(kept.filter(F.col(copies) == 1), same, "left_semi")
     # rows that share id and text: usually none, so a small table that Spark can broadcast
-    shared = own.join(written(kept.filter("_copies > 1"), "shared"), same, "left_semi").dropDuplicates([doc_id, "_hash"])
+    shared = own.join(written(kept.filter(F.col(copies) > 1), "shared"), same, "left_semi").dropDuplicates([doc_id, hashed])
     return single.unionByName(shared).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from parapet.llm.common import buffers, discarded, nested, released, slices, written
 
@@ -465,23 +465,21 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     Where a removal would cut a character in two, the character's other bytes go as well, so that texts stay valid.
     Null texts stay null.
     """
-    others = [c for c in docs.columns if c != text]
-    kinds = dict(docs.dtypes)
+    # the other columns travel as one value, so that no name of theirs can clash
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text]
+    packed = docs.select(F.struct(*others).alias("other"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"),
+                         F.col(f"`{text}`").isNull().alias("_null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_bytes", CHUNK):
             texts = [_cut(d, _merged(s)).decode("utf-8", "ignore") for d, s in
                      zip(batch.column("_bytes").to_pylist(), batch.column("spans").to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in others), pa.array(texts, pa.string())], [*others, "_text"])
-
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in others] + ["_text string"])
-    keep = [*others, "_null"]
-    marked = docs.withColumn("_null", F.col(text).isNull())
-    rows = _joined(marked, doc_id, text, keep)
-    found = rows.select(*[F.col(f"`{c}`") for c in others], F.when(~F.col("_null"), F.col("_bytes")).alias("_bytes"),
-                        "spans").mapInArrow(_keeping_nulls(run), schema)
-    return found.select(*[F.col("_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+            yield pa.RecordBatch.from_arrays([batch.column("other"), pa.array(texts, pa.string())], ["other", "_text"])
+
+    rows = _joined(packed, "doc_id", "text", ["other", "_null"])
+    schema = T.StructType([T.StructField("other", rows.schema["other"].dataType), T.StructField("_text", T.StringType())])
+    found = rows.select("other", F.when(~F.col("_null"), F.col("_bytes")).alias("_bytes"), "spans").mapInArrow(_keeping_nulls(run), schema)
+    return found.select(*[F.col("_text").alias(c) if c == text else F.col("other")[c].alias(c) for c in docs.columns])
 
 
 def _keeping_nulls(run):

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parapet.llm import linear
-from parapet.llm.common import written
+from parapet.llm.common import one_text, written
 
 #: Labelled rows used for fitting, per category and side (the lowest by hash of the id).
 ROWS_PER_SIDE = 2_000
@@ -87,7 +87,7 @@ def sample(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], ro
         texts = [t or "" for t in texts]
         return pd.DataFrame({"words": [sorted(set(WORD.findall(t.lower()))) for t in texts], "shape": [shape(t) for t in texts]})
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id")
+    rows = one_text(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id"))
     return written(rows.withColumn("parts", parts("text")).select("doc_id", *categories, "parts.words", "parts.shape"),
                    "toxicity-sample")
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from parapet.llm import components, cosine, knn, simhash, suffixes
+from parapet.llm import components, cosine, htmltext, knn, mixing, simhash, suffixes
 from pyspark.sql import functions as F
 
 
@@ -228,3 +228,62 @@ def test_outliers_get_all_their_neighbours(spark):
     assert {r["query_id"]: r["n"] for r in found} == {i: 10 for i in [*range(0, 1600, 100), *range(10_000, 10_004)]}
     few = spark.createDataFrame(rows[:7], "vec_id long, embedding array<double>")
     assert knn.search(few, F.col("vec_id") == 3).count() == 6
+
+
+def test_every_query_row_has_its_own_ranks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(200)]
+    rows += [(100, rng.normal(size=6).tolist()), rows[40], rows[40]]  # one id with two vectors, one row three times
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    query = F.col("vec_id").isin(40, 60, 100)
+    want = []
+    for own, v in ((i, v) for i, v in rows if i in (40, 60, 100)):
+        far = sorted((float(np.sqrt(((np.array(v) - np.array(u)) ** 2).sum())), i) for i, u in rows if i != own)
+        want += [(own, rank, i, d) for rank, (d, i) in enumerate(far[:10], 1)]
+    for search in (knn.search, knn.brute_force):
+        got = sorted(tuple(r) for r in search(table, query).collect())
+        assert [g[:2] for g in got] == sorted(w[:2] for w in want) and len(got) == 60
+    exact = sorted(tuple(r) for r in knn.brute_force(table, query).collect())
+    assert [(a, b, c) for a, b, c, _ in exact] == sorted((a, b, c) for a, b, c, _ in want)
+    for own in (40, 100):
+        ranks = [r for q, r, _, _ in got if q == own]
+        assert sorted(ranks) == sorted([*range(1, 11)] * (3 if own == 40 else 2))
+
+
+def test_huge_and_tiny_vectors_link_like_others(spark):
+    base = [3.0, -1.0, 0.5, 2.0]
+    rows = [(1, base), (2, [x * 1e200 for x in base]), (3, [x * 1e-200 for x in base]), (4, [x * 1e-310 for x in base]),
+            (5, [-x for x in base]), (6, [x * 1.1e200 for x in [3.0, -1.0, 0.5, 2.1]]), (7, [1e308, 0.0, 0.0, 0.0]), (8, [5e-324, 0.0, 0.0, 0.0])]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in cosine.near_duplicates(table).collect()}
+    assert got == {**{i: (4, 1) for i in (1, 2, 3, 4, 6)}, 5: (0, 5), 7: (1, 7), 8: (1, 7)}
+
+
+def test_clashing_names(spark):
+    names = ["_hash", "_node", "_least", "_copies", "spans", "_id", "_bytes", "_null", "_text", "other", "a.b", "Row", "_markup", "draw",
+             "mix_source", "mix_steps", "mix_n", "mix_draw", "steps", "salt", "doc", "id"]
+    shape = "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names)
+    rows = [(i, t, "s", *range(len(names))) for i, t in enumerate(["one two three four five six seven " * 9, "short", None, "short", "é" * 80])]
+    docs = spark.createDataFrame(rows + [(9, rows[0][1], "s", *range(len(names)))], shape)
+    one = simhash.deduplicated(docs)
+    assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.collect()) == [0, 1, 2, 4]
+    cut = suffixes.remove(docs)
+    assert cut.columns == docs.columns
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == {0: rows[0][1], 1: "short", 2: None, 3: "short", 4: "é" * 80, 9: ""}
+    assert all(tuple(r)[3:] == tuple(range(len(names))) for df in (one, cut) for r in df.collect())
+    mixed = mixing.mix(docs, scale=3.0)
+    assert mixed.columns == [*docs.columns, "mix_copy", "mix_order"] and mixed.count() > 0
+    assert all(tuple(r)[3:-2] == tuple(range(len(names))) for r in mixed.collect())
+    pages = docs.withColumnRenamed("text", "html")
+    text = htmltext.main_text(pages, htmltext.Weights({}, {}))
+    assert text.columns == [c for c in pages.columns if c != "html"] + ["text", "n_chars"] and text.count() == 6
+
+
+def test_rows_of_one_id_spread_over_partitions(spark):
+    docs = spark.range(0, 4000, 1, 8).selectExpr("7 AS doc_id", "'t' || id AS text", "'s' AS source")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["n"] for r in mixing.mix(docs, scale=3.0).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / 4 or sum(sizes) == 0

@@ -109,3 +109,30 @@ def test_wrappers_are_no_furniture(open_, close, article):
     side = "<div class=sidebar><p>Latest news and links</p></div><nav>Home</nav>"
     page = f"<body>{open_}{side}<{article}>{STORY}</{article}>{side}{comments}{close}<footer>Imprint</footer></body>"
     assert htmltext.extract(page, htmltext.Weights({}, {})) == STORY_TEXT
+
+
+def test_ids_inside_an_article_are_places_in_it():
+    page = ('<body><nav>a b</nav><article><p id="search">' + "word " * 40 + '</p><section id="comments-on-policy"><p>' + "more " * 30
+            + '</p></section><div class="comments">bad bad</div><div id="related-articles">bad</div><p title="x>stray ' + "text " * 20
+            + '</p><p class="y">next ' + "para " * 10 + '</p><p title="a > b" data-x=\'<b>in</b>\'>' + 'end ' * 5 + '</p></article></body>')
+    lines = htmltext.extract(page, htmltext.Weights({}, {})).split("\n")
+    assert [line.split()[0] for line in lines] == ["word", "more", "stray", "next", "end"]
+    assert [len(line.split()) for line in lines] == [40, 30, 21, 11, 5]
+
+
+def test_deeply_nested_wrappers_take_linear_time():
+    import time
+    start = time.perf_counter()
+    assert htmltext.extract("<div class=sidebar>word " * 10_000, htmltext.Weights({}, {})) is not None
+    assert time.perf_counter() - start < 5  # about half a second; the square of it was an hour
+
+
+def test_a_labelled_id_with_a_third_of_the_rows_counts_once(spark):
+    rows = [(i, f"text number {i} " + ("vile " if i % 2 else "kind ") * 5, 1) for i in range(60)] + [(5, f"copy {i}", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    assert toxicity.sample(docs, labels, toxicity.categories(), 100).count() == 60
+    from parapet.llm.common import one_text
+    one = one_text(docs.select("doc_id", "text"))
+    assert one.count() == 60 and one.collect() is not None
+    assert quality.fit(docs, labels) is not None
