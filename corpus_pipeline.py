@@ -9,6 +9,10 @@ from parapet.llm.common import written
 from parapet.llm.queries import piece_model
 
 
+def _same(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`") for c in columns])
+
+
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``n_chars`` follows the text where there is such a column."""
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else docs
@@ -27,12 +31,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 bytes and more that an earlier document holds; the documents stay."""
-    return _counted(suffixes.remove(docs), docs.columns).select(*docs.columns)
+    return _same(_counted(suffixes.remove(docs), docs.columns), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that sources get their target weights, in random order."""
-    return mixing.mix(docs).select(*docs.columns)
+    return _same(mixing.mix(docs), docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
