@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, SparkSession, functions as F
 
 
 def quoted(text: str) -> str:
@@ -69,3 +70,14 @@ def number_text(value: Column) -> Column:
             .when(size == 0, F.lit("0"))
             .when((size >= 1e-4) & (size < 1e15), fixed)
             .otherwise(scientific))
+
+
+def check_pattern(pattern: str) -> None:
+    """Refuse a pattern that Spark's regex engine cannot read; without a session it can only be checked later."""
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return
+    try:
+        session._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError as error:
+        raise ValueError(f"pattern {pattern!r} cannot be read: {error.java_exception.getDescription()}") from None

@@ -13,7 +13,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from parapet.functions import fixed
-from parapet.functions.text import quoted, utf16_length
+from parapet.functions.text import check_pattern, quoted, utf16_length
 from parapet.operators.binding import long_table
 from parapet.operators.screens import Screen
 
@@ -69,6 +69,8 @@ def chosen_detectors(options: Mapping[str, bool] | None = None, custom: Sequence
     unknown = set(options) - set(OPTIONS)
     if unknown:
         raise ValueError(f"unknown detector options: {sorted(unknown)}")
+    for one in custom:
+        check_pattern(one.pattern)
     built_in = [DETECTORS[kind] for option, (kind, default) in OPTIONS.items() if options.get(option, default)]
     return built_in + [Detector(c.name, "(?iU)" + c.pattern, c.replacement, custom=True) for c in custom]
 

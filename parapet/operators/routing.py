@@ -11,6 +11,9 @@ from parapet.functions.text import is_blank, number_text, utf16_length
 from parapet.policy import NUMERIC, Condition, Policy
 
 _DECIMAL = "decimal(38,18)"
+_WIDE = "decimal(38,8)"
+#: The largest number a left value may be; text beyond it is no number (fixed value).
+_FURTHEST = "79228162514264337593543950335"
 # field name (any case) -> request column; "prompt.length" and "metadata.<key>" are computed
 _COLUMNS = {"tenantid": "tenant_id", "userid": "user_id", "applicationid": "application_id",
             "requestedprovider": "requested_provider", "requestedmodel": "requested_model", "operation": "operation",
@@ -50,7 +53,10 @@ def matches(df: DataFrame, condition: Condition) -> Column:
         same = F.coalesce(F.lower(text) == F.lit(condition.text.lower()), F.lit(False))
         return same if op == "eq" else ~same
     if op in NUMERIC:
-        left = F.coalesce(text.try_cast(_DECIMAL), F.lit(0).cast(_DECIMAL))
+        # beyond the digits kept here any number is further out than the policy's, which is checked when it is loaded
+        wide, edge = text.try_cast(_WIDE), F.lit("9" * 20).cast(_DECIMAL)
+        far = F.when(F.abs(wide) <= F.lit(_FURTHEST).cast(_WIDE), F.when(wide > 0, edge).otherwise(-edge))
+        left = F.coalesce(text.try_cast(_DECIMAL), far, F.lit(0).cast(_DECIMAL))
         right = F.lit(str(condition.number)).cast(_DECIMAL)
         return {"gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right}[op]
     if op == "contains":

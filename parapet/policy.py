@@ -219,10 +219,15 @@ class Policy:
 
 
 def _custom(given):
+    from parapet.functions.text import check_pattern
     from parapet.operators.pii import CustomPattern
 
     if not (given if isinstance(given, str) else _get(given, "pattern", "")):
         raise PolicyError("a custom pattern is empty")
+    try:
+        check_pattern(given if isinstance(given, str) else _get(given, "pattern", ""))
+    except ValueError as error:
+        raise PolicyError(str(error)) from None
     if isinstance(given, str):
         return CustomPattern("CUSTOM", given)
     return CustomPattern(_get(given, "name", ""), _get(given, "pattern", ""),

@@ -16,7 +16,7 @@ _MESSAGE = "role string, content string"
 
 def _parsed(body: Column) -> Column:
     # Messages are read as raw JSON texts first, so one odd element does not void the whole array.
-    return F.from_json(body, "messages array<string>, prompt string")
+    return F.from_json(body, "messages array<string>, prompt string", {"allowSingleQuotes": "false"})
 
 
 def _messages(parsed: Column) -> Column:

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from parapet.operators import pii, risk, screens
@@ -80,3 +82,20 @@ def test_empty_custom_patterns_are_refused():
     for given in ("", {"name": "x"}):
         with pytest.raises(PolicyError):
             _custom(given)
+
+
+def test_broken_patterns_are_refused_at_load(spark):
+    from parapet.operators import pii
+    from parapet.plans.samples import POLICY
+
+    def load(pattern):
+        text = POLICY.replace('"mode": "sanitize", "parameters": {}', '"mode": "sanitize", "parameters": {"customPatterns": [%s]}' % json.dumps(pattern))
+        assert text != POLICY
+        return Policy.from_json(text).input_screens()
+
+    assert load(r"\bID-\d+(?<![0-9]x)") and load({"name": "A", "pattern": r"\p{Lu}++"})
+    for broken in ("(", "[a-", "a{2,1}", {"name": "B", "pattern": "*x"}):
+        with pytest.raises(PolicyError):
+            load(broken)
+    with pytest.raises(ValueError):
+        pii.chosen_detectors(None, [pii.CustomPattern("X", "(?<n")])

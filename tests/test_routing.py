@@ -145,3 +145,12 @@ def test_disabled_providers_cannot_answer(spark):
     got = {r["request_id"]: r["reason"] for r in flows.answer(decided, replies, policy).collect()}
     gone = "Gateway error: AI provider 'lone' is not registered."
     assert got == {1: None, 2: gone, 3: gone, 4: None}
+
+
+def test_left_values_far_out(spark):
+    df = spark.createDataFrame([(i, {"n": t}) for i, t in enumerate(["1e25", "-1e25", "79228162514264337593543950335", "8e28", "12.5", "x", None])],
+                               "id int, metadata map<string,string>")
+    def hits(op, value):
+        return [r["id"] for r in df.filter(routing.matches(df, Condition("metadata.n", op, value))).orderBy("id").collect()]
+
+    assert hits("gt", 5) == [0, 2, 4] and hits("lt", -5) == [1] and hits("gte", 12.5) == [0, 2, 4] and hits("lte", 0) == [1, 3, 5, 6]

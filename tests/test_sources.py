@@ -239,3 +239,8 @@ def test_bodies_with_scorers_that_need_rows(spark):
     assert one == two
     only = chat.screen_bodies_apart(df, "body", ["id"], [CustomScreen("loud", 900, lambda t: shouting(t))])
     assert only._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [shouting") == 1
+
+
+def test_single_quotes_are_no_json(spark):
+    df = spark.createDataFrame([(1, "{'prompt': 'x'}"), (2, '{"prompt": "it\'s"}')], "id int, body string")
+    assert [(r["id"], r["text"]) for r in chat.explode_chat(df, "body", ["id"]).collect()] == [(2, "it's")]
