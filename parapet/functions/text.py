@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, SparkSession, functions as F
 
 
@@ -79,5 +79,5 @@ def check_pattern(pattern: str) -> None:
         return
     try:
         session._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError as error:
-        raise ValueError(f"pattern {pattern!r} cannot be read: {error.java_exception.getDescription()}") from None
+    except IllegalArgumentException as error:
+        raise ValueError(f"pattern {pattern!r} cannot be read: {error}") from None
