@@ -20,7 +20,7 @@ def test_stages_keep_the_columns(spark):
     assert docs.filter("NOT exact").count() == 0
 
 
-@pytest.mark.parametrize("name", ["op3_mixing", "op13_sharding"])
+@pytest.mark.parametrize("name", ["op3_mixing", "op11_collocations", "op13_sharding"])
 def test_twins(spark, name):
     import duckdb
 
