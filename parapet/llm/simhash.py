@@ -222,17 +222,35 @@ def near_duplicates(docs: DataFrame, n: int = 3, doc_id: str = "doc_id", text: s
     texts have fingerprint zero and link like any other. Null ids are never the least id; a component without any id has
     none. Repeated rows and ids are kept.
     """
-    prints = written(fingerprinted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), n).select(
-        "doc_id", F.col("prints")[0].alias("print")), "prints")
+    return _grouped(docs, n, doc_id, text).select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, n: int, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, hash`` (of the text), ``print``, and ``root`` and ``component_id`` of the group, per row."""
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), raw_hash(f"`{text}`").alias("hash"))
+    prints = written(fingerprinted(own, n, keep=("doc_id", "hash")).select(
+        "doc_id", "hash", F.col("prints")[0].alias("print")), "prints")
     classes = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "classes")
     links = pairs(classes.select(F.col("print").alias("id"), F.lit(0).cast("long").alias("ring"), "print"))
     roots = components(links)
     members = classes.join(roots, F.col("print") == F.col("node"), "left").select(
         "print", "least", F.coalesce("root", "print").alias("root"))
     least = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = members.join(least, "root").select("print", "component_id")
-    return prints.join(named, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
-                                              "component_id")
+    named = members.join(least, "root").select("print", "root", "component_id")
+    return prints.join(named, "print")
+
+
+def one_of_each(docs: DataFrame, n: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with one of each group of ``near_duplicates`` left: the one with the least id.
+
+    All columns stay. Groups hang together by fingerprints of ``n``-word shingles within ``LIMIT`` bits, found by pigeonring;
+    words are not compared beside that. Null and empty texts are copies of each other. Rows without id are kept only if
+    their group has no other; of rows with the same id and text, one stays.
+    """
+    found = written(_grouped(docs, n, doc_id, text).select("root", "doc_id", F.col("hash").alias("node")), "groups")
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("least"), "node")).alias("best"))
+    return _left(docs, best, found, doc_id, text)
 
 
 #: The pipeline's stage: word shingles and similarity that make two texts near duplicates.
@@ -424,6 +442,11 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     roots = components(written(_similar(members, similarity), "links"))
     known = classes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     best = known.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "node")).alias("best"))
+    return _left(docs, best, names, doc_id, text)
+
+
+def _left(docs: DataFrame, best: DataFrame, names: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that ``best`` names by hash and id (``best.node``, ``best.least``), one of those alike."""
     hashed, node, own_id, copies = unused(docs.columns, "_hash", "_node", "_least", "_copies")
     chosen = best.select(F.col("best.node").alias(node), F.col("best.least").alias(own_id))
     counts = names.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias(copies))

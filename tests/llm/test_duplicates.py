@@ -287,3 +287,19 @@ def test_rows_of_one_id_spread_over_partitions(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(sizes) == 4 and max(sizes) < 2 * sum(sizes) / 4 or sum(sizes) == 0
+
+
+def test_one_of_each_fingerprint_group(spark):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(40)) for _ in range(120)) for _ in range(12)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(100 + i, t, "copy") for i, t in enumerate(texts[:5])]
+    rows += [(200, texts[0] + " more", "near"), (300, None, "s"), (301, "", "s"), (None, texts[3], "s"), (None, "all alone here", "s"), (2, texts[2], "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_node` string")
+    groups = {}
+    for r in simhash.near_duplicates(docs).collect():
+        groups.setdefault(r["component_id"], []).append(r["doc_id"])
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    left = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect())
+    assert left == sorted((k is None, k or 0) for k in groups) and len(left) == 14
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
