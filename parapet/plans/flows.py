@@ -50,6 +50,12 @@ def fold_attempts(attempts: DataFrame, request_id: str = "request_id") -> DataFr
         for k, prefix in ((1, ""), (2, "__next_")) for name in _REPLY])
 
 
+def screened_replies(replies: DataFrame, policy: Policy, own: Sequence[Screen] = ()) -> DataFrame:
+    """Replies after the output chain, ready to be joined with their requests and settled."""
+    return run_chain(replies, [*policy.output_screens(), *own], text="content").withColumnsRenamed(
+        {"screen": "__reply_screen", "reason": "__reply_reason"}).drop("blocked").withColumn("__replied", F.lit(True))
+
+
 def answer(decided: DataFrame, replies: DataFrame, policy: Policy, request_id: str = "request_id",
            own: Sequence[Screen] = ()) -> DataFrame:
     """Join the providers' replies, take fallbacks, apply the output chain, and give one outcome per request.
@@ -60,10 +66,13 @@ def answer(decided: DataFrame, replies: DataFrame, policy: Policy, request_id: s
     beside an error is the fallback's. Ids are unique on both sides, so the join has no hot key. Replies are screened
     before the join: where only verdicts and counts are asked for, no text is shuffled.
     """
-    screened = run_chain(replies, [*policy.output_screens(), *own], text="content").withColumnsRenamed(
-        {"screen": "__reply_screen", "reason": "__reply_reason"}).drop("blocked").withColumn("__replied", F.lit(True))
+    screened = screened_replies(replies, policy, own)
     calls = "attempt" in replies.columns
-    joined = decided.join(fold_attempts(screened, request_id) if calls else screened, request_id, "left")
+    return settle(decided.join(fold_attempts(screened, request_id) if calls else screened, request_id, "left"), policy, calls)
+
+
+def settle(joined: DataFrame, policy: Policy, calls: bool = False) -> DataFrame:
+    """The outcome of decided requests beside their replies (null columns where there is none); see ``answer``."""
     none, silent = F.lit(None).cast("string"), F.lit("no reply")
     next_replied, next_error = (F.col("__next___replied"), F.col("__next_error")) if calls else (F.col("__replied"), none)
     # a disabled provider cannot be called: that is a failed call, of the fallback's too

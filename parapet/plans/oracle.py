@@ -13,7 +13,7 @@ from parapet.functions import fixed
 from parapet.operators.pii import OPTIONS
 from parapet.operators.spans import SPECIFIC_FIRST
 from parapet.plans.queries import policy
-from parapet.plans.samples import (FLOW_LIMITS, MARKUP_PATTERNS, PROMPT_SAMPLES, QUOTA_LIMIT, QUOTA_SECONDS, REPLY_SAMPLES,
+from parapet.plans.samples import (FLOW_LIMITS, MARKUP_PATTERNS, PATIENCE, PROMPT_SAMPLES, QUOTA_LIMIT, QUOTA_SECONDS, REPLY_SAMPLES,
                                    SHARED_LIMITS, TENANT_LIMIT)
 
 PATTERN = {kind: (pattern, ignore_case, tag) for kind, _, _, ignore_case, pattern, tag in fixed.PII_DETECTORS}
@@ -312,7 +312,7 @@ def _limited(source: str, name: str) -> str:
 
 
 @lru_cache
-def _finished(calls: bool = False, quotas: bool = False) -> str:
+def _finished(calls: bool = False, quotas: bool = False, timely: str | None = None) -> str:
     reason, text = _response("content")
     chained = _chain('requests', 'prompt')
     if quotas:  # a request denied by a quota is not screened
@@ -323,6 +323,12 @@ def _finished(calls: bool = False, quotas: bool = False) -> str:
     replies = REPLIES if not calls else f"""{ATTEMPTS}, replies AS (SELECT a.*, b.request_id AS next_id,
         b.content AS next_content, b.prompt_tokens AS next_pt, b.error AS next_error, b.finished_us AS next_us
         FROM calls a LEFT JOIN calls b ON b.request_id = a.request_id AND b.attempt = 2 WHERE a.attempt = 1)"""
+    if timely:  # a reply is the first call's and, beside an error, the fallback's
+        calls = True
+        replies = f"""{REPLIES.replace('replies AS', 'said AS')}, replies AS (SELECT s.*, s.request_id AS next_id,
+            s.content AS next_content, s.prompt_tokens AS next_pt, NULL::VARCHAR AS next_error, s.finished_us AS next_us
+            FROM said s JOIN requests q USING (request_id) WHERE s.finished_us - q.ts_us <= epoch_us(INTERVAL {q(timely)})
+            AND request_id % 29 <> 5)"""
     more = ", r.request_id IS NULL AS silent, r.next_id, r.next_content, r.next_pt, r.next_error, r.next_us" if calls else ""
     last = f"""CASE WHEN unresolved THEN error END""" if not calls else """CASE WHEN used_fallback AND provider = 'local'
         THEN 'AI provider ''local'' is not registered.' WHEN used_fallback AND next_id IS NULL THEN 'no reply'
@@ -587,6 +593,9 @@ def statements() -> dict[str, str]:
         "audit_rerun": f"""WITH {_finished()} SELECT CASE WHEN request_id % 2 = 0 THEN 'even' ELSE 'odd' END AS run,
             strftime(make_timestamp(ts_us), '%Y-%m-%d') AS day, count(*) AS requests,
             sum(completion_tokens)::BIGINT AS completion_tokens FROM audit GROUP BY 1, 2""",
+        "audit_stream": f"""WITH {_finished(timely=PATIENCE)} SELECT request_id, correlation_id, user_id, provider, model,
+            coalesce(prompt_tokens, 0) AS prompt_tokens, coalesce(completion_tokens, 0) AS completion_tokens, blocked,
+            block_reason, flags, finished_us AS finished_at_us, latency_ms FROM audit""",
         "audit_minutes": f"""WITH m AS (SELECT {minute} AS minute_us, count(*) AS requests,
             count(*) FILTER (WHERE event_type = 'error') AS blocked FROM events GROUP BY 1) SELECT *, blocked / requests
             AS block_rate FROM m WHERE minute_us + 60000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)""",

@@ -13,7 +13,7 @@ from parapet.functions.clock import epoch_micros
 from parapet.operators import audit as audits, blocktable, chain, pii, quota, reports, risk, routing, screens, spans
 from parapet.plans import flows, inputs
 from parapet.plans.samples import (CUSTOM_NAME, CUSTOM_PATTERN, CUSTOM_TAG, FLOW_LIMITS, MARKUP_PATTERNS, POLICY,
-                                   QUOTA_LIMIT, QUOTA_SECONDS, SHARED_LIMITS, TENANT_LIMIT)
+                                   PATIENCE, QUOTA_LIMIT, QUOTA_SECONDS, SHARED_LIMITS, TENANT_LIMIT)
 from parapet.policy import Condition, Policy, QuotaRule, RouteRule
 from parapet.sources import audit_table as audit_files, chat, requests as bodies_io
 from parapet.sources.session import new_folder
@@ -432,8 +432,8 @@ def quota_stream_ordered(spark, sf):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
-def _run_once(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    folder = new_folder(spark, "stream")
+def _run_once(spark: SparkSession, stream: DataFrame, folder: str | None = None) -> DataFrame:
+    folder = folder or new_folder(spark, "stream")
     running = (stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/out")
                .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
     running.awaitTermination()
@@ -517,6 +517,31 @@ def audit_rerun(spark, sf):
         F.count("*").alias("requests"), F.sum("completion_tokens").alias("completion_tokens"))
 
 
+@query
+def audit_stream(spark, sf):
+    """Audit events on a stream that is stopped and started again. Replies arrive after their requests, some too late, and
+    some requests get none. Rows of no request, a day later, move the watermark on at the end."""
+    folder = new_folder(spark, "arrivals")
+    requests, replies = inputs.requests(spark, sf), inputs.replies(spark, sf)
+    last = requests.agg(F.max("request_id")).first()[0] or 0
+    marks = {name: rows.filter(F.col("request_id") == last).withColumns(
+        {"request_id": F.lit(number).cast("bigint"), at: F.col(at) + F.expr("INTERVAL 1 DAY")})
+        for name, rows, at, number in (("requests", requests, "ts", None), ("replies", replies, "finished_at", -1))}
+    replies = replies.filter("request_id % 29 <> 5")
+    for start in (True, False):
+        for name, rows, cut in (("requests", requests, last // 2), ("replies", replies, last // 2 - 5)):
+            own = rows.filter(F.col("request_id") <= cut) if start else rows.filter(F.col("request_id") > cut).unionByName(marks[name])
+            own.write.mode("append").parquet(f"{folder}/{name}")
+        arriving = [spark.readStream.schema(rows.schema).parquet(f"{folder}/{name}")
+                    for name, rows in (("requests", requests), ("replies", replies))]
+        events = stream_audit.audit_stream(*arriving, policy(), patience=PATIENCE)
+        out = _run_once(spark, events.select(
+            "request_id", "correlation_id", "user_id", "provider", "model", "prompt_tokens", "completion_tokens", "blocked",
+            "block_reason", F.array_join("flags", ",").alias("flags"), epoch_micros(events, "finished_at").alias("finished_at_us"),
+            "latency_ms"), folder)
+    return out
+
+
 @query
 def audit_minutes(spark, sf):
     """Block rate per minute on a stream: an event counts as blocked where it is an error."""

@@ -1,5 +1,7 @@
 import math
 import random
+from dataclasses import replace
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 from parapet.operators import audit
 from parapet.plans import flows
 from parapet.plans.samples import POLICY
-from parapet.policy import Policy
+from parapet.policy import Policy, QuotaRule
+from parapet.streaming import audit as stream_audit
 
 REQUEST = ("request_id long, ts timestamp, prompt string, system_prompt string, user_id string, tenant_id string, "
            "application_id string, operation string, requested_provider string, requested_model string, max_tokens int, "
@@ -18,7 +21,6 @@ REPLY = ("request_id long, content string, prompt_tokens int, completion_tokens
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    from datetime import datetime, timedelta
     t0 = datetime(2024, 1, 1)
 
     def request(i, prompt, provider=None, model=None):
@@ -211,3 +213,31 @@ def test_reruns_add_nothing(spark, tmp_path):
     for checkpoint in ("c1", "c2"):  # the second starts over and repeats the batch
         append_once(stream, str(tmp_path / "once"), str(tmp_path / checkpoint)).awaitTermination()
     assert read_audit(spark, str(tmp_path / "once")).count() == 40
+
+
+def test_audit_stream_meets_replies_across_runs(spark, tmp_path):
+    policy = Policy.from_json(POLICY)
+    at = lambda minute: datetime(2024, 1, 1) + timedelta(minutes=minute)
+    asked = lambda i, minute, prompt="hi": (i, at(minute), prompt, None, "u", "t", "a", "chat", None, None, 9, 0.0, {})
+    said = lambda i, minute: (i, "fine", 1, 2, None, at(minute))
+    rounds = [([asked(1, 0), asked(2, 1), asked(3, 2), asked(4, 3, None), asked(None, 3)], [said(1, 1), said(9, 2), said(None, 2)]),
+              ([asked(None, 500)], [said(2, 31), said(3, 33), said(4, 3), said(-1, 500)])]
+    got = []
+    for requests, replies in rounds:
+        spark.createDataFrame(requests, REQUEST).write.mode("append").parquet(f"{tmp_path}/requests")
+        spark.createDataFrame(replies, REPLY).write.mode("append").parquet(f"{tmp_path}/replies")
+        events = stream_audit.audit_stream(
+            spark.readStream.schema(REQUEST).parquet(f"{tmp_path}/requests"),
+            spark.readStream.schema(REPLY).parquet(f"{tmp_path}/replies"), policy, patience="30 minutes")
+        stream_audit.append_stream(events, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        rows = spark.read.parquet(f"{tmp_path}/out").collect()
+        got.append({r["request_id"]: (r["blocked"], r["latency_ms"]) for r in rows})
+        assert len(rows) == len(got[-1])
+    assert got[0] == {1: (False, 60_000.0)}  # the others may still be answered
+    assert got[1] == {1: (False, 60_000.0), 2: (False, 1_800_000.0), 3: (True, None), 4: (False, 0.0), None: (True, None)}
+
+
+def test_audit_stream_refuses_quotas(spark):
+    policy = replace(Policy.from_json(POLICY), quotas_enabled=True, quota_rules=(QuotaRule("user", 5),))
+    with pytest.raises(ValueError, match="quotas"):
+        stream_audit.audit_stream(spark.range(1), spark.range(1), policy)
