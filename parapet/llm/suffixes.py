@@ -35,6 +35,8 @@ COLLECTION = 256 << 10
 CHUNK = 4 << 20
 #: Text searched for runs at once: its arrays of hashes stay in the processor's cache.
 SCAN = 256 << 10
+#: Texts that share an id are dealt out by this many remainders of their hash.
+PARTS = 1 << 16
 #: Rows of strings held by a task while it looks for those of one hash.
 HELD = 20_000
 
@@ -101,25 +103,29 @@ def runs(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tuple[n
 def range_min(values: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 64) -> np.ndarray:
     """The least of ``values[a] .. values[b]``, for each pair ``a <= b``."""
     out = np.empty(len(a), values.dtype)
-    top = np.iinfo(values.dtype).max
+    top = values.dtype.type(np.iinfo(values.dtype).max)
+    ended = np.append(values, top)  # a range may end behind the last value
     far = b - a >= 4 * block
 
     def reduce(v, low, high):
-        """Least of v[low:high]; taken from the right so that the gaps between ranges cost nothing."""
+        """Least of v[low:high], where v has one value more than is asked for.
+
+        Taken from the right so that the gaps between ranges cost nothing.
+        """
         order = np.argsort(-low, kind="stable")
         pairs = np.stack([low[order], high[order]], 1).ravel()
-        found = np.minimum.reduceat(np.append(v, top), pairs)[::2] if len(pairs) else np.zeros(0, v.dtype)
+        found = np.minimum.reduceat(v, pairs)[::2] if len(pairs) else np.zeros(0, v.dtype)
         back = np.empty(len(low), v.dtype)
         back[order] = found
         return back
 
-    out[~far] = reduce(values, a[~far], b[~far] + 1)
+    out[~far] = reduce(ended, a[~far], b[~far] + 1)
     if far.any():
         low, high = -(-a[far] // block), (b[far] + 1) // block
         padded = np.append(values, np.full(-len(values) % block, top, values.dtype))
-        middle = reduce(padded.reshape(-1, block).min(1), low, high)
-        left = np.where(a[far] < low * block, reduce(values, a[far], np.maximum(low * block, a[far] + 1)), top)
-        right = np.where(b[far] + 1 > high * block, reduce(values, np.minimum(high * block, b[far]), b[far] + 1), top)
+        middle = reduce(np.append(padded.reshape(-1, block).min(1), top), low, high)
+        left = np.where(a[far] < low * block, reduce(ended, a[far], np.maximum(low * block, a[far] + 1)), top)
+        right = np.where(b[far] + 1 > high * block, reduce(ended, np.minimum(high * block, b[far]), b[far] + 1), top)
         out[far] = np.minimum(np.minimum(left, right), middle)
     return out
 
@@ -174,8 +180,8 @@ def column_sort(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray, cap: int
         start = merged(start, ends[:a][order] - j)
         before = merged(before, 0)
         shared = shared2
-        rank = moved[rank]
-        rank[:a][order] = at
+        rank = moved[rank[:a]]  # strings that have ended need none
+        rank[order] = at
     return start, before, shared
 
 
@@ -202,24 +208,58 @@ def least_holders(strings: list[bytes], docs: np.ndarray, length: int = LENGTH)
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id``, a hash of the text to tell rows that share an id apart, and the bytes."""
+    """``doc_id``, a hash of the text to tell rows that share an id apart, a short form of it, and the bytes."""
     raw = F.col(text).cast("string")
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(raw).alias("row"),
+    row = F.xxhash64(raw)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), row.alias("row"),
+                       F.pmod(row, F.lit(PARTS)).cast("int").alias("part"),
                        F.coalesce(raw, F.lit("")).cast("binary").alias("bytes"))
 
 
 def _keys(texts: DataFrame) -> DataFrame:
-    """``key, doc_id`` of every run, once per document and key and task."""
+    """``key, doc_id, part`` of every run, once per text and key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "bytes", SCAN):
             row, _, _, key = runs(*buffers(batch.column("bytes")))
-            docs = batch.column("doc_id").to_numpy()[row]
-            order = np.lexsort((docs, key))
-            key, docs = key[order], docs[order]
-            once = np.append(True, (key[1:] != key[:-1]) | (docs[1:] != docs[:-1])) if len(key) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(key[once]), pa.array(docs[once])], ["key", "doc_id"])
+            order = np.lexsort((row, key))
+            key, row = key[order], row[order]
+            once = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])) if len(key) else np.zeros(0, bool)
+            own = pa.array(row[once])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[once]), batch.column("doc_id").take(own), batch.column("part").take(own)],
+                ["key", "doc_id", "part"])
+
+    return texts.select("doc_id", "part", "bytes").mapInArrow(run, "key long, doc_id long, part int")
+
+
+def _shared(keys: DataFrame, partitions: int) -> DataFrame:
+    """The rows of ``_keys`` whose key occurs in several documents, from one sorted pass.
 
-    return texts.select("doc_id", "bytes").mapInArrow(run, "key long, doc_id long")
+    A task holds back the rows of a key that may go on only while they all come from one document: ``PARTS`` rows at most.
+    """
+    names = ["key", "doc_id", "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32)]
+        met = None  # the key that may go on, if several documents have it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [np.append(h, batch.column(c).to_numpy()) for h, c in zip(held, names)]
+            key, docs, part = columns
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            after = np.append(first[1:], len(key))
+            many = docs[first] != docs[after - 1]
+            many[0] |= met is not None and key[0] == met
+            kept = np.repeat(many, after - first)
+            met = key[-1] if many[-1] else None
+            open_ = np.arange(len(key) if many[-1] else first[-1], len(key))
+            open_ = open_[np.append(True, part[open_][1:] != part[open_][:-1])[:len(open_)]]
+            held = [c[open_] for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names)
+
+    dealt = keys.repartition(partitions, "key").sortWithinPartitions(*names)
+    return dealt.mapInArrow(run, keys.schema)
 
 
 def _strings(texts: DataFrame) -> DataFrame:
@@ -365,15 +405,11 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _texts(docs, doc_id, text).filter(F.col("doc_id").isNotNull() & (F.octet_length("bytes") >= LENGTH))
-    keys = _keys(texts)  # scanned twice: written out they would take as much room as the texts
-    common = written(keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter(
-        "low < high").select("key"), "common-keys")
-    released(spark)
-    own = written(keys.join(common.hint("shuffle_hash"), "key", "left_semi").groupBy("doc_id").agg(
+    own = written(_shared(_keys(texts), partitions).groupBy("doc_id", "part").agg(
         F.collect_list("key").alias("keys")), "document-keys")
     released(spark)
-    cut = written(_strings(texts.join(own.hint("shuffle_hash"), "doc_id")), "strings")
-    discarded(common, own)
+    cut = written(_strings(texts.join(own.hint("shuffle_hash"), ["doc_id", "part"])), "strings")
+    discarded(own)
     released(spark)
     strings = _by_window(cut)
     minima = written(_minima(strings, partitions), "holders")

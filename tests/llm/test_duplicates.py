@@ -159,6 +159,22 @@ def test_repeated_strings(spark, monkeypatch, crowd):
     assert suffixes.digest(docs.limit(0)).count() == 0
 
 
+def test_shared_keys_across_batches(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(40), rng.choice([1, 1, 1, 2, 3]), rng.randrange(3)) for _ in range(150)]
+    rows += [(50, 7, n % 4) for n in range(20)] + [(51, 7, 0)] * 9 + [(51, 8, 0)]  # one document's own, and one met late
+    keys = spark.createDataFrame(rows, "key long, doc_id long, part int")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = {tuple(r) for r in suffixes._shared(keys, 2).collect()}
+        none = suffixes._shared(keys.limit(0), 2).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    docs = {k: {d for key, d, _ in rows if key == k} for k, _, _ in rows}
+    assert got == {r for r in rows if len(docs[r[0]]) > 1} and not none
+
+
 def test_column_sort_orders_suffixes():
     rng = random.Random(6)
     strings = sorted((bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 20))) for _ in range(30)), key=len, reverse=True)
