@@ -52,3 +52,29 @@ def test_ten_thousand_entries_and_no_pairing_with_all_texts(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert {r["id"] for r in found.collect()} == {i for i, t in enumerate(texts) if any(e in t for e in made)}
+
+
+@pytest.mark.parametrize("common", [0, 3, 4096])
+def test_verdicts_do_not_hang_on_where_entries_are_looked_up(spark, monkeypatch, common):
+    monkeypatch.setattr(blocktable, "COMMON", common)
+    rng = random.Random(11)
+    words = ["alpha", "Beta", "gämma", "漢字", "o", "straße", "x1", "İstanbul", "the", "  "]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randrange(0, 12))) for _ in range(300)] + [None, "", "z" * 40 + "Q" * 60 + "end"]
+    entries = [t[a:a + rng.randrange(2, 45)] for t in texts[:40] for a in (2, 9)] + ["z" * 9 + "q" * 60 + "END", "q" * 61, None, "", "zo"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
+    table = spark.createDataFrame([(e,) for e in entries], "entry string")
+    lower = {r[0]: r[1] for r in df.selectExpr("id", "lower(body)").collect()}
+    known = {r[0] for r in table.selectExpr("lower(entry)").collect() if r[0]}
+    got = {r["id"]: r["blocked"] for r in blocktable.screen_by_table(df, ["id"], "body", table, "entry").collect()}
+    assert got == {i: t is not None and any(e in t for e in known) for i, t in lower.items()} and 0 < sum(got.values()) < len(got)
+
+
+def test_a_verdict_moves_no_row_for_every_entry_of_a_text(spark, monkeypatch):
+    """300 texts with 200 entries each: 60,000 pairs that the verdicts do not need."""
+    made = [f"{i:04}" for i in range(0, 10_000, 50)]
+    df = spark.createDataFrame([(i, " ".join(made) + f" text {i}") for i in range(300)] + [(1000, "none of them")], "id long, body string")
+    kept = []
+    monkeypatch.setattr(blocktable, "cut", lambda df, own=blocktable.cut: kept.append(own(df)) or kept[-1])
+    out = blocktable.screen_by_table(df, ["id"], "body", spark.createDataFrame([(e,) for e in made], "entry string"), "entry")
+    assert {r["id"] for r in out.collect() if r["blocked"]} == set(range(300))
+    assert [k.count() for k in kept] == [200, 300]  # the list, and a row per text
