@@ -302,3 +302,64 @@ def test_held_requests_are_counted_in_time_order_and_leave(slice_seconds):
             got |= {i: (w, n) for i, w, n in zip(out["request_id"], out["window_us"], out["n"])}
     assert got == want
     assert not state.maps and not state.values  # a key without requests has no state
+
+
+@pytest.mark.parametrize("gathered, piece", [(200_000, 10_000), (40, 10), (1, 1)])
+def test_keys_of_a_group_share_their_state(monkeypatch, gathered, piece):
+    """400 keys in a group: calls to the state store go by pieces of requests, not by keys and slices."""
+    import pandas as pd
+    from parapet.streaming import quota as streaming
+
+    monkeypatch.setattr(streaming, "GATHERED", gathered)
+    monkeypatch.setattr(streaming, "PIECE", piece)
+    rng = random.Random(gathered)
+    rows = [(rng.choice([None, "hot", *map(str, range(400))]), T0 + rng.randint(0, 4000) * SECOND, i) for i in range(2000)]
+    rows += [("hot", T0 + rng.randint(0, 4000) * SECOND, 5000 + i) for i in range(500)]
+    want = brute([(k or "", us, i) for k, us, i in rows], 300)
+    state, got, calls = FakeState(), {}, [0]
+    make = state.getMapState
+
+    def counted(*given):
+        held = make(*given)
+        for name in ("getValue", "updateValue", "removeKey"):
+            def call(*args, own=getattr(held, name)):
+                calls[0] += 1
+                return own(*args)
+            setattr(held, name, call)
+        return held
+
+    state.getMapState = counted
+    processor = streaming._Ordered(300 * SECOND, 60 * SECOND, "bigint", "quota_key")
+    processor.init(state)
+
+    def fire(passed):
+        class Times:
+            getCurrentWatermarkInMs = staticmethod(lambda: passed)
+
+        while due := [t for t in state.timers if t <= passed]:
+            state.timers.discard(min(due))
+            for out in processor.handleExpiredTimer((7,), Times, None):
+                assert out["us"].max() - out["us"].min() < 60 * SECOND
+                got.update({i: (k, w, n) for k, i, w, n in zip(out["quota_key"], out["request_id"], out["window_us"], out["n"])})
+
+    arrivals, seen = sorted(rows, key=lambda r: r[1] + rng.randint(0, 200) * SECOND), 0
+    for at in range(0, len(arrivals), 500):
+        own = arrivals[at:at + 500]
+        frames = [pd.DataFrame(own[k:k + 100], columns=["quota_key", "us", "request_id"]) for k in range(0, 500, 100)]
+        assert list(processor.handleInputRows((7,), iter(frames), None)) == []
+        seen = max(seen, max(us for _, us, _ in own))
+        fire((seen - 200 * SECOND) // 1000)
+    fire((T0 + 10_000 * SECOND) // 1000)
+    assert {i: (w, n) for i, (_, w, n) in got.items()} == want and {i: k for i, (k, _, _) in got.items()} == {i: k for k, _, i in rows}
+    assert not state.maps and not state.values and not state.timers
+    assert gathered < 1000 or calls[0] < 50
+
+
+def test_parts_of_events_may_be_several_files(spark, monkeypatch):
+    from parapet.plans import queries
+
+    monkeypatch.setattr(queries, "ARRIVAL_ROWS", 20)
+    sf = "/root/testdata/sf0.001"
+    want = {r["request_id"]: tuple(r) for r in queries.registered()["quota_replay"](spark, sf).collect()}
+    got = {r["request_id"]: tuple(r) for r in queries.registered()["quota_stream_ordered"](spark, sf).collect()}
+    assert len(got) > 0.9 * len(want) and all(want[i] == r for i, r in got.items())
