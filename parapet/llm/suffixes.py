@@ -143,45 +143,49 @@ def column_sort(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray, cap: int
     kind, bits = (np.int32, 22) if total < 1 << 22 else (np.int64, 40)
     low = kind((1 << bits) - 1)
     key = np.arange(m, dtype=kind)  # the empty suffixes rank by string
-    start = ends.astype(kind)
-    before = np.zeros(m, np.int16)
     shared = np.zeros(m, np.uint8)
     rank = np.arange(m, dtype=kind)  # of each string's longest suffix so far
-    active = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1 if m else 1), "right")
-    for j, a in enumerate(active.tolist(), 1):
-        symbol = data[ends[:a] - j].astype(kind) + kind(1)
-        before[rank[:a]] = symbol
-        new = symbol << kind(bits) | rank[:a]
+    active = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1 if m else 1), "right").tolist()
+    for j, a in enumerate(active, 1):
+        new = (data[ends[:a] - j].astype(kind) + kind(1)) << kind(bits) | rank[:a]
         order = np.argsort(new)
         new = new[order]
         at = np.searchsorted(key, new) + np.arange(a)
         old = np.ones(len(key) + a, bool)
         old[at] = False
-        moved = np.flatnonzero(old).astype(kind)
-
-        def merged(values, added):
-            out = np.empty(len(old), values.dtype)
-            out[old] = values
-            out[at] = added
-            return out
-
-        key2 = merged(key, new)
-        shared2 = merged(shared, 0)
-        near = np.zeros(len(old) + 1, bool)
-        near[at] = near[at + 1] = True
-        touched = np.flatnonzero(near[:-1])
+        moved = np.flatnonzero(old)
+
+        key2 = np.empty(len(old), kind)
+        key2[moved] = key
+        key2[at] = new
+        shared2 = np.zeros(len(old), np.uint8)
+        shared2[moved] = shared
+        old[at[at + 1 < len(old)] + 1] = False  # what was inserted and what follows it
+        touched = np.flatnonzero(~old)
         x, y = key2[touched - 1], key2[touched]
         same = (x >> bits == y >> bits) & (y >> bits > 0)
         shared2[touched] = 0
         own = touched[same]
         shared2[own] = np.minimum(range_min(shared, (x[same] & low).astype(np.int64) + 1, (y[same] & low).astype(np.int64)),
                                   cap - 1) + 1
-        key = key2 & ~low | moved[key2 & low]
-        start = merged(start, ends[:a][order] - j)
-        before = merged(before, 0)
-        shared = shared2
+        moved = moved.astype(kind)
+        key2 += (moved - np.arange(len(moved), dtype=kind))[key2 & low]
+        key, shared = key2, shared2
         rank = moved[rank[:a]]  # strings that have ended need none
         rank[order] = at
+    # where suffixes start: from each empty one on, to the suffix that has one symbol more
+    longer = np.empty(total, kind)
+    longer[key[m:] & low] = np.arange(m, total, dtype=kind)
+    start = np.empty(total, kind)
+    start[:m], at = ends, np.arange(m)
+    for j, a in enumerate(active, 1):
+        at = longer[at[:a]]
+        start[at] = ends[:a] - j
+    first = np.zeros(len(data) + 1, bool)
+    first[ends - sizes] = True
+    before = np.zeros(total, np.int16)
+    inner = np.append(sizes > 0, ~first[start[m:]])
+    before[inner] = data[start[inner] - 1].astype(np.int16) + 1
     return start, before, shared
 
 
@@ -249,16 +253,17 @@ def _shared(keys: DataFrame, partitions: int) -> DataFrame:
             key, docs, part = columns
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             after = np.append(first[1:], len(key))
-            many = docs[first] != docs[after - 1]
+            many = np.minimum.reduceat(docs, first) != np.maximum.reduceat(docs, first)
             many[0] |= met is not None and key[0] == met
             kept = np.repeat(many, after - first)
             met = key[-1] if many[-1] else None
             open_ = np.arange(len(key) if many[-1] else first[-1], len(key))
-            open_ = open_[np.append(True, part[open_][1:] != part[open_][:-1])[:len(open_)]]
+            open_ = open_[np.unique(part[open_], return_index=True)[1]]
             held = [c[open_] for c in columns]
             yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in columns], names)
 
-    dealt = keys.repartition(partitions, "key").sortWithinPartitions(*names)
+    # by the key alone, which Spark sorts by its digits; several columns would be compared row by row
+    dealt = keys.repartition(partitions, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, keys.schema)
 
 

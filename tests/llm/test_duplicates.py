@@ -175,6 +175,24 @@ def test_shared_keys_across_batches(spark):
     assert got == {r for r in rows if len(docs[r[0]]) > 1} and not none
 
 
+def test_keys_are_sorted_by_themselves(spark):
+    """One sorted column goes by its digits; rows of a key may come in any order of documents, and more than once."""
+    rows = [(k, d, p) for k in range(-20, 20) for d, p in ((7, 1), (3, 2), (7, 3), (7, 1))[:1 + abs(k) % 4]] + [(50, 7, p % 3) for p in range(40)]
+    random.Random(2).shuffle(rows)
+    keys = spark.createDataFrame(rows, "key long, doc_id long, part int").repartition(3)
+    found = suffixes._shared(keys, 2)
+    sorts = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Sort [" in line]
+    assert sorts and all("doc_id" not in line and "part" not in line for line in sorts)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = {tuple(r) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    docs = {k: {d for key, d, _ in rows if key == k} for k, _, _ in rows}
+    assert got == {r for r in rows if len(docs[r[0]]) > 1}
+
+
 def test_column_sort_orders_suffixes():
     rng = random.Random(6)
     strings = sorted((bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 20))) for _ in range(30)), key=len, reverse=True)
