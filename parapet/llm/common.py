@@ -57,7 +57,10 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that a column of texts holds about ``most`` bytes at once (one row at least)."""
+    """The batches cut so that a column of texts holds about ``most`` bytes at once (one row at least).
+
+    What Arrow has freed goes back to the system after each batch: workers live on, and the executor has no other use of it.
+    """
     for batch in batches:
         sizes = np.asarray([len(x) if x is not None else 0 for x in batch.column(column).to_pylist()], np.int64) \
             if batch.num_rows < 64 else _sizes(batch.column(column))
@@ -68,6 +71,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterato
             stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def _sizes(column: pa.Array) -> np.ndarray:

@@ -11,8 +11,9 @@ from collections.abc import Callable
 
 #: Words remembered by one Python worker; a full memory is emptied, which costs time and changes nothing.
 REMEMBERED = 800_000
-#: Hashes of words met once; emptied when full. Two words of one hash may be remembered a call early, no more.
-MET = 1_000_000
+#: Places for marks of words met once, a byte each. A later word may take the place of an earlier one, and two words of one
+#: mark may be remembered a call early, no more.
+MET = 1 << 22
 #: Longer words are encoded each time.
 LONGEST = 64
 
@@ -23,21 +24,20 @@ class Words:
     def __init__(self, encode: Callable[[list], list[bytes]], most: int = REMEMBERED, start: dict | None = None):
         self.encode, self.most, self.start = encode, most, {"": b""} if start is None else start
         self.known: dict = dict(self.start)
-        self.met: set[int] = set()
+        self.met = bytearray(MET)
 
     def ids(self, texts: list[list]) -> list[bytes]:
         """For each list of words (text or bytes, one kind only), the ids of all words joined."""
         if len(self.known) > self.most:
             self.known = dict(self.start)
-        if len(self.met) > MET:
-            self.met = set()
         known, met = self.known, self.met
         new = list(set().union(*texts).difference(known))
         if new:
             known.update(zip(new, self.encode(new)))
         found = [b"".join(map(known.__getitem__, words)) for words in texts]
         for word in new:
-            if (mark := hash(word)) not in met or len(word) > LONGEST:
-                met.add(mark)
+            at, mark = (code := hash(word)) % MET, code // MET % 255 + 1
+            if met[at] != mark or len(word) > LONGEST:
+                met[at] = mark
                 del known[word]
         return found

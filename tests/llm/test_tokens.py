@@ -1,6 +1,8 @@
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +102,30 @@ def test_mixing_keeps_rates(spark, docs):
     assert mixing.mix(docs.limit(0)).count() == 0
     order = [r["mix_order"] for r in mixing.mix(many, "id").coalesce(1).collect()]
     assert len(set(order)) == len(order)
+
+
+def test_words_met_once_take_a_fixed_room():
+    from parapet.llm.tokens import Words
+
+    words = Words(lambda given: [w.encode() for w in given])
+    room = sys.getsizeof(words.met)
+    for at in range(0, 60_000, 20_000):
+        assert words.ids([[f"w{i}" for i in range(at, at + 20_000)]]) == [
+            "".join(f"w{i}" for i in range(at, at + 20_000)).encode()]
+    assert sys.getsizeof(words.met) == room and len(words.known) < 1_000
+    assert words.ids([["w59999", "", "w59999"]]) == [b"w59999w59999"] and "w59999" in words.known
+
+
+def test_freed_arrow_memory_leaves_the_worker(monkeypatch):
+    from parapet.llm import common
+
+    class Pool:
+        released = 0
+
+        def release_unused(self):
+            Pool.released += 1
+
+    batches = [pa.RecordBatch.from_pydict({"text": ["ab", None, "c" * 9]})] * 3
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    got = [s.column("text").to_pylist() for s in common.slices(iter(batches), "text", 4)]
+    assert got == [["ab", None], ["c" * 9]] * 3 and Pool.released == 3
