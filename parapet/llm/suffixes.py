@@ -150,16 +150,18 @@ def column_sort(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray, cap: int
         new = (data[ends[:a] - j].astype(kind) + kind(1)) << kind(bits) | rank[:a]
         order = np.argsort(new)
         new = new[order]
-        at = np.searchsorted(key, new) + np.arange(a)
+        place = np.searchsorted(key, new)
+        at = place + np.arange(a)
         old = np.ones(len(key) + a, bool)
         old[at] = False
-        moved = np.flatnonzero(old)
+        # how far what was there moves on
+        shift = np.repeat(np.arange(a + 1, dtype=kind), np.diff(place, prepend=0, append=len(key)))
 
         key2 = np.empty(len(old), kind)
-        key2[moved] = key
+        key2[old] = key
         key2[at] = new
         shared2 = np.zeros(len(old), np.uint8)
-        shared2[moved] = shared
+        shared2[old] = shared
         old[at[at + 1 < len(old)] + 1] = False  # what was inserted and what follows it
         touched = np.flatnonzero(~old)
         x, y = key2[touched - 1], key2[touched]
@@ -168,10 +170,9 @@ def column_sort(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray, cap: int
         own = touched[same]
         shared2[own] = np.minimum(range_min(shared, (x[same] & low).astype(np.int64) + 1, (y[same] & low).astype(np.int64)),
                                   cap - 1) + 1
-        moved = moved.astype(kind)
-        key2 += (moved - np.arange(len(moved), dtype=kind))[key2 & low]
+        key2 += shift.take(key2 & low)
         key, shared = key2, shared2
-        rank = moved[rank[:a]]  # strings that have ended need none
+        rank = rank[:a] + shift[rank[:a]]  # strings that have ended need none
         rank[order] = at
     # where suffixes start: from each empty one on, to the suffix that has one symbol more
     longer = np.empty(total, kind)
@@ -297,7 +298,8 @@ def _strings(texts: DataFrame) -> DataFrame:
 
 def _by_window(strings: DataFrame) -> DataFrame:
     """Strings of crowded hashes as single windows, each under its own hash."""
-    counts = strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("key")
+    counts = written(strings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("key"), "counts")
+    # read back, the few keys are broadcast; as a plan of unknown size they would have all strings shuffled to meet them
     differing = strings.join(counts, "key").select("key", "string").distinct().groupBy("key").agg(
         F.count(F.lit(1)).alias("n")).filter(F.col("n") > CROWD).select("key")
     crowded = written(differing, "crowded")

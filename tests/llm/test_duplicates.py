@@ -337,3 +337,24 @@ def test_one_of_each_fingerprint_group(spark):
     left = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect())
     assert left == sorted((k is None, k or 0) for k in groups) and len(left) == 14
     assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_strings_are_not_shuffled_to_meet_crowded_keys(spark, monkeypatch):
+    plans = {}
+    whole = suffixes.written
+
+    def kept(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return whole(df, name)
+
+    monkeypatch.setattr(suffixes, "written", kept)
+    monkeypatch.setattr(suffixes, "CROWD", 2)
+    rows = [(k, bytes([65 + i]) * 60, i, i, 0) for k, n in ((1, 2), (2, 4)) for i in range(n)]
+    strings = spark.createDataFrame(rows, "key long, string binary, doc_id long, row long, start long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        got = suffixes._by_window(strings.repartition(2)).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plans["crowded"] and "SortMergeJoin" not in plans["crowded"]
+    assert sorted(len(r["string"]) for r in got) == [50] * 44 + [60] * 2
