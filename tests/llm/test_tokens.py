@@ -129,3 +129,10 @@ def test_freed_arrow_memory_leaves_the_worker(monkeypatch):
     monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
     got = [s.column("text").to_pylist() for s in common.slices(iter(batches), "text", 4)]
     assert got == [["ab", None], ["c" * 9]] * 3 and Pool.released == 3
+
+
+def test_encoder_keeps_a_fixed_room_for_rare_words():
+    one = packed.Encoder(_word_bpe(), True)
+    room = sys.getsizeof(one.words.met)
+    one([" ".join(f"w{i}x" for i in range(3000))])
+    assert sys.getsizeof(one.words.met) == room and len(one.words.known) < 100
