@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from parapet.llm.common import folder, nested, slices
+from parapet.llm.common import buffers, folder, nested, slices
 from parapet.llm.tokens import LONGEST, Words
 
 MAGIC = b"PFR1"
@@ -34,8 +35,9 @@ PERCENTILE = 90.0
 SHARD = 500_000
 #: Text handed to the tokenizer at once.
 CHUNK = 2 << 20
-#: Marks that end a word and are a piece of their own, if the tokenizer cuts there.
-MARKS = ".,;:!?"
+#: ASCII marks and letters, and the second bytes of Latin-1 letters (the first is C3).
+MARK, LETTER, LATIN = (np.isin(np.arange(256), list(x)) for x in (
+    string.punctuation.encode(), string.ascii_letters.encode(), bytes({*range(0x80, 0xC0)} - {0x97, 0xB7})))
 #: Separates words handed to the tokenizer together; words that contain it go alone.
 BREAK = "\x01"
 SHARDS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()),
@@ -46,7 +48,7 @@ SHARDS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("se
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """How many bits each value needs."""
-    return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.int64)
+    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
@@ -68,8 +70,9 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
     packed = np.zeros(int(starts[-1]), np.uint8)
     for w in np.unique(width[width > 0]):
         own = np.flatnonzero(width == w)
-        bits = (rest[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-        data = np.packbits(bits.astype(np.uint8).reshape(len(own), -1), axis=1, bitorder="little")
+        raw = np.ascontiguousarray(rest[own].astype("<u4").view(np.uint8).reshape(len(own), block, 4)[:, :, :-(-int(w) // 8)])
+        bits = np.unpackbits(raw, axis=2, count=int(w), bitorder="little")
+        data = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
         packed[starts[own][:, None] + np.arange(data.shape[1])] = data
     which, where = np.nonzero(needed > width[:, None])
     high = rest[which, where] >> width[which].astype(np.uint32)
@@ -115,7 +118,8 @@ class Encoder:
 
     With ``words``, texts are cut at blanks, tabs, line and page ends and only words not met before go to the library, many at
     once with a separator between. That holds for tokenizers that drop white space before they look for words, such as
-    the one named in the query; tests compare it with encoding texts whole.
+    the one named in the query; tests compare it with encoding texts whole. If it also drops case and cuts between
+    letters and marks, so do the texts before they are cut into words: fewer words differ.
     """
 
     def __init__(self, path: str, words: bool):
@@ -126,8 +130,45 @@ class Encoder:
         self.words = Words(self._many, start={b"": b""}) if words else None
         self.mark = self._whole([BREAK])[0] if words else None
         self.ends = self._last() if words else None
-        self.apart = words and self.tokenizer.pre_tokenizer is not None and all(
-            [part.lower() for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(f"word{m}")][-1].startswith(m) for m in MARKS)
+        self.folds, self.apart = self._simple() if words else (False, False)
+
+    def _simple(self) -> tuple[bool, bool]:
+        """Whether the case of ASCII letters makes no difference, and whether letters and ASCII marks are always cut apart.
+
+        An apostrophe may go with the letters behind it.
+        """
+        normal, cut = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        folds = normal is not None and normal.normalize_str(string.ascii_uppercase) == string.ascii_lowercase
+        return folds, cut is not None and all(
+            [part for part, _ in cut.pre_tokenize_str(text)] == parts for m in string.punctuation for text, parts in (
+                (f"ab{m}", ["ab", m]), (f"ab{m}cd{m}{m}ef", ["ab", m, "cd", m + m, "ef"])) if m != "'" or text == "ab'")
+
+    def _plainer(self, texts: pa.Array) -> pa.Array:
+        """The texts in lower case and with blanks between letters and marks, as far as that changes no id.
+
+        A text stays as it is if it holds combining marks (bytes CC and CD), as not every letter combines alike in both cases,
+        or a "<|", as special tokens are looked for before anything else.
+        """
+        offsets, data = buffers(texts)
+        raw = data.tobytes()
+        kept = np.zeros(len(texts), bool)
+        if any(x in raw for x in (b"\xcc", b"\xcd", b"<|")):
+            odd = (data == 0xCC) | (data == 0xCD)
+            odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+            kept[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
+        fixed = np.repeat(kept, np.diff(offsets)) if kept.any() else None
+        if self.folds:
+            lower = np.frombuffer(raw.lower(), np.uint8)
+            data = lower if fixed is None else np.where(fixed, data, lower)
+        if self.apart:
+            at = np.flatnonzero(MARK[data] if fixed is None else MARK[data] & ~fixed)
+            wide = np.pad(data, 2)
+            two, one, own, next_, last = (wide[at + i] for i in range(5))
+            left = LETTER[one] | (LATIN[one] & (two == 0xC3))
+            right = (LETTER[next_] | ((next_ == 0xC3) & LATIN[last])) & (own != ord("'"))
+            holes = np.sort(np.concatenate([at[left], at[right] + 1]))
+            data, offsets = np.insert(data, holes, ord(" ")), offsets + np.searchsorted(holes, offsets)
+        return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(data))
 
     def _last(self) -> np.ndarray | None:
         """Which ids end a word, if the vocabulary marks them; words of letters alone then need no separator."""
@@ -144,15 +185,6 @@ class Encoder:
     def _many(self, given: list[bytes]) -> list[bytes]:
         words = [w.decode() for w in given]
         found: list[bytes] = [b""] * len(words)
-        known = self.words.known
-        tails: dict[str, bytes] = {}
-        for i, word in enumerate(words) if self.apart else ():  # a word and the marks behind it are encoded on their own
-            core = word.rstrip(MARKS)
-            if len(core) < len(word) and core.isalpha() and (before := known.get(core.encode())) is not None:
-                tail = word[len(core):]
-                if tail not in tails:
-                    tails[tail] = self._whole([tail])[0].tobytes()
-                found[i] = before + tails[tail]
         letters = [i for i, w in enumerate(words) if w.isalpha() and w.lower().isalpha()] if self.ends is not None else []
         done = set(letters)
         for at in range(0, len(letters), 1000):
@@ -165,7 +197,7 @@ class Encoder:
             starts, data = np.concatenate([[0], stops[:-1]]), ids.tobytes()
             for i, x, y in zip(own, (starts * 4).tolist(), (stops * 4).tolist()):
                 found[i] = data[x:y]
-        rest = [i for i in range(len(words)) if i not in done and not found[i]]
+        rest = [i for i in range(len(words)) if i not in done]
         apart = {i for i in rest if BREAK in words[i] or len(words[i]) > LONGEST or "<|" in words[i]}
         alone, together = sorted(apart), [i for i in rest if i not in apart]
         for i, ids in zip(alone, self._whole([words[i] for i in alone])):
@@ -183,15 +215,12 @@ class Encoder:
         return found
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if self.words is None:
-            return self._whole(texts)
-        return self.encoded([t.encode() for t in texts])
+        return self.encoded(pa.array(texts, pa.string()))
 
-    def encoded(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of texts given as UTF-8, cut at white space of one byte."""
-        if self.words is None:
-            return self._whole([t.decode() for t in texts])
-        return [np.frombuffer(x, "<u4") for x in self.words.ids([t.split() for t in texts])]
+    def encoded(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column; null texts count as empty."""
+        texts = texts.fill_null("")
+        return self._whole(texts.to_pylist()) if self.words is None else self.words.arrays(self._plainer(texts))
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -230,7 +259,7 @@ def write(docs: DataFrame, path: str, tokenizer: Callable[[], str], end_id: int,
 
         end = np.asarray([end_id], "<u4")
         for batch in slices(batches, "text", CHUNK):
-            found = encode.encoded([x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()])
+            found = encode.encoded(batch.column("text"))
             for name, own in zip(batch.column("doc_id").to_pylist(), found):
                 ids.append(np.concatenate([own, end]))
                 names.append(name)

@@ -136,3 +136,39 @@ def test_encoder_keeps_a_fixed_room_for_rare_words():
     room = sys.getsizeof(one.words.met)
     one([" ".join(f"w{i}x" for i in range(3000))])
     assert sys.getsizeof(one.words.met) == room and len(one.words.known) < 100
+
+
+def test_case_and_marks_make_no_new_words(monkeypatch):
+    one, given = packed.Encoder(_word_bpe(), True), []
+    many = one.words.encode
+    monkeypatch.setattr(one.words, "encode", lambda words: given.extend(words) or many(words))
+    texts = ['Word word, (WORD) word... "wÖrd" wÖrd!?', "word,Word;word $$$word$$$"]
+    assert [x.tolist() for x in one(texts)] == [x.tolist() for x in packed.Encoder(_word_bpe(), False)(texts)]
+    assert [w for w in given if w.isalpha()] == [b"word"] and sum("w" in w.decode() for w in given) == 2
+
+
+def test_cut_and_folded_texts_encode_like_whole_ones():
+    one, other = (packed.Encoder(_word_bpe(), w) for w in (True, False))
+    parts = ["a", "H", "s", "T", "É", "é", "ß", "×", "÷", "Σ", "İ", "\u212a", "\u0331", "\u0300", "\u0344", "\u0338", "\u05b0", "\u1dc0",
+             "\u200d", "«", "»", "—", "'", "'s", "'LL", ".", ",", "=", "<", "|", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>",
+             "1", "\u0663", " ", "\n", "\xa0", "\x85", "字", "😀", "\x00", "\x01", ""]
+    rng = np.random.default_rng(4)
+    texts = ["".join(parts[i] for i in rng.integers(0, len(parts), n)) for n in rng.integers(0, 12, 6000)]
+    texts += ["".join(p for p in parts[:2] + ["'", "?", "É", " "] for _ in range(n)) for n in range(4)]
+    for at in range(0, len(texts), 500):  # texts stand beside each other, so nothing may cross their edges
+        assert [x.tolist() for x in one(texts[at:at + 500])] == [x.tolist() for x in other(texts[at:at + 500])]
+    assert one([]) == []
+
+
+def test_words_stay_whole_for_tokenizers_that_need_them(tmp_path):
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    cased, joined = (Tokenizer.from_file(_word_bpe()) for _ in range(2))
+    cased.normalizer = normalizers.NFC()
+    joined.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    for name, tokenizer, simple in (("cased", cased, (False, True)), ("joined", joined, (True, False))):
+        tokenizer.save(str(tmp_path / name))
+        one, other = (packed.Encoder(str(tmp_path / name), w) for w in (True, False))
+        assert (one.folds, one.apart) == simple
+        texts = ["Word word, WORD. (word)", "don't Don't"]
+        assert [x.tolist() for x in one(texts)] == [x.tolist() for x in other(texts)]
