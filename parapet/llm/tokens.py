@@ -7,7 +7,7 @@ the library sees the others. A word met once takes no lasting room: names and mi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Collection
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +46,7 @@ class Words:
         offsets, data = buffers(coded.dictionary)
         data, offsets = data.tobytes(), offsets.tolist()
         words = [data[x:y] for x, y in zip(offsets, offsets[1:])]
-        new = self._learn(words)
+        new = self._learn(set(words))
         found = list(map(self.known.__getitem__, words))
         self._forget(new)
         sizes = np.fromiter(map(len, found), np.int64, len(found)) >> 2
@@ -58,11 +58,11 @@ class Words:
         cuts = ends[lists.offsets.to_numpy()]
         return [ids[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
-    def _learn(self, words: Collection) -> list:
-        """Take up the words not known; words that come twice in the call are given once."""
+    def _learn(self, words: set) -> list:
+        """Take up the words not known."""
         if len(self.known) > self.most:
             self.known = dict(self.start)
-        new = list(set(words).difference(self.known))
+        new = list(words.difference(self.known))
         if new:
             self.known.update(zip(new, self.encode(new)))
         return new
