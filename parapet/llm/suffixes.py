@@ -3,10 +3,10 @@
 Which bytes of a document lie in a string of ``LENGTH`` bytes that also starts in a document with a smaller id? Strings
 that are equal have the same least hash of a shorter gram, so all windows of a text fall into runs that share that hash,
 and equal windows always meet under the same hash. Runs whose hash occurs in one document only are dropped. The others
-are the documents of collections that tasks sort: one round inserts the next symbol of every string, from the right, into
-the collection's Burrows-Wheeler transform, at the place given by the symbol and the rank of the suffix behind it, and
-updates the common prefixes next to what was inserted. In the end windows that share ``LENGTH`` symbols lie side by side,
-and each learns the least document that holds it.
+are the documents of collections that tasks sort: one round inserts the next few symbols of every string, from the right,
+into the collection's Burrows-Wheeler transform, each at the place given by the symbols that start there and the rank of the
+suffix behind them, and updates the common prefixes next to what was inserted. In the end windows that share ``LENGTH``
+symbols lie side by side, and each learns the least document that holds it.
 
 Collections are small (``COLLECTION`` bytes), independent and read in one sequential pass per round. They stay in memory:
 files beside a task would be machine-local scratch.
@@ -35,6 +35,8 @@ COLLECTION = 256 << 10
 CHUNK = 4 << 20
 #: Text searched for runs at once: its arrays of hashes stay in the processor's cache.
 SCAN = 256 << 10
+#: Positions hashed at once.
+BLOCK = 32 << 10
 #: Texts that share an id are dealt out by this many remainders of their hash.
 PARTS = 1 << 16
 #: Rows of strings held by a task while it looks for those of one hash.
@@ -53,19 +55,25 @@ def grams(data: np.ndarray, size: int = GRAM) -> np.ndarray:
                 out, done = power, width
             else:
                 n = len(out) - width  # the part found so far follows this one
-                out = power[:n] * _pow(factor, done) + out[width:]
+                joined = power[:n] * _pow(factor, done)
+                joined += out[width:]
+                out = joined
                 done += width
         n = len(power) - width
-        if n <= 0:
+        if n <= 0 or 2 * width > size:
             break
-        power = power[:n] * np.uint64(step) + power[width:]
+        joined = power[:n] * np.uint64(step)
+        joined += power[width:]
+        power = joined
         step = step * step % (1 << 64)
         width *= 2
     if done != size or len(data) < size:
         return np.zeros(0, np.uint64)
     h = out[:len(data) - size + 1]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    h = h ^ (h >> np.uint64(29))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def _pow(x: np.uint64, n: int) -> np.uint64:
@@ -87,77 +95,77 @@ def runs(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tuple[n
     sizes = np.diff(offsets)
     if len(data) < length or not (sizes >= length).any():
         return none
-    key = least(grams(data), length - GRAM + 1)
-    row = np.repeat(np.arange(len(sizes)), sizes)[:len(key)]
-    place = np.arange(len(key)) - offsets[row]
-    inside = place + length <= sizes[row]
-    change = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))
-    starts = np.flatnonzero(inside & change)  # windows of a text are its first ones, so a run starts with a change
-    ends = np.append(np.flatnonzero(change), len(key))
-    ends = ends[np.searchsorted(ends, starts, "right")]
-    last = offsets[row[starts]] + sizes[row[starts]] - length + 1
-    n = np.minimum(ends, last) - starts
-    return row[starts], place[starts], n, key[starts].view(np.int64)
-
-
-def range_min(values: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 64) -> np.ndarray:
-    """The least of ``values[a] .. values[b]``, for each pair ``a <= b``."""
+    key = np.empty(len(data) - length + 1, np.uint64)
+    for at in range(0, len(key), BLOCK):
+        key[at:at + BLOCK] = least(grams(data[at:at + BLOCK + length - 1]), length - GRAM + 1)
+    # a run starts with another key, with a text, and behind the last window of a text; the last kind holds no windows
+    windows = np.maximum(sizes - length + 1, 0)
+    change = np.append(True, key[1:] != key[:-1])
+    opens = np.append(offsets[:-1], offsets[:-1] + windows)
+    change[opens[opens < len(key)]] = True
+    inside = np.repeat(np.tile([True, False], len(sizes)), np.stack([windows, sizes - windows], 1).ravel())
+    starts = np.flatnonzero(change)
+    n = np.diff(np.append(starts, len(key)))
+    whole = inside[starts]
+    starts, n = starts[whole], n[whole]
+    row = np.searchsorted(offsets[1:], starts, "right")
+    return row, starts - offsets[row], n, key[starts].view(np.int64)
+
+
+def range_min(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of ``values[a] .. values[b]``, for each pair ``a <= b``: that of two stretches of 2^k values that meet."""
     out = np.empty(len(a), values.dtype)
-    top = values.dtype.type(np.iinfo(values.dtype).max)
-    ended = np.append(values, top)  # a range may end behind the last value
-    far = b - a >= 4 * block
-
-    def reduce(v, low, high):
-        """Least of v[low:high], where v has one value more than is asked for.
-
-        Taken from the right so that the gaps between ranges cost nothing.
-        """
-        order = np.argsort(-low, kind="stable")
-        pairs = np.stack([low[order], high[order]], 1).ravel()
-        found = np.minimum.reduceat(v, pairs)[::2] if len(pairs) else np.zeros(0, v.dtype)
-        back = np.empty(len(low), v.dtype)
-        back[order] = found
-        return back
-
-    out[~far] = reduce(ended, a[~far], b[~far] + 1)
-    if far.any():
-        low, high = -(-a[far] // block), (b[far] + 1) // block
-        padded = np.append(values, np.full(-len(values) % block, top, values.dtype))
-        middle = reduce(np.append(padded.reshape(-1, block).min(1), top), low, high)
-        left = np.where(a[far] < low * block, reduce(ended, a[far], np.maximum(low * block, a[far] + 1)), top)
-        right = np.where(b[far] + 1 > high * block, reduce(ended, np.minimum(high * block, b[far]), b[far] + 1), top)
-        out[far] = np.minimum(np.minimum(left, right), middle)
+    level = (np.frexp((b - a + 1).astype(np.float64))[1] - 1).astype(np.uint8)
+    order = np.argsort(level, kind="stable")
+    a, b = a[order], b[order]
+    least_of, size, done = values, 1, 0  # least_of[i]: the least of ``size`` values from i on
+    for n in np.bincount(level).tolist():
+        if n:
+            own = slice(done, done + n)
+            out[order[own]] = np.minimum(least_of[a[own]], least_of[b[own] - (size - 1)])
+            done += n
+        if done < len(a):
+            least_of = np.minimum(least_of[:-size], least_of[size:])
+            size *= 2
     return out
 
 
-def column_sort(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray, cap: int = LENGTH):
-    """Sort all suffixes of a collection by inserting one symbol per string and round.
+def column_sort(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray, cap: int = LENGTH, wide: int = 1 << 27):
+    """Sort all suffixes of a collection by inserting a column of a few symbols per string and round.
 
-    String i is ``data[ends[i] - sizes[i]:ends[i]]``; sizes fall. Gives, in suffix order (the empty suffixes first):
-    where the suffix starts in ``data``, the symbol before it (plus one, 0 at a string's start), and how many symbols it
-    shares with its predecessor, up to ``cap``.
+    String i is ``data[ends[i] - sizes[i]:ends[i]]``; sizes fall. A round inserts the next ``step`` suffixes of every string,
+    each placed by its first ``step`` symbols and the rank of what follows them, which the round before has inserted. Gives,
+    in suffix order (the empty suffixes first): where the suffix starts in ``data``, the symbol before it (plus one, 0 at a
+    string's start), and how many symbols it shares with its predecessor, up to ``cap``. Collections of ``wide`` suffixes and
+    more take keys with room for longer ranks and fewer symbols.
     """
     m = len(sizes)
     total = m + int(sizes.sum())
-    # a key is the first symbol and the rank of the rest: in 32 bits where 22 hold every rank
-    kind, bits = (np.int32, 22) if total < 1 << 22 else (np.int64, 40)
-    low = kind((1 << bits) - 1)
-    key = np.arange(m, dtype=kind)  # the empty suffixes rank by string
+    step, bits = (4, 27) if total < wide else (2, 40)
+    low = (1 << bits) - 1
+    # the first symbols of each suffix, 9 bits each (plus one, 0 behind the end), above the place of the rank
+    left = np.repeat(ends, sizes) - np.arange(len(data))
+    code = np.zeros(len(data), np.int64)
+    for k in range(min(step, len(data))):
+        code[:len(data) - k] |= np.where(left[:len(data) - k] > k, data[k:] + np.int64(1), 0) << (bits + 9 * (step - 1 - k))
+    del left
+    key = np.arange(m)  # the empty suffixes rank by string
     shared = np.zeros(m, np.uint8)
-    rank = np.arange(m, dtype=kind)  # of each string's longest suffix so far
+    ranks = [key] * step  # of what follows the first symbols of the suffixes that are next
     active = np.searchsorted(-sizes, -np.arange(1, int(sizes[0]) + 1 if m else 1), "right").tolist()
-    for j, a in enumerate(active, 1):
-        new = (data[ends[:a] - j].astype(kind) + kind(1)) << kind(bits) | rank[:a]
+    for j in range(0, len(active), step):
+        counts = active[j:j + step]
+        new = np.concatenate([code[ends[:a] - j - p] | ranks[p - 1][:a] for p, a in enumerate(counts, 1)])
         order = np.argsort(new)
         new = new[order]
         place = np.searchsorted(key, new)
-        at = place + np.arange(a)
-        old = np.ones(len(key) + a, bool)
+        at = place + np.arange(len(new))
+        old = np.ones(len(key) + len(new), bool)
         old[at] = False
         # how far what was there moves on
-        shift = np.repeat(np.arange(a + 1, dtype=kind), np.diff(place, prepend=0, append=len(key)))
+        shift = np.repeat(np.arange(len(new) + 1), np.diff(place, prepend=0, append=len(key)))
 
-        key2 = np.empty(len(old), kind)
+        key2 = np.empty(len(old), np.int64)
         key2[old] = key
         key2[at] = new
         shared2 = np.zeros(len(old), np.uint8)
@@ -165,23 +173,37 @@ def column_sort(data: np.ndarray, ends: np.ndarray, sizes: np.ndarray, cap: int
         old[at[at + 1 < len(old)] + 1] = False  # what was inserted and what follows it
         touched = np.flatnonzero(~old)
         x, y = key2[touched - 1], key2[touched]
-        same = (x >> bits == y >> bits) & (y >> bits > 0)
-        shared2[touched] = 0
-        own = touched[same]
-        shared2[own] = np.minimum(range_min(shared, (x[same] & low).astype(np.int64) + 1, (y[same] & low).astype(np.int64)),
-                                  cap - 1) + 1
+        same = np.zeros(len(touched), np.uint8)
+        alike = np.ones(len(touched), bool)
+        for k in range(step):
+            place_of = bits + 9 * (step - 1 - k)
+            alike &= (x >> place_of == y >> place_of) & (y >> place_of & 511 > 0)
+            same += alike
+        x, y = x[alike] & low, y[alike] & low
+        same[alike] = np.minimum(range_min(shared, x + 1, y), cap - step) + step
+        shared2[touched] = np.minimum(same, cap)
         key2 += shift.take(key2 & low)
         key, shared = key2, shared2
-        rank = rank[:a] + shift[rank[:a]]  # strings that have ended need none
+        rank = np.empty(len(order), np.int64)
         rank[order] = at
-    # where suffixes start: from each empty one on, to the suffix that has one symbol more
-    longer = np.empty(total, kind)
-    longer[key[m:] & low] = np.arange(m, total, dtype=kind)
-    start = np.empty(total, kind)
-    start[:m], at = ends, np.arange(m)
-    for j, a in enumerate(active, 1):
-        at = longer[at[:a]]
-        start[at] = ends[:a] - j
+        ranks = np.split(rank, np.cumsum(counts)[:-1])
+    # where suffixes start: the shortest follow from the string and how many symbols they have, and each leads to the suffix
+    # that has one column of symbols more
+    after = key[m:] & low
+    short = np.flatnonzero(after < m) + m
+    longer = np.zeros(total, np.int64)
+    longer[after] = np.arange(m, total)
+    held = sum((key[short] >> (bits + 9 * k) & 511 > 0).astype(np.int64) for k in range(step))
+    start = np.empty(total, np.int64)
+    start[:m] = ends
+    first_ranks = np.zeros((step + 1, m), np.int64)
+    first_ranks[held, key[short] & low] = short
+    for p in range(1, min(step, len(active)) + 1):
+        at = first_ranks[p]
+        for j in range(p, len(active) + 1, step):
+            a = active[j - 1]
+            at = at[:a] if j == p else longer[at[:a]]
+            start[at] = ends[:a] - j
     first = np.zeros(len(data) + 1, bool)
     first[ends - sizes] = True
     before = np.zeros(total, np.int16)
@@ -453,22 +475,28 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return found
 
 
-def _merged(spans: list[dict]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for low, high in sorted((s["low"], s["high"]) for s in spans or ()):
-        if out and low <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], high)
-        else:
-            out.append([low, high])
-    return [(a, b) for a, b in out]
-
-
-def _cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
-    kept, at = [], 0
-    for low, high in spans:
-        kept.append(data[at:low])
-        at = high
-    return b"".join(kept) + data[at:]
+def _kept(column: pa.Array, spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts without the bytes in their spans: offsets and bytes of what is left, and per text the maximal runs removed and
+    the bytes in them."""
+    offsets, data = buffers(column)
+    rows = len(offsets) - 1
+    counts = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    owner = np.repeat(np.arange(rows), counts)
+    flat = spans.flatten()
+    base = offsets[owner] + owner  # a place between texts, so that spans of two of them never touch
+    low, high = (flat.field(k).to_numpy(zero_copy_only=False) + base for k in (0, 1))
+    order = np.argsort(low, kind="stable")
+    low, high, owner = low[order], np.maximum.accumulate(high[order]), owner[order]
+    opens = np.append(True, low[1:] > high[:-1])[:len(low)]
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(low))[:len(first)] - 1
+    low, high, owner = low[first] - owner[first], high[last] - owner[first], owner[first]
+    edges = np.concatenate([[0], np.stack([low, high], 1).ravel(), [len(data)]])
+    keep = np.repeat(np.arange(len(edges) - 1) % 2 == 0, np.diff(edges))
+    removed = np.zeros(rows, np.int64)
+    np.add.at(removed, owner, high - low)
+    sizes = np.diff(offsets) - removed
+    return np.append(0, np.cumsum(sizes)), data[keep], np.bincount(owner, minlength=rows), removed
 
 
 def _joined(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataFrame:
@@ -488,14 +516,11 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_bytes", CHUNK):
-            rows = []
-            for data, spans in zip(batch.column("_bytes").to_pylist(), batch.column("spans").to_pylist()):
-                spans = _merged(spans)
-                rows.append((len(data), sum(b - a for a, b in spans), len(spans),
-                             hashlib.sha256(_cut(data, spans)).hexdigest()))
-            kinds = pa.int64(), pa.int64(), pa.int64(), pa.string()
+            offsets, data, n, removed = _kept(batch.column("_bytes"), batch.column("spans"))
+            left = memoryview(data)
+            sums = [hashlib.sha256(left[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), *(pa.array([r[k] for r in rows], kinds[k]) for k in range(4))],
+                [batch.column("_id"), pa.array(np.diff(offsets) + removed), pa.array(removed), pa.array(n), pa.array(sums, pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return _joined(docs, doc_id, text, []).select("_id", "_bytes", "spans").mapInArrow(
@@ -515,8 +540,9 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_bytes", CHUNK):
-            texts = [_cut(d, _merged(s)).decode("utf-8", "ignore") for d, s in
-                     zip(batch.column("_bytes").to_pylist(), batch.column("spans").to_pylist())]
+            offsets, data, _, _ = _kept(batch.column("_bytes"), batch.column("spans"))
+            raw = data.tobytes()
+            texts = [raw[a:b].decode("utf-8", "ignore") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             yield pa.RecordBatch.from_arrays([batch.column("other"), pa.array(texts, pa.string())], ["other", "_text"])
 
     rows = _joined(packed, "doc_id", "text", ["other", "_null"])

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parapet.llm import components, cosine, htmltext, knn, mixing, simhash, suffixes
@@ -339,6 +340,58 @@ def test_one_of_each_fingerprint_group(spark):
     assert simhash.one_of_each(docs.limit(0)).count() == 0
 
 
+def test_column_sort_takes_several_symbols_a_round(monkeypatch):
+    rng = random.Random(9)
+    shared = [bytes(rng.choice(b"ab\0\xff") for _ in range(70)) for _ in range(3)]
+    strings = [bytes(rng.choice(b"ab\0\xff") for _ in range(rng.randrange(40))) + rng.choice(shared) for _ in range(40)]
+    strings = sorted(strings + [b"a" * 160, b"a" * 161, b"ab", b"a", b""], key=len, reverse=True)
+    sizes = np.array([len(s) for s in strings])
+    ends, whole = np.cumsum(sizes), b"".join(strings)
+    data, m, rounds, least = np.frombuffer(whole, np.uint8), len(strings), [], suffixes.range_min
+    monkeypatch.setattr(suffixes, "range_min", lambda *a: rounds.append(1) or least(*a))
+    got = suffixes.column_sort(data, ends, sizes)
+    assert 0 < len(rounds) <= 41  # the longest string has 161 symbols
+    order = sorted((whole[i:e], k, i) for k, (e, n) in enumerate(zip(ends.tolist(), sizes.tolist())) for i in range(e - n, e))
+    assert got[0][m:].tolist() == [i for _, _, i in order] and got[0][:m].tolist() == ends.tolist()
+    common = [next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for (a, *_), (b, *_) in zip(order, order[1:])]
+    assert got[2][m + 1:].tolist() == [min(n, 50) for n in common]
+    for x, y in zip(got, suffixes.column_sort(data, ends, sizes, wide=1)):  # keys of large collections
+        assert (x == y).all()
+    values = np.array([rng.randrange(200) for _ in range(3000)], np.uint8)
+    pairs = sorted((rng.randrange(3000), rng.randrange(3000)) for _ in range(500))
+    low, high = np.array([min(p) for p in pairs] + [0, 7]), np.array([max(p) for p in pairs] + [2999, 7])
+    assert least(values, low, high).tolist() == [values[a:b + 1].min() for a, b in zip(low, high)]
+
+
+@pytest.mark.parametrize("block", [1, 64, 32 << 10])
+def test_runs_of_texts_hashed_in_blocks(monkeypatch, block):
+    monkeypatch.setattr(suffixes, "BLOCK", block)
+    rng = random.Random(10)
+    texts = [bytes(rng.choice(b"abcd") for _ in range(n)) for n in (0, 300, 49, 50, 51, 0, 500, 7, 99)] + [b"a" * 120] * 2
+    offsets = np.cumsum([0] + [len(t) for t in texts])
+    want = []
+    for r, t in enumerate(texts):
+        hashes = suffixes.grams(np.frombuffer(t, np.uint8))
+        for i in range(len(t) - 49):
+            key = int(hashes[i:i + 31].min().view(np.int64))
+            if i and want[-1][3] == key:
+                want[-1][2] += 1
+            else:
+                want.append([r, i, 1, key])
+    got = suffixes.runs(offsets, np.frombuffer(b"".join(texts), np.uint8))
+    assert [list(x) for x in zip(*(c.tolist() for c in got))] == want
+
+
+def test_spans_are_cut_for_many_texts_at_once():
+    kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
+    texts = pa.array([b"skipped", b"0123456789", b"abc", b"", b"xyz", b"0123456789"], pa.binary())
+    spans = [[(0, 7)], [(6, 8), (1, 3), (3, 4), (7, 9)], [(0, 3)], None, [(0, 1)], []]
+    spans = pa.array([s and [{"low": a, "high": b} for a, b in s] for s in spans], kind)
+    offsets, data, n, removed = suffixes._kept(texts.slice(1), spans.slice(1))
+    assert [data.tobytes()[a:b] for a, b in zip(offsets, offsets[1:])] == [b"0459", b"", b"", b"yz", b"0123456789"]
+    assert n.tolist() == [2, 1, 0, 1, 0] and removed.tolist() == [6, 3, 0, 1, 0]
+
+
 def test_strings_are_not_shuffled_to_meet_crowded_keys(spark, monkeypatch):
     plans = {}
     whole = suffixes.written
